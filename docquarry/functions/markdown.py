@@ -220,8 +220,8 @@ CODE_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)")
 LINK = re.compile(r"""!?\[((?:[^\[\]]|\[[^\]]*\])*)\]\((?:<[^>]*>|(?:[^()\s]|\([^)]*\))*)(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)""")
 DROPPED = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*>|</?[A-Za-z][^<>]*>|<!--.*?-->|(?:https?|ftp)://[^\s<]+|\bwww\.[^\s<]+")
 EMPHASIS = regex.compile(
-    r"(?<!\\)(?P<star>\*{1,3})(?=\S)(?P<a>.+?)(?<=[^\s\\])(?P=star)"
-    r"|(?<![\w\\])(?P<low>_{1,3})(?=\S)(?P<b>.+?)(?<=[^\s\\])(?P=low)(?!\w)"
+    r"(?<![\\*])(?P<star>\*{1,3})(?![\s*])(?P<a>.+?)(?<![\s\\*])(?P=star)(?!\*)"
+    r"|(?<![\w\\])(?P<low>_{1,3})(?![\s_])(?P<b>.+?)(?<![\s\\_])(?P=low)(?!\w)"
     r"|(?P<tilde>~{1,2})(?=\S)(?P<c>.+?)(?<=\S)(?P=tilde)"
 )
 

@@ -215,6 +215,36 @@ class Catalog:
         raise UnknownResource(f"unknown resource: {uri}")
 
 
+def read_many(catalog: Catalog, wanted: DataFrame) -> DataFrame:
+    """(uri, kind, content) for a table of addresses, with the precedence of a single read.
+
+    ``kind`` is document, chunk, section, unknown fragment or unknown resource.
+    """
+    home = catalog.sources.select(F.col("uri").alias("source_uri"), "file_path")
+    whole = catalog.sources.select("uri", F.lit("document").alias("kind"), "content", "file_path")
+    part = catalog.chunks.select(F.col("chunk_uri").alias("uri"), F.lit("chunk").alias("kind"), "content", "source_uri")
+    joined = sections(catalog.chunks).select(F.col("section_uri").alias("uri"), F.lit("section").alias("kind"), "content", "source_uri")
+    # A section of one part has the address of its chunk; the chunk comes first.
+    joined = joined.join(part.select("uri"), "uri", "left_anti")
+    parts = part.unionByName(joined).join(home, "source_uri", "left").drop("source_uri")
+    parts = parts.join(whole.select("uri"), "uri", "left_anti")
+    readable = catalog._transformed(whole.unionByName(parts)).select("uri", "kind", "content")
+    found = wanted.select("uri").distinct().join(readable, "uri", "left")
+    known = catalog.sources.select(F.col("uri").alias("base"), F.lit(True).alias("known"))
+    missing = found.withColumn("base", paths.base_uri(F.col("uri"))).join(known, "base", "left")
+    reason = F.when(paths.has_fragment(F.col("uri")) & F.col("known"), "unknown fragment").otherwise("unknown resource")
+    return missing.select("uri", F.coalesce("kind", reason).alias("kind"), "content")
+
+
+def with_home(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks with the source they belong to; an orphan keeps a stub made of its own addresses."""
+    home = sources.select(F.col("uri").alias("source_uri"), F.struct("id", "uri", "name", "relative_path").alias("found"))
+    stub = F.struct(
+        F.col("source_id").alias("id"), F.col("source_uri").alias("uri"), F.lit("").alias("name"), F.lit("").alias("relative_path")
+    )
+    return chunks.join(home, "source_uri", "left").withColumn("source", F.coalesce("found", stub)).drop("found")
+
+
 def sections(chunks: DataFrame) -> DataFrame:
     """Whole sections: the parts of each joined by a blank line. A group never exceeds one document."""
     return (
