@@ -67,16 +67,20 @@ def plain_terms(piece: str) -> tuple[str, ...]:
     return tuple(PLAIN_WORD.findall(piece.lower()))
 
 
-ANALYZERS = {"en": english_terms, "plain": plain_terms}
-
 TERM_COUNTS = T.ArrayType(
-    T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+    T.StructType(
+        [
+            T.StructField("term", T.StringType()),
+            T.StructField("tf", T.IntegerType()),
+            T.StructField("total", T.IntegerType()),
+        ]
+    )
 )
-_TERM_STRUCT = pa.struct([("term", pa.string()), ("tf", pa.int32())])
+_TERM_STRUCT = [pa.field("term", pa.string()), pa.field("tf", pa.int32()), pa.field("total", pa.int32())]
 
 
 def count_terms(texts: pa.Array, terms_of) -> pa.Array:
-    """Distinct terms with their frequency for every text of a batch."""
+    """Distinct terms of every text of a batch, with their frequency and the text's total."""
     words = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = np.asarray(words.offsets)
     encoded = words.flatten().dictionary_encode()
@@ -101,24 +105,22 @@ def count_terms(texts: pa.Array, terms_of) -> pa.Array:
     keys, tf = np.unique(np.repeat(row_of_word, repeat) * width + ids, return_counts=True)
     bounds = np.searchsorted(keys // width, np.arange(len(texts) + 1)).astype(np.int32)
     terms = pa.array(list(vocabulary), pa.string()).take(pa.array(keys % width))
-    return pa.ListArray.from_arrays(
-        pa.array(bounds),
-        pa.StructArray.from_arrays([terms, pa.array(tf.astype(np.int32))], fields=list(_TERM_STRUCT)),
-    )
+    totals = np.bincount(keys // width, weights=tf, minlength=len(texts))[keys // width] if len(keys) else tf
+    columns = [terms, pa.array(tf.astype(np.int32)), pa.array(totals.astype(np.int32))]
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(columns, fields=_TERM_STRUCT))
 
 
-@F.arrow_udf(TERM_COUNTS)
 def _english_counts(texts: pa.Array) -> pa.Array:
     return count_terms(texts, english_terms)
 
 
-@F.arrow_udf(TERM_COUNTS)
 def _plain_counts(texts: pa.Array) -> pa.Array:
     return count_terms(texts, plain_terms)
 
 
 def term_counts(text: Column, analyzer: str = "en") -> Column:
-    return {"en": _english_counts, "plain": _plain_counts}[analyzer](text)
+    """Array of (term, tf, total). Kept from being copied into filters, where it would run again."""
+    return F.arrow_udf({"en": _english_counts, "plain": _plain_counts}[analyzer], TERM_COUNTS).asNondeterministic()(text)
 
 
 def deletions(term: Column) -> Column:

@@ -49,15 +49,13 @@ def _extracts(texts: pa.Array, terms: pa.Array, analyzer: str) -> pa.Array:
     return pa.array([extract(text or "", set(wanted or ()), analyzer) for text, wanted in pairs], pa.string())
 
 
-@F.arrow_udf(T.StringType())
 def _english(texts: pa.Array, terms: pa.Array) -> pa.Array:
     return _extracts(texts, terms, "en")
 
 
-@F.arrow_udf(T.StringType())
 def _plain(texts: pa.Array, terms: pa.Array) -> pa.Array:
     return _extracts(texts, terms, "plain")
 
 
 def snippet(text: Column, terms: Column, analyzer: str) -> Column:
-    return (_english if analyzer == "en" else _plain)(text, terms)
+    return F.arrow_udf(_english if analyzer == "en" else _plain, T.StringType())(text, terms)

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"(\s*)\{\{(-\s)?\s*(.*?)\s*(\s-)?\}\}(\s*)", re.S)
+TAG = re.compile(r"\{\{(?P<left>-\s)?\s*(?P<body>.*?)\s*(?P<right>(?<=\s)-)?\}\}", re.S)
 FIELD = re.compile(r"\.(\w+)\Z")
 
 
@@ -22,16 +22,17 @@ class TemplateError(ValueError):
 
 def _tokens(text: str):
     """Literal text and tags in order; a dash inside a tag trims the white space on its side."""
-    at = 0
+    at, trim = 0, False
     for match in TAG.finditer(text):
-        before, trim_left, body, trim_right, after = match.groups()
-        yield "text", text[at : match.start()] + ("" if trim_left else before)
-        yield "tag", body
-        at = match.end() if trim_right else match.end() - len(after)
+        literal = text[at : match.start()]
+        literal = literal.lstrip() if trim else literal
+        yield "text", literal.rstrip() if match["left"] else literal
+        yield "tag", match["body"]
+        at, trim = match.end(), bool(match["right"])
     rest = text[at:]
     if "{{" in rest:
         raise TemplateError("unclosed action")
-    yield "text", rest
+    yield "text", rest.lstrip() if trim else rest
 
 
 def parse(text: str) -> list:

@@ -34,10 +34,8 @@ def field_texts(chunks: DataFrame) -> DataFrame:
 def postings_of(chunks: DataFrame, analyzer: str = "en") -> DataFrame:
     """(field, term, chunk) with term frequency and field length. Narrow: counted inside each chunk."""
     counted = field_texts(chunks).select("chunk_id", "source_uri", "field", term_counts(F.col("text"), analyzer).alias("terms"))
-    length = F.aggregate("terms", F.lit(0), lambda total, t: total + t["tf"])
-    return counted.select("field", "chunk_id", "source_uri", length.alias("field_length"), F.inline("terms")).select(
-        "field", "term", "chunk_id", "source_uri", "tf", "field_length"
-    )
+    exploded = counted.select("chunk_id", "source_uri", "field", F.inline("terms"))
+    return exploded.select("field", "term", "chunk_id", "source_uri", "tf", F.col("total").alias("field_length"))
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:

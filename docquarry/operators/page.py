@@ -34,17 +34,20 @@ def cap_page(ranked: DataFrame, mode: str, limit: int, source: str = "source_id"
     return kept.withColumn("position", F.row_number().over(in_page)).filter(F.col("position") <= limit)
 
 
-@F.arrow_udf(T.StringType())
-def two_decimals(values: pa.Array) -> pa.Array:
-    """Two decimals of the exact binary value; the JVM's own formatting rounds its decimal print instead."""
+def _two_decimals(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else f"{v:.2f}" for v in values.to_pylist()], pa.string())
 
 
+def two_decimals(value: Column) -> Column:
+    """Two decimals of the exact binary value; the JVM's own formatting rounds its decimal print instead."""
+    return F.arrow_udf(_two_decimals, T.StringType())(value)
+
+
 def hit_text(mode: str) -> Column:
     head = F.concat(F.lit("- **"), "source_title", F.lit("** · ["), "chunk_uri", F.lit("]("), "chunk_uri", F.lit(")\n"))
     lines = F.concat(F.lit(" · lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     place = F.concat(F.lit("  - "), breadcrumb(F.col("source_path"), F.col("heading_path")), lines)
-    score = F.concat(F.lit(" · score "), two_decimals("score"), F.lit("\n"))
+    score = F.concat(F.lit(" · score "), two_decimals(F.col("score")), F.lit("\n"))
     extract = F.concat(F.lit("  - "), "snippet", F.lit("\n"))
     body = F.concat(F.lit("\n"), "content", F.lit("\n")) if mode == CONTENT else F.lit("")
     return F.concat(head, place, score, extract, body, F.lit("\n"))

@@ -28,3 +28,9 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a settled table only when its counted rows are few; otherwise leave the join to a shuffle."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, spread over all of them; a larger one is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

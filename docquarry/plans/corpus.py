@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.catalog import Catalog, chunks_of, parse, sources_of
 from docquarry.operators.index import SearchIndex, build_index
+from docquarry.operators.sizing import spread
 from docquarry.session import new_location
 
 SCHEME = "doc"
@@ -38,7 +39,7 @@ def relative_path() -> Column:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("/corpus/"), relative_path()).alias("file_path"),
         relative_path().alias("relative_path"),
         as_markdown(F.col("text")).alias("raw"),

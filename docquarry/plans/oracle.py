@@ -130,7 +130,7 @@ leaf AS (
     FROM sized s JOIN postings p USING (field, term)),
 term_scores AS (
     SELECT query_id, chunk_id, source_uri, field, query_term, repeats, token_count, {exact_sum("leaf")} * count(*) / leaf_count AS term_score
-    FROM leaf GROUP BY ALL, leaf_count),
+    FROM leaf GROUP BY query_id, chunk_id, source_uri, field, query_term, repeats, token_count, leaf_count),
 field_scores AS MATERIALIZED (
     SELECT query_id, chunk_id, source_uri, field, {exact_sum("repeats * term_score")} * sum(repeats) / token_count AS field_score,
            sum(repeats) = token_count AS every_term
@@ -276,7 +276,7 @@ ORACLE: dict[str, str] = {
         texts AS (
             SELECT query_id, string_agg('- **' || source_title || '** · [' || chunk_id || '](' || chunk_id || ')' || chr(10)
                 || '  - ' || source_path || ' > ' || array_to_string(path, ' > ') || ' · lines ' || start_line || '-' || end_line
-                || ' · score ' || printf('%.2f', score) || chr(10) || '  - ' || upper(source_title) || chr(10)
+                || ' · score ' || printf('%.2f', score) || chr(10) || '  - ' || source_title || chr(10)
                 || chr(10) || content || chr(10) || chr(10), '' ORDER BY position) AS body
             FROM page JOIN chunks USING (chunk_id) GROUP BY query_id)
         SELECT item_id AS query_id, CASE WHEN body IS NULL THEN 'No results found for ''' || text || ''''

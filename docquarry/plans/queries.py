@@ -356,7 +356,7 @@ def flooded_page(spark, sf):
 def page_texts(spark, sf):
     chosen = _page(spark, sf, REFERENCES).drop("rank", "source_uri")
     stored = corpus.index(spark, sf).chunks
-    page = stored.join(chosen, "chunk_id").withColumn("snippet", F.upper("source_title"))
+    page = stored.join(chosen, "chunk_id").withColumn("snippet", F.col("source_title"))
     return page_text(corpus.queries_of(spark, sf), page, CONTENT)
 
 

@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+_shipped: set[str] = set()
+
+
+def ship_package(context: SparkContext) -> None:
+    """Make this package importable in every Python worker, wherever the driver was started."""
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix=f"{PACKAGE}-ship-")
+    above = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, PACKAGE), "zip", above, PACKAGE))
+    _shipped.add(context.applicationId)
+
 
 def build_session(app: str = "docquarry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this package expects; callers may override any of them.
@@ -28,7 +43,9 @@ def build_session(app: str = "docquarry", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark.sparkContext)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
