@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,14 +123,14 @@ def term_counts(text: Column, analyzer: str = "en") -> Column:
     return F.arrow_udf({"en": _english_counts, "plain": _plain_counts}[analyzer], TERM_COUNTS).asNondeterministic()(text)
 
 
-def deletions(term: Column) -> Column:
-    """Hashes of the term and of the term with each single character left out.
+def deletions(df: DataFrame, term: str) -> DataFrame:
+    """Each row once per ``variant``: a hash of its term and of the term without each single character.
 
-    Two terms within one insertion, deletion or substitution always share an entry, which
-    turns the distance test into an equi-join plus a check.
+    Two terms within one insertion, deletion or substitution always share a variant, which turns
+    the distance test into an equi-join plus a check.
     """
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.length(term)),
-        lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1)),
-    )
-    return F.array_distinct(F.transform(F.concat(F.array(term), cuts), lambda v: F.xxhash64(v)))
+    text, cut = F.col(term), F.col("cut")
+    left_out = F.concat(F.substr(text, F.lit(1), cut - 1), F.substr(text, cut + 1))
+    variant = F.xxhash64(F.when(cut == 0, text).otherwise(left_out))
+    each = df.withColumn("cut", F.explode(F.sequence(F.lit(0), F.length(text))))
+    return each.withColumn("variant", variant).drop("cut")

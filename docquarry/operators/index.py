@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def dictionary_of(postings: DataFrame) -> DataFrame:
 
 def neighbours_of(dictionary: DataFrame) -> DataFrame:
     """Term by the hashes of its one-character deletions, for distance-1 lookups by equality."""
-    return dictionary.select("term").distinct().select(F.explode(deletions(F.col("term"))).alias("variant"), "term")
+    return deletions(dictionary.select("term").distinct(), "term")
 
 
 def shard_of(term: Column, shards: int) -> Column:
@@ -65,8 +66,13 @@ class SearchIndex:
     dictionary: DataFrame
     neighbours: DataFrame
 
+    def release(self) -> None:
+        """Free what the index holds in memory. Its files stay for readers still at work on them."""
+        for table in (self.postings, self.dictionary, self.neighbours):
+            table.unpersist()
 
-def build_index(chunks: DataFrame, analyzer: str = "en", location: str | None = None, shards: int = SHARDS) -> SearchIndex:
+
+def build_index(chunks: DataFrame, analyzer: str = "en", location: str | None = None, shards: int = SHARDS, in_memory: bool = False) -> SearchIndex:
     """Write a new index generation and open it. An older generation is untouched, whatever happens here.
 
     Postings are clustered by term shard, with a salt so that a term found in most chunks is
@@ -90,11 +96,15 @@ def build_index(chunks: DataFrame, analyzer: str = "en", location: str | None =
 
     summary = spark.createDataFrame([(analyzer, shards, stored.count())], "analyzer string, shards int, chunk_count long")
     summary.coalesce(1).write.parquet(f"{location}/summary")
-    return open_index(spark, location)
+    return open_index(spark, location, in_memory)
 
 
-def open_index(spark: SparkSession, location: str) -> SearchIndex:
+def open_index(spark: SparkSession, location: str, in_memory: bool = False) -> SearchIndex:
+    """An index generation, read from its files or kept in executor memory; results are the same."""
     summary = spark.read.parquet(f"{location}/summary").first()
     names = ("chunks", "postings", "dictionary", "neighbours")
     tables = {name: spark.read.parquet(f"{location}/{name}") for name in names}
+    if in_memory:
+        for name in ("postings", "dictionary", "neighbours"):
+            tables[name] = tables[name].persist(StorageLevel.MEMORY_AND_DISK)
     return SearchIndex(location, summary.analyzer, summary.shards, summary.chunk_count, **tables)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.functions.paths import breadcrumb
-from docquarry.operators.search import candidates, field_fuzziness, with_stored
+from docquarry.operators.index import SearchIndex
+from docquarry.operators.search import Fuzziness, Hold, field_fuzziness, leaves, ranked_candidates, with_stored
+from docquarry.operators.sizing import hold_table
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
 
 # Fixed value: a page is chosen from at most this many candidates per requested result. Widening the
@@ -27,7 +29,7 @@ def cap_page(ranked: DataFrame, mode: str, limit: int, source: str = "source_id"
     Input is a table of ranked candidates (``query_id``, ``rank``), already bounded per query.
     """
     if limit <= 0:
-        return ranked.limit(0)
+        return ranked.withColumn("position", F.lit(0)).limit(0)
     by_source = W.partitionBy("query_id", source).orderBy("rank")
     kept = ranked.withColumn("nth", F.row_number().over(by_source)).filter(F.col("nth") <= source_cap(mode)).drop("nth")
     in_page = W.partitionBy("query_id").orderBy("rank")
@@ -64,11 +66,14 @@ def page_text(queries: DataFrame, page: DataFrame, mode: str) -> DataFrame:
     return joined.select("query_id", F.when(F.col("hits").isNull(), nothing).otherwise(found).alias("page"))
 
 
-def search_pages(index, queries: DataFrame, settings: SearchSettings, fuzziness=field_fuzziness) -> DataFrame:
+def search_pages(
+    index: SearchIndex, queries: DataFrame, settings: SearchSettings, fuzziness: Fuzziness = field_fuzziness, hold: Hold = hold_table
+) -> DataFrame:
     """Capped result pages of many queries, with stored columns fetched for the chosen rows only."""
     limit = settings.max_results
-    ranked = candidates(index, queries, settings, max(limit, 1) * WINDOW_PER_RESULT, fuzziness)
+    looked_up = leaves(index, queries, settings.boosts(), fuzziness, hold)
+    ranked = ranked_candidates(index, queries, looked_up, max(limit, 1) * WINDOW_PER_RESULT)
     # A chunk belongs to exactly one source; its address stands for the source until rows are fetched.
     chosen = cap_page(ranked, settings.result_mode, limit, "source_uri")
     positions = chosen.select("query_id", "chunk_id", "source_uri", "score", F.col("position").alias("rank"))
-    return with_stored(index, positions, queries, settings, fuzziness).withColumnRenamed("rank", "position")
+    return with_stored(index, positions, looked_up, hold).withColumnRenamed("rank", "position")

@@ -1,7 +1,9 @@
-"""Broadcasts that are checked, and exact sums."""
+"""Intermediate results, broadcasts that are checked, and exact sums."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,28 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
-def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled table only when its counted rows are few; otherwise leave the join to a shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+@dataclass(frozen=True)
+class Held:
+    """An intermediate result with its exact row count."""
+
+    rows: DataFrame
+    count: int
+
+    def side(self, growth: int = 1) -> DataFrame:
+        """As a join side: broadcast only when its counted rows, times ``growth``, are few; else left to a shuffle."""
+        return F.broadcast(self.rows) if self.count * growth <= BROADCAST_ROWS else self.rows
+
+
+def hold_table(df: DataFrame, label: str) -> Held:
+    """For results that grow with the data or the number of queries."""
+    table = settled(df, label)
+    return Held(table, table.count())
+
+
+def hold_local(df: DataFrame, label: str) -> Held:
+    """For what belongs to one interactive query: a few rows per word, kept by the session itself."""
+    rows = df.collect()
+    return Held(df.sparkSession.createDataFrame(rows, df.schema), len(rows))
 
 
 def spread(scan: DataFrame) -> DataFrame:

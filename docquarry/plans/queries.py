@@ -16,6 +16,7 @@ from docquarry.operators.digests import content_digest, listing_digest
 from docquarry.operators.index import dictionary_of, postings_of
 from docquarry.operators.links import extract_links, resolve_links, rewrite_links
 from docquarry.operators.page import cap_page, page_text
+from docquarry.operators.sizing import hold_table
 from docquarry.plans import corpus
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
 
@@ -274,7 +275,8 @@ def collection_size(spark, sf):
 @query
 def fuzzy_expand(spark, sf):
     index = corpus.index(spark, sf)
-    return srch.near_terms(srch.query_terms(corpus.queries_of(spark, sf), index.analyzer), index.neighbours)
+    terms = hold_table(srch.query_terms(corpus.queries_of(spark, sf), index.analyzer), "query-terms")
+    return srch.near_terms(terms, index.neighbours)
 
 
 # Search
@@ -321,13 +323,10 @@ def match_all(spark, sf):
 @query
 def any_vs_all(spark, sf):
     index, queries = corpus.index(spark, sf), corpus.queries_of(spark, sf)
-    found = [
-        srch.clause_matches(index, queries, field, every, _exact).groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
-        .select("query_id", F.lit(field).alias("field"), F.lit("all" if every else "any").alias("operator"), "matches")
-        for field in ("source_title", "heading_path", "content")
-        for every in (False, True)
-    ]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).unionByName(found[4]).unionByName(found[5])
+    found = srch.clause_matches(index, queries, ("source_title", "heading_path", "content"), _exact)
+    counts = found.groupBy("query_id", "field").agg(F.count(F.lit(1)).alias("any"), F.count_if("every_term").alias("all"))
+    operators = F.inline(F.array(*(F.struct(F.lit(name).alias("operator"), F.col(name).alias("matches")) for name in ("any", "all"))))
+    return counts.select("query_id", "field", operators).filter("matches > 0")
 
 
 def _page(spark, sf, mode, limit=10):
