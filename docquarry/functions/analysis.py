@@ -6,6 +6,8 @@ Python code below sees each distinct word of a batch once, whatever its frequenc
 
 from __future__ import annotations
 
+import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +44,9 @@ WORD = regex.compile(
         [[\p{L}\p{M}\p{N}_]--[\p{Han}\p{Hiragana}]]+)*""",
     regex.VERBOSE,
 )
+# A word of Latin letters and digits inside ASCII punctuation: the common case, decided without the pattern above.
+LATIN = re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+PUNCTUATION = string.punctuation.replace("_", "")
 PLAIN_WORD = regex.compile(r"[\p{L}\p{N}]+")
 POSSESSIVE = ("'s", "’s", "＇s", "'S", "’S", "＇S")
 
@@ -57,14 +62,16 @@ def english_term(word: str) -> str | None:
 
 @lru_cache(maxsize=1 << 17)
 def english_terms(piece: str) -> tuple[str, ...]:
-    terms = (english_term(match.group()) for match in WORD.finditer(piece))
-    return tuple(term for term in terms if term is not None)
+    bare = piece.strip(PUNCTUATION)
+    words = (bare,) if LATIN.fullmatch(bare) else (match.group() for match in WORD.finditer(piece))
+    return tuple(term for term in map(english_term, words) if term is not None)
 
 
 @lru_cache(maxsize=1 << 17)
 def plain_terms(piece: str) -> tuple[str, ...]:
     """Lower-cased runs of letters and digits; no stop words, no stemming."""
-    return tuple(PLAIN_WORD.findall(piece.lower()))
+    bare = piece.strip(string.punctuation).lower()
+    return (bare,) if LATIN.fullmatch(bare) else tuple(PLAIN_WORD.findall(piece.lower()))
 
 
 TERM_COUNTS = T.ArrayType(

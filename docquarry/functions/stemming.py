@@ -46,7 +46,14 @@ STEP_4 = (
 )
 
 
-def _replace(word: str, rules) -> str:
+# One C-level test decides for most words that no rule of a step applies.
+ENDS_2 = tuple(suffix for suffix, _ in STEP_2)
+ENDS_3 = tuple(suffix for suffix, _ in STEP_3)
+
+
+def _replace(word: str, rules, ends: tuple[str, ...]) -> str:
+    if not word.endswith(ends):
+        return word
     for suffix, replacement in rules:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
@@ -66,7 +73,7 @@ def stem(word: str) -> str:
     if word.endswith("eed"):
         if _measure(word[:-3]) > 0:
             word = word[:-1]
-    else:
+    elif word.endswith(("ed", "ing")):
         for suffix in ("ed", "ing"):
             base = word[: -len(suffix)]
             if word.endswith(suffix) and _has_vowel(base):
@@ -82,9 +89,9 @@ def stem(word: str) -> str:
     if word.endswith("y") and _has_vowel(word[:-1]):
         word = word[:-1] + "i"
 
-    word = _replace(_replace(word, STEP_2), STEP_3)
+    word = _replace(_replace(word, STEP_2, ENDS_2), STEP_3, ENDS_3)
 
-    for suffix in STEP_4:
+    for suffix in STEP_4 if word.endswith(STEP_4) else ():
         if word.endswith(suffix):
             base = word[: -len(suffix)]
             if _measure(base) > 1 and (suffix != "ion" or base.endswith(("s", "t"))):
