@@ -17,7 +17,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from docquarry.operators import search as ranked_search  # noqa: E402
-from docquarry.operators.index import build_index  # noqa: E402
 from docquarry.operators.page import search_pages  # noqa: E402
 from docquarry.plans import corpus  # noqa: E402
 from docquarry.plans.queries import REGISTRY  # noqa: E402
@@ -53,7 +52,7 @@ def run(spark, sf_dir: str) -> tuple[dict[str, float], dict[str, float]]:
 
     for name in TABLE_QUERIES:
         timed(name, lambda: consume(REGISTRY[name](spark, sf_dir)))
-    index = timed("index_build_disk", lambda: build_index(corpus.catalog(spark, sf_dir).chunks))
+    index = timed("index_build_disk", lambda: corpus.new_index(spark, sf_dir))
     settings, by_title = SearchSettings(), titles(spark, sf_dir)
     passages = corpus.queries_of(spark, sf_dir)
     query_count, passage_count = by_title.count(), passages.count()

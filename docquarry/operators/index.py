@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -18,30 +19,34 @@ STORED = (
     "heading_path", "start_line", "end_line", "content",
 )
 
-SHARDS = 16
-SALTS = 16
+FIELD_NUMBER = {name: number for number, name in enumerate(FIELDS)}
+BUCKETS = 16
 
 
-def field_texts(chunks: DataFrame) -> DataFrame:
+def field_texts(chunks: DataFrame, *keys: str) -> DataFrame:
     """One row per chunk and searchable field that has text."""
 
     def text_of(name: str) -> Column:
         return F.array_join(name, " ") if name in ARRAY_FIELDS else F.col(name)
 
     pairs = F.array(*(F.struct(F.lit(name).alias("field"), text_of(name).alias("text")) for name in FIELDS))
-    return chunks.select("chunk_id", "source_uri", F.inline(pairs)).filter("text != ''")
+    return chunks.select(*keys, F.inline(pairs)).filter("text != ''")
+
+
+def count_postings(texts: DataFrame, analyzer: str, *keys: str) -> DataFrame:
+    """Term frequency and field length for every term of a text. Narrow: counted inside each text."""
+    counted = texts.select(*keys, term_counts(F.col("text"), analyzer).alias("terms"))
+    return counted.select(*keys, F.inline("terms")).withColumnRenamed("total", "field_length")
 
 
 def postings_of(chunks: DataFrame, analyzer: str = "en") -> DataFrame:
-    """(field, term, chunk) with term frequency and field length. Narrow: counted inside each chunk."""
-    counted = field_texts(chunks).select("chunk_id", "source_uri", "field", term_counts(F.col("text"), analyzer).alias("terms"))
-    exploded = counted.select("chunk_id", "source_uri", "field", F.inline("terms"))
-    return exploded.select("field", "term", "chunk_id", "source_uri", "tf", F.col("total").alias("field_length"))
+    """(field, term, chunk) with term frequency and field length."""
+    return count_postings(field_texts(chunks, "chunk_id"), analyzer, "chunk_id", "field")
 
 
-def dictionary_of(postings: DataFrame) -> DataFrame:
+def dictionary_of(postings: DataFrame, field: str = "field") -> DataFrame:
     """Document frequency per field and term; counted on the map side first, so hot terms do not pile up."""
-    return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    return postings.groupBy(field, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def neighbours_of(dictionary: DataFrame) -> DataFrame:
@@ -49,17 +54,12 @@ def neighbours_of(dictionary: DataFrame) -> DataFrame:
     return deletions(dictionary.select("term").distinct(), "term")
 
 
-def shard_of(term: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
-
-
 @dataclass(frozen=True)
 class SearchIndex:
     """Tables of one index generation. ``chunk_count`` is the collection size of the ranking formula."""
 
     location: str
     analyzer: str
-    shards: int
     chunk_count: int
     chunks: DataFrame
     postings: DataFrame
@@ -70,31 +70,51 @@ class SearchIndex:
         """Free what the index holds in memory. Its files stay for readers still at work on them."""
         for table in (self.postings, self.dictionary, self.neighbours):
             table.unpersist()
+        self.postings.sparkSession.sql(f"DROP TABLE IF EXISTS {table_name(self.location)}")
+
+
+def table_name(location: str) -> str:
+    return "docquarry_postings_" + hashlib.md5(location.encode()).hexdigest()
+
+
+def open_postings(spark: SparkSession, location: str, buckets: int) -> DataFrame:
+    """The bucketed postings. Spark needs a table definition to know how the files are laid out."""
+    name = table_name(location)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (chunk_no BIGINT, field_no TINYINT, term STRING, tf INT, field_length INT) "
+        f"USING parquet CLUSTERED BY (chunk_no) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{location}/postings'"
+    )
+    return spark.table(name)
 
 
-def build_index(chunks: DataFrame, analyzer: str = "en", location: str | None = None, shards: int = SHARDS, in_memory: bool = False) -> SearchIndex:
+def build_index(
+    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int = BUCKETS, in_memory: bool = False
+) -> SearchIndex:
     """Write a new index generation and open it. An older generation is untouched, whatever happens here.
 
-    Postings are clustered by term shard, with a salt so that a term found in most chunks is
-    spread over several writers, and sorted by term so that a lookup reads few row groups.
+    Chunks are stored in address order and numbered in it, so that a number stands for both
+    addresses wherever equal scores are put in order. Postings are bucketed by chunk: all of a
+    chunk's terms lie in one bucket, scoring a chunk needs no shuffle, and a term found
+    everywhere is spread evenly. Inside a bucket they are sorted by term, so a lookup reads few
+    row groups. The input is read twice; pass a settled table rather than a long computation.
     """
     spark = chunks.sparkSession
     location = location or new_location(spark, "index")
-    stored = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED))
-    stored.write.option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{location}/chunks")
-    stored = spark.read.schema(stored.schema).parquet(f"{location}/chunks")
+    in_order = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED)).repartitionByRange("source_uri", "chunk_id")
+    numbered = in_order.sortWithinPartitions("source_uri", "chunk_id").withColumn("chunk_no", F.monotonically_increasing_id())
+    numbered.write.option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{location}/chunks")
+    stored = spark.read.schema(numbered.schema).parquet(f"{location}/chunks")
 
-    shard, salt = shard_of(F.col("term"), shards), F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))
-    postings = postings_of(stored, analyzer).withColumn("shard", shard)
-    clustered = postings.repartition(F.col("shard"), salt).sortWithinPartitions("shard", "term", "field", "chunk_id")
-    clustered.write.partitionBy("shard").parquet(f"{location}/postings")
-    postings = spark.read.schema(postings.schema).parquet(f"{location}/postings")
+    numbers = F.create_map(*(F.lit(x) for name, number in FIELD_NUMBER.items() for x in (name, number)))
+    texts = field_texts(stored.repartition(buckets, "chunk_no"), "chunk_no").withColumn("field_no", numbers[F.col("field")].cast("tinyint"))
+    postings = count_postings(texts, analyzer, "chunk_no", "field_no").sortWithinPartitions("term")
+    postings.write.bucketBy(buckets, "chunk_no").sortBy("term").option("path", f"{location}/postings").saveAsTable(table_name(location))
 
-    dictionary_of(postings).sortWithinPartitions("term").write.parquet(f"{location}/dictionary")
+    dictionary_of(spark.table(table_name(location)), "field_no").sortWithinPartitions("term").write.parquet(f"{location}/dictionary")
     dictionary = spark.read.parquet(f"{location}/dictionary")
     neighbours_of(dictionary).repartition("variant").sortWithinPartitions("variant").write.parquet(f"{location}/neighbours")
 
-    summary = spark.createDataFrame([(analyzer, shards, stored.count())], "analyzer string, shards int, chunk_count long")
+    summary = spark.createDataFrame([(analyzer, buckets, stored.count())], "analyzer string, buckets int, chunk_count long")
     summary.coalesce(1).write.parquet(f"{location}/summary")
     return open_index(spark, location, in_memory)
 
@@ -102,9 +122,9 @@ def build_index(chunks: DataFrame, analyzer: str = "en", location: str | None =
 def open_index(spark: SparkSession, location: str, in_memory: bool = False) -> SearchIndex:
     """An index generation, read from its files or kept in executor memory; results are the same."""
     summary = spark.read.parquet(f"{location}/summary").first()
-    names = ("chunks", "postings", "dictionary", "neighbours")
-    tables = {name: spark.read.parquet(f"{location}/{name}") for name in names}
+    tables = {name: spark.read.parquet(f"{location}/{name}") for name in ("chunks", "dictionary", "neighbours")}
+    tables["postings"] = open_postings(spark, location, summary.buckets)
     if in_memory:
         for name in ("postings", "dictionary", "neighbours"):
             tables[name] = tables[name].persist(StorageLevel.MEMORY_AND_DISK)
-    return SearchIndex(location, summary.analyzer, summary.shards, summary.chunk_count, **tables)
+    return SearchIndex(location, summary.analyzer, summary.chunk_count, **tables)

@@ -10,8 +10,17 @@ from pyspark.sql import types as T
 
 from docquarry.functions.paths import breadcrumb
 from docquarry.operators.index import SearchIndex
-from docquarry.operators.search import Fuzziness, Hold, field_fuzziness, leaves, ranked_candidates, with_stored
-from docquarry.operators.sizing import hold_table
+from docquarry.operators.search import (
+    Fuzziness,
+    Hold,
+    field_fuzziness,
+    leaves,
+    positive,
+    ranked_candidates,
+    with_columns,
+    with_stored,
+)
+from docquarry.operators.sizing import Held, hold_table
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
 
 # Fixed value: a page is chosen from at most this many candidates per requested result. Widening the
@@ -70,10 +79,10 @@ def search_pages(
     index: SearchIndex, queries: DataFrame, settings: SearchSettings, fuzziness: Fuzziness = field_fuzziness, hold: Hold = hold_table
 ) -> DataFrame:
     """Capped result pages of many queries, with stored columns fetched for the chosen rows only."""
-    limit = settings.max_results
-    looked_up = leaves(index, queries, settings.boosts(), fuzziness, hold)
-    ranked = ranked_candidates(index, queries, looked_up, max(limit, 1) * WINDOW_PER_RESULT)
-    # A chunk belongs to exactly one source; its address stands for the source until rows are fetched.
-    chosen = cap_page(ranked, settings.result_mode, limit, "source_uri")
-    positions = chosen.select("query_id", "chunk_id", "source_uri", "score", F.col("position").alias("rank"))
-    return with_stored(index, positions, looked_up, hold).withColumnRenamed("rank", "position")
+    limit, boosts = settings.max_results, settings.boosts()
+    looked_up = leaves(index, queries, boosts, fuzziness, hold)
+    ranked = hold(ranked_candidates(index, queries, looked_up, positive(boosts), max(limit, 1) * WINDOW_PER_RESULT), "ranked")
+    numbered = Held(ranked.rows.withColumn("number", F.col("chunk_no")), ranked.count)
+    chosen = cap_page(with_columns(index, numbered, ("source_id",)), settings.result_mode, limit)
+    positions = chosen.select("query_id", F.col("number").alias("chunk_no"), "score", F.col("position").alias("rank"))
+    return with_stored(index, hold(positions, "page"), looked_up).withColumnRenamed("rank", "position")

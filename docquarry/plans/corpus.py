@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.catalog import Catalog, chunks_of, parse, sources_of
 from docquarry.operators.index import SearchIndex, build_index
-from docquarry.operators.sizing import spread
-from docquarry.session import new_location
+from docquarry.operators.sizing import settled, spread
 
 SCHEME = "doc"
 HEADING_EVERY = 4  # lines
@@ -70,6 +69,11 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def new_index(spark: SparkSession, sf_dir: str, analyzer: str = "en") -> SearchIndex:
+    """Parse and chunk the whole table once into files, then index the chunks."""
+    return build_index(chunks_of(settled(documents(spark, sf_dir), "documents")), analyzer)
+
+
 _INDEXES: dict[tuple[str, str, str], SearchIndex] = {}
 
 
@@ -77,7 +81,7 @@ def index(spark: SparkSession, sf_dir: str, analyzer: str = "plain") -> SearchIn
     """The corpus index, written once per application and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir, analyzer)
     if key not in _INDEXES:
-        _INDEXES[key] = build_index(catalog(spark, sf_dir).chunks, analyzer, new_location(spark, "index"))
+        _INDEXES[key] = new_index(spark, sf_dir, analyzer)
     return _INDEXES[key]
 
 
