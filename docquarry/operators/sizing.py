@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from docquarry.session import new_location
@@ -16,8 +17,10 @@ BROADCAST_ROWS = 200_000
 _UNIT = float(1 << 46)
 
 
-def exact_sum(value: Column) -> Column:
-    return F.sum(F.rint(value * _UNIT).cast("long")) / _UNIT
+def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
+    """Order-independent sum of values of ordinary size, per group or over a window."""
+    units = F.sum(F.rint(value * _UNIT).cast("long"))
+    return (units if window is None else units.over(window)) / _UNIT
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
