@@ -41,7 +41,7 @@ def extract_links(df: DataFrame, key: str, text: str = "content", file_path: str
 
 
 def resolve_links(links: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Left join of links to (file_path, uri). Popular targets are joined by broadcast, the others by shuffle.
+    """Left join of links to (file_path, uri), as ``target_uri``. Popular targets are joined by broadcast, the others by shuffle.
 
     A path that holds more than one in ``HOT_SHARE`` of all links is popular, so there are fewer
     than ``HOT_SHARE`` of them whatever the size of the data. Their rows, and rows that resolve
@@ -60,12 +60,12 @@ def resolve_links(links: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     )
     others = targets.select(F.col("file_path").alias("join_path"), F.col("uri").alias("other_uri"))
     joined = marked.join(others, "join_path", "left")
-    return joined.withColumn("uri", F.coalesce("popular_uri", "other_uri")).drop("join_path", "popular_uri", "other_uri")
+    return joined.withColumn("target_uri", F.coalesce("popular_uri", "other_uri")).drop("join_path", "popular_uri", "other_uri")
 
 
 def rewritten_link() -> Column:
-    linked = F.concat(F.lit("["), "label", F.lit("]("), "uri", "fragment", "title", F.lit(")"))
-    return F.when(F.col("uri").isNotNull(), linked).otherwise(F.col("link"))
+    linked = F.concat(F.lit("["), "label", F.lit("]("), "target_uri", "fragment", "title", F.lit(")"))
+    return F.when(F.col("target_uri").isNotNull(), linked).otherwise(F.col("link"))
 
 
 def rewrite_links(df: DataFrame, targets: DataFrame, key: str, text: str = "content", file_path: str = "file_path") -> DataFrame:
@@ -73,7 +73,7 @@ def rewrite_links(df: DataFrame, targets: DataFrame, key: str, text: str = "cont
     resolved = resolve_links(extract_links(df, key, text, file_path), targets, key)
     replaced = (
         resolved.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("position", rewritten_link().alias("r")))).alias("links"), F.count("uri").alias("hits"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", rewritten_link().alias("r")))).alias("links"), F.count("target_uri").alias("hits"))
         .filter("hits > 0")
         .select(key, F.transform("links", lambda p: p["r"]).alias("replacements"))
     )

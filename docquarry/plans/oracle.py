@@ -239,7 +239,7 @@ ORACLE: dict[str, str] = {
                   FROM chunks WHERE part_count > 1 GROUP BY 1""",
     "breadcrumbs": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, source_path || ' > ' || array_to_string(path, ' > ') AS breadcrumb FROM chunks",
     "link_extract": f"WITH {LINKS} SELECT page_id, position, label, target, '#top' AS fragment, resolved FROM detail",
-    "link_resolve": f"""WITH {LINKS} SELECT page_id, position, 'doc://site' || h AS uri
+    "link_resolve": f"""WITH {LINKS} SELECT page_id, position, 'doc://site' || h AS target_uri
         FROM detail LEFT JOIN targets ON resolved = '/site' || h""",
     "link_rewrite": rf"""WITH {LINKS},
         numbered AS (SELECT page_id, generate_subscripts(t, 1) AS n, unnest(t) AS part

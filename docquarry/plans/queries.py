@@ -211,7 +211,7 @@ def link_extract(spark, sf):
 @query
 def link_resolve(spark, sf):
     pages, targets = corpus.linked_pages(spark, sf)
-    return resolve_links(extract_links(pages, "page_id"), targets, "page_id").select("page_id", "position", "uri")
+    return resolve_links(extract_links(pages, "page_id"), targets, "page_id").select("page_id", "position", "target_uri")
 
 
 @query
