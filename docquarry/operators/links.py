@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.paths import parent_dir, resolve_path
+from docquarry.operators.sizing import settled
 
 # Fixed value: inline links and images with an optional quoted title.
 LINK = r"""!?\[([^\]]*)\]\(([^)\s]+)(\s+"[^"]*")?\)"""
@@ -47,10 +48,11 @@ def resolve_links(links: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     than ``HOT_SHARE`` of them whatever the size of the data. Their rows, and rows that resolve
     to nothing, go through the shuffle under keys of their own, so no task collects them.
     """
+    links = settled(links, "links")  # read three times below; the texts are searched once
     counted = links.filter(F.col("resolved").isNotNull()).groupBy("resolved").count()
-    total = counted.agg(F.sum("count").alias("total"))
+    total = links.filter(F.col("resolved").isNotNull()).count()
     popular = (
-        counted.join(F.broadcast(total), F.col("count") * HOT_SHARE > F.col("total"))
+        counted.filter(F.col("count") * HOT_SHARE > total)
         .join(targets.select(F.col("file_path").alias("resolved"), F.col("uri").alias("popular_uri")), "resolved")
         .select("resolved", "popular_uri")
     )
