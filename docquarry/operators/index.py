@@ -6,7 +6,7 @@ import hashlib
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.analysis import deletions, term_counts
@@ -20,7 +20,7 @@ STORED = (
 )
 
 FIELD_NUMBER = {name: number for number, name in enumerate(FIELDS)}
-BUCKETS = 16
+BUCKET_BYTES = 1 << 30  # of chunk text
 
 
 def field_texts(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -88,7 +88,7 @@ def open_postings(spark: SparkSession, location: str, buckets: int) -> DataFrame
 
 
 def build_index(
-    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int = BUCKETS, in_memory: bool = False
+    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int | None = None, in_memory: bool = False
 ) -> SearchIndex:
     """Write a new index generation and open it. An older generation is untouched, whatever happens here.
 
@@ -96,15 +96,21 @@ def build_index(
     addresses wherever equal scores are put in order. Postings are bucketed by chunk: all of a
     chunk's terms lie in one bucket, scoring a chunk needs no shuffle, and a term found
     everywhere is spread evenly. Inside a bucket they are sorted by term, so a lookup reads few
-    row groups. The input is read twice; pass a settled table rather than a long computation.
+    row groups. The number of buckets follows the amount of text, which is observed while the
+    chunks are written. The input is read twice; pass a settled table, not a long computation.
     """
     spark = chunks.sparkSession
     location = location or new_location(spark, "index")
     in_order = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED)).repartitionByRange("source_uri", "chunk_id")
     numbered = in_order.sortWithinPartitions("source_uri", "chunk_id").withColumn("chunk_no", F.monotonically_increasing_id())
-    numbered.write.option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{location}/chunks")
+    text = Observation()
+    observed = numbered.observe(text, F.sum(F.octet_length("content")).alias("octets"))
+    observed.write.option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{location}/chunks")
     stored = spark.read.schema(numbered.schema).parquet(f"{location}/chunks")
 
+    if buckets is None:
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+        buckets = min(most, max(spark.sparkContext.defaultParallelism, (text.get["octets"] or 0) // BUCKET_BYTES + 1))
     numbers = F.create_map(*(F.lit(x) for name, number in FIELD_NUMBER.items() for x in (name, number)))
     texts = field_texts(stored.repartition(buckets, "chunk_no"), "chunk_no").withColumn("field_no", numbers[F.col("field")].cast("tinyint"))
     postings = count_postings(texts, analyzer, "chunk_no", "field_no").sortWithinPartitions("term")

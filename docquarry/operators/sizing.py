@@ -50,8 +50,8 @@ def hold_table(df: DataFrame, label: str) -> Held:
 
 def hold_local(df: DataFrame, label: str) -> Held:
     """For what belongs to one interactive query: a few rows per word, kept by the session itself."""
-    rows = df.collect()
-    return Held(df.sparkSession.createDataFrame(rows, df.schema), len(rows))
+    rows = df.toArrow()
+    return Held(df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows)
 
 
 def spread(scan: DataFrame) -> DataFrame:

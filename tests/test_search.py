@@ -210,3 +210,12 @@ def test_pages(spark, index):
     assert "<mark>Checksums</mark>" in references[1] and references[1].endswith("\n\n")
     content = page_text(queries, search_pages(index, queries, SearchSettings(result_mode=CONTENT)), CONTENT).filter("query_id = 1").first().page
     assert "\n## Checksums\n\nEvery block is verified on open.\n\n" in content
+
+
+def test_many_terms_without_broadcast(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(("readiness probe", "bearer token", "checksums"))], "query_id long, query string")
+    expected = sorted(srch.candidates(index, queries, limit=25).collect())
+    monkeypatch.setattr("docquarry.operators.sizing.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("docquarry.operators.search.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("docquarry.operators.search.PUSHED_VALUES", 0)
+    assert sorted(srch.candidates(index, queries, limit=25).collect()) == expected
