@@ -15,7 +15,6 @@ from docquarry.operators.search import (
     Hold,
     field_fuzziness,
     leaves,
-    positive,
     ranked_candidates,
     with_columns,
     with_stored,
@@ -79,9 +78,9 @@ def search_pages(
     index: SearchIndex, queries: DataFrame, settings: SearchSettings, fuzziness: Fuzziness = field_fuzziness, hold: Hold = hold_table
 ) -> DataFrame:
     """Capped result pages of many queries, with stored columns fetched for the chosen rows only."""
-    limit, boosts = settings.max_results, settings.boosts()
-    looked_up = leaves(index, queries, boosts, fuzziness, hold)
-    ranked = hold(ranked_candidates(index, queries, looked_up, positive(boosts), max(limit, 1) * WINDOW_PER_RESULT), "ranked")
+    limit = settings.max_results
+    looked_up = leaves(index, queries, settings.boosts(), fuzziness, hold)
+    ranked = hold(ranked_candidates(index, queries, looked_up, max(limit, 1) * WINDOW_PER_RESULT), "ranked")
     numbered = Held(ranked.rows.withColumn("number", F.col("chunk_no")), ranked.count)
     chosen = cap_page(with_columns(index, numbered, ("source_id",)), settings.result_mode, limit)
     positions = chosen.select("query_id", F.col("number").alias("chunk_no"), "score", F.col("position").alias("rank"))

@@ -17,6 +17,11 @@ BROADCAST_ROWS = 200_000
 _UNIT = float(1 << 46)
 
 
+def exact_value(value: Column) -> Column:
+    """A single value, as ``exact_sum`` would give it."""
+    return F.rint(value * _UNIT) / _UNIT
+
+
 def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
     """Order-independent sum of values of ordinary size, per group or over a window."""
     units = F.sum(F.rint(value * _UNIT).cast("long"))
