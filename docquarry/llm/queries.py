@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, deal, lengths, packing, topk
+from docquarry.llm import bpe, deal, lengths, packing, rules, topk, weak
 from docquarry.llm.common import table, whole_text
+from docquarry.operators.sizing import settled
 from docquarry.session import ship_package
 
 TOKENIZERS = {"packing": "byte_bpe_50k.json", "lengths": "byte_bpe_50k.json", "bpe": "byte_bpe_multi_50k.tiktoken"}
@@ -42,6 +43,19 @@ def packed_digest(pieces: DataFrame) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("failed").bitwiseAND(F.lit(rules.mask(rules.BASE))) != 0
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return book.select("doc_id", *counts, base.alias("base_failed"), (~rules.rejected("strict-1")).alias("kept"), F.col("failed").alias("failed_bits"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = settled(weak.observed(docs, carry=("doc_id",)), "op5-seen")
+    return weak.score(seen, weak.fit(seen, table(spark, sf_dir, "labels"))).select("doc_id", "junk", "toxic", "rejected", (~F.col("rejected")).alias("kept"))
+
+
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = deal.deal(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return dealt.select(
@@ -64,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(counted)
 
 
-_ALL = {f.__name__: f for f in (op1_exact_top_k, op2_pack_documents, op6_shard_documents, op7_byte_bpe, op10_token_counts)}
+_ALL = {f.__name__: f for f in (op1_exact_top_k, op2_pack_documents, op3_quality_rules, op5_quality_classifier, op6_shard_documents, op7_byte_bpe, op10_token_counts)}
 
 
 def _shipping(query):
@@ -88,4 +102,23 @@ ORACLE = {
             FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op3_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+            FROM documents),
+        tri AS (SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS w FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM d)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM tri) WHERE n > 1),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                   coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS n_upper,
+                   length(t) - length(replace(t, '!', '')) AS n_exclamations, len(list_distinct(ws)) AS n_distinct_words,
+                   len(list_filter(ws, lambda x, i: x = ws[i + 1])) AS n_doubled_words
+            FROM d LEFT JOIN covered c USING (doc_id)),
+        b AS (
+            SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
+        FROM b""".replace("{bits}", " + ".join(f"CASE WHEN {condition} THEN {1 << i} ELSE 0 END" for i, (_, condition) in enumerate(rules.RULES))),
 }
