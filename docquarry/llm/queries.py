@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, deal, lengths, packing, rules, topk, weak
+from docquarry.llm import bpe, deal, lengths, packing, rules, simhash, topk, weak
 from docquarry.llm.common import table, whole_text
 from docquarry.operators.sizing import settled
 from docquarry.session import ship_package
@@ -50,6 +50,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", *counts, base.alias("base_failed"), (~rules.rejected("strict-1")).alias("kept"), F.col("failed").alias("failed_bits"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = settled(weak.observed(docs, carry=("doc_id",)), "op5-seen")
@@ -78,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(counted)
 
 
-_ALL = {f.__name__: f for f in (op1_exact_top_k, op2_pack_documents, op3_quality_rules, op5_quality_classifier, op6_shard_documents, op7_byte_bpe, op10_token_counts)}
+_ALL = {f.__name__: f for f in (op1_exact_top_k, op2_pack_documents, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier, op6_shard_documents, op7_byte_bpe, op10_token_counts)}
 
 
 def _shipping(query):
