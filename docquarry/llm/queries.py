@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, deal, lengths, packing, rules, simhash, topk, weak
+from docquarry.llm import bpe, deal, fmindex, lengths, packing, rules, simhash, suffixes, topk, weak
 from docquarry.llm.common import table, whole_text
 from docquarry.operators.sizing import settled
 from docquarry.session import ship_package
@@ -77,12 +77,28 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = fmindex.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.encoded_lengths(table(spark, sf_dir, "documents").select("text"), vocabulary("lengths"), public_tokenizers.PATTERN)
     return lengths.length_histogram(counted)
 
 
-_ALL = {f.__name__: f for f in (op1_exact_top_k, op2_pack_documents, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier, op6_shard_documents, op7_byte_bpe, op10_token_counts)}
+_ALL = {
+    query.__name__: query
+    for query in (
+        op1_exact_top_k, op2_pack_documents, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier,
+        op6_shard_documents, op7_byte_bpe, op8_fm_index_dedup, op9_suffix_array_dedup, op10_token_counts,
+    )
+}
 
 
 def _shipping(query):
