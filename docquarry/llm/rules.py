@@ -109,6 +109,16 @@ def rejected(policy: str) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) != 0
 
 
+def passing(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The ledger's rows that a policy keeps.
+
+    The row number is there for the optimizer only: it would else move the filter below the measurements, writing them all out again for every
+    time one uses another.
+    """
+    book = ledger(docs, text).withColumn("_at", F.monotonically_increasing_id())
+    return book.where(~rejected(policy) & (F.col("_at") >= 0)).drop("_at")
+
+
 def ablations(book: DataFrame, policy: str) -> DataFrame:
     """Per rule of a policy: how many rows fail it, how many only it rejects (they would pass without it), and the rows in all.
 
