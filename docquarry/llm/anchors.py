@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import buffers, parts_for, ragged, slices
@@ -146,18 +146,20 @@ def segments(docs: DataFrame, cut: Cut) -> DataFrame:
 
 @dataclass(frozen=True)
 class Repeated:
-    """``firsts``: g, s, n, c (how often), doc, a of each content's first segment. ``others``: doc, a, n of all later ones."""
+    """``firsts``: g, s, n, c (how often, 2 for more), doc, a of each content's first segment. ``others``: doc, a, n of all later ones."""
 
     firsts: DataFrame
     others: DataFrame
 
 
 def repeated(docs: DataFrame, cut: Cut, label: str) -> Repeated:
+    # Counting sums up before it shuffles, and adaptive execution splits the segments of a frequent anchor in the join.
     rows = segments(docs, cut)
-    count = F.count(F.lit(1)).over(Window.partitionBy("g"))
-    rows = settled(rows.withColumn("c", count).where("c > 1").drop("c"), f"{label}-repeated")
-    firsts = rows.groupBy("g", "s").agg(F.min(F.struct("doc", "a")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
-    firsts = settled(firsts.select("g", "s", "n", "c", "f.doc", "f.a"), f"{label}-firsts")
+    several = rows.select("g").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    rows = settled(rows.join(several, "g", "left_semi"), f"{label}-repeated")
+    place = F.struct("doc", "a")  # the same in all rows that repeat a document, which so count once
+    firsts = rows.groupBy("g", "s").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.first("n").alias("n"))
+    firsts = settled(firsts.select("g", "s", "n", F.when(F.col("f") == F.col("l"), 1).otherwise(2).cast("long").alias("c"), "f.doc", "f.a"), f"{label}-firsts")
     known = firsts.where("c > 1").select("g", "s", F.col("doc").alias("d0"), F.col("a").alias("a0"))
     others = rows.join(known, ["g", "s"]).where("doc <> d0 or a <> a0").select("doc", "a", "n")
     return Repeated(firsts, others)
@@ -181,7 +183,7 @@ def fetched(dealt: DataFrame, firsts: DataFrame, cut: Cut) -> DataFrame:
                     yield from _payload(part, cut)
 
     shards = both.mapInArrow(run, "g long, doc long, a long, n int, c long, d binary")
-    return shards.repartition(parts_for(dealt), "g").sortWithinPartitions("g")
+    return shards.repartition(parts_for(dealt), "g").sortWithinPartitions("g", "doc", "a")
 
 
 def _payload(part: pa.RecordBatch, cut: Cut):
@@ -223,6 +225,9 @@ def by_shard(shards: DataFrame, search, most: int) -> DataFrame:
             yield from spans(pa.Table.from_batches(kept).combine_chunks())
 
     def spans(table):
+        same = np.all([x[1:] == x[:-1] for x in (table[c].to_numpy() for c in ("g", "doc", "a"))], axis=0)  # of rows that repeat a document
+        if same.any():
+            table = table.filter(pa.array(np.append(True, ~same))).combine_chunks()
         g, sizes = table["g"].to_numpy(), np.asarray(pc.binary_length(table["d"]))
         heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         for i, j in slices(np.add.reduceat(sizes.astype(np.int64), heads), most):

@@ -101,7 +101,7 @@ def repeated_windows(part: pa.Table, length: int = LENGTH):
     values = np.zeros(len(words) + len(begins), np.int64)
     values[ragged(starts, lengths)] = numbered + 1
     weight = np.ones(len(values), np.int64)
-    weight[ragged(starts, lengths)] = np.repeat(np.minimum(part["c"].to_numpy(), 2), lengths)
+    weight[ragged(starts, lengths)] = np.repeat(part["c"].to_numpy(), lengths)
     index = Index(values, len(kinds) + 1, weight, length)
     places = ragged(starts, windows)
     segment = np.repeat(np.arange(len(starts)), windows)

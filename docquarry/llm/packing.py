@@ -25,8 +25,8 @@ from docquarry.llm.tokens import shared_pieces
 
 #: Penalties in tokens of padding.
 SENTENCE, INSIDE = 2, 32
-#: In a passage without sentence ends a cut is allowed every so many tokens.
-STRIDE = 64
+#: In a passage without sentence ends, of a quarter sequence or more, a cut is allowed at every sixteenth of a sequence.
+STRIDES = 16
 #: Tokens after which windows are committed, and windows at the open end that are decided again.
 HORIZON, OPEN = 262_144, 16
 ENDINGS = (b".", b"!", b"?", "…".encode(), "。".encode(), "！".encode(), "？".encode())
@@ -67,15 +67,15 @@ class Packer:
     """Takes documents one by one and gives pieces (document, start, ids, tokens of the document, sequence, offset)."""
 
     def __init__(self, size: int, ends_sentence: np.ndarray, number: int):
-        self.size, self.ends, self.sequence = size, ends_sentence, number
+        self.size, self.ends, self.sequence, self.stride = size, ends_sentence, number, max(1, size // STRIDES)
         self.docs: list[tuple[object, np.ndarray, int, int]] = []  # key, ids that are not yet packed, place in the stream, ids before them
         self.places, self.penalties, self.total = [0], [0], 0
 
     def add(self, key, ids: np.ndarray) -> None:
         inner = np.flatnonzero(self.ends[ids[:-1]]) + 1  # the last id ends the document
         marks = np.concatenate(([0], inner, [len(ids)]))
-        wide = np.flatnonzero(np.diff(marks) > STRIDE * 4)
-        extra = [np.arange(marks[w] + STRIDE, marks[w + 1] - STRIDE // 2, STRIDE) for w in wide.tolist()]
+        wide = np.flatnonzero(np.diff(marks) > self.stride * 4)
+        extra = [np.arange(marks[w] + self.stride, marks[w + 1] - self.stride // 2, self.stride) for w in wide.tolist()]
         cuts, costs = np.concatenate((inner, *extra)), np.concatenate((np.full(len(inner), SENTENCE), *(np.full(len(x), INSIDE) for x in extra)))
         order = np.argsort(cuts, kind="stable")
         self.docs.append((key, ids, self.total, 0))

@@ -113,7 +113,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, least: np.ndarray, rounds
     Returns the posterior of bad per pattern, per labeller its accuracy on (bad, good) rows, and the share of bad rows.
     """
     bad, good = patterns == 1, patterns == 0
-    right = np.maximum(np.full((patterns.shape[1], 2), 0.8), least[:, None])
+    right = np.maximum(np.tile([0.8, 0.95], (patterns.shape[1], 1)), least[:, None])  # heuristics seldom fire on good rows
     prior, posterior = 0.2, np.full(len(counts), 0.2)
     for _ in range(rounds):
         log_bad = np.log(prior) + bad @ np.log(right[:, 0]) + good @ np.log(1 - right[:, 0])
@@ -121,9 +121,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, least: np.ndarray, rounds
         posterior = 1 / (1 + np.exp(np.clip(log_good - log_bad, -50, 50)))
         yes, no = counts * posterior, counts * (1 - posterior)
         prior = min(max((yes.sum() + 1) / (counts.sum() + 5), 1e-4), 0.5)
-        # Counts of 8 right and 2 wrong votes beforehand: an accuracy stays off 0 and 1, and no labeller is turned round by few rows.
+        # A few right and wrong votes beforehand: an accuracy stays off 0 and 1, and no labeller is turned round by few rows.
         right[:, 0] = (yes @ bad + 8) / (yes @ (bad | good) + 10)
-        right[:, 1] = (no @ good + 8) / (no @ (bad | good) + 10)
+        right[:, 1] = (no @ good + 19) / (no @ (bad | good) + 20)
         right = np.clip(right, least[:, None], 0.999)
     return posterior, right, prior
 
