@@ -262,4 +262,31 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     same = both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
-    return _named(held, prints, components(same, "similar-stars"), key)
+    return _named(held, prints, components(forest(same, pairs.count()), "similar-stars"), key)
+
+
+#: Links that a task reduces to a forest at a time.
+FOREST = 2_000_000
+
+
+def forest(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (u, v) that connect what the given ones connect, fewer where they are dense: each task keeps a star per component it sees."""
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(x.num_rows for x in kept) >= FOREST:
+                yield stars(kept)
+                kept = []
+        if kept:
+            yield stars(kept)
+
+    def stars(kept):
+        table = pa.Table.from_batches(kept)
+        names, places = np.unique(np.concatenate([table[c].to_numpy() for c in ("u", "v")]), return_inverse=True)
+        label = smallest(len(names), *np.split(places, 2))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], names=["u", "v"])
+
+    return edges.coalesce(1 + count // FOREST).mapInArrow(run, "u long, v long")

@@ -57,7 +57,7 @@ def _measured(held: DataFrame) -> DataFrame:
     Each step is a column of its own, since expressions that use it several times would else split the text as often.
     """
     held = held.withColumns({
-        "w": F.split(F.trim("t"), SEPARATORS), "l": F.split("t", "\n"), "v": F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+")),
+        "w": F.split(F.trim("t"), SEPARATORS), "l": F.split("t", "\n"), "v": F.array_remove(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+")), ""),
         "m": F.regexp_replace("t", r"[^#*$%&|<>!\p{Lu}]+", ""),
     })
     marks, words = F.col("m"), F.size("w")
@@ -113,7 +113,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, least: np.ndarray, rounds
     Returns the posterior of bad per pattern, per labeller its accuracy on (bad, good) rows, and the share of bad rows.
     """
     bad, good = patterns == 1, patterns == 0
-    right = np.maximum(np.tile([0.8, 0.95], (patterns.shape[1], 1)), least[:, None])  # heuristics seldom fire on good rows
+    right = np.maximum(np.full((patterns.shape[1], 2), 0.8), least[:, None])
     prior, posterior = 0.2, np.full(len(counts), 0.2)
     for _ in range(rounds):
         log_bad = np.log(prior) + bad @ np.log(right[:, 0]) + good @ np.log(1 - right[:, 0])
@@ -123,7 +123,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, least: np.ndarray, rounds
         prior = min(max((yes.sum() + 1) / (counts.sum() + 5), 1e-4), 0.5)
         # A few right and wrong votes beforehand: an accuracy stays off 0 and 1, and no labeller is turned round by few rows.
         right[:, 0] = (yes @ bad + 8) / (yes @ (bad | good) + 10)
-        right[:, 1] = (no @ good + 19) / (no @ (bad | good) + 20)
+        right[:, 1] = (no @ good + 8) / (no @ (bad | good) + 10)
         right = np.clip(right, least[:, None], 0.999)
     return posterior, right, prior
 
