@@ -29,8 +29,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier takes for junk or toxic."""
     ship_package(spark.sparkContext)
-    seen = settled(weak.observed(_documents(docs)), "pipeline-seen")
-    return weak.score(seen, weak.fit(seen, table(spark, sf_dir, "labels"))).where(~F.col("rejected")).select(*COLUMNS)
+    docs = _documents(docs)
+    model = weak.fit(settled(weak.observed(docs, carry=("doc_id",)), "pipeline-seen"), table(spark, sf_dir, "labels"))
+    return weak.score(weak.observed(docs), model).where(~F.col("rejected")).select(*COLUMNS)  # read again, so no copy of the texts is kept
 
 
 def obey_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
