@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 try:
     import yaml
 except ImportError:  # pragma: no cover - reported when a header is met
     yaml = None
 
-OPEN = "---\n"
+#: A line of three dashes, lines of YAML of which only the first may begin with dashes, and a line of three dashes.
+HEADER = re.compile(r"---\n(?P<yaml>(?:---[^\n]+\n)?(?:(?!---)[^\n]*\n)*)---(?:\n|\Z)")
 
 
 class FrontmatterError(ValueError):
@@ -49,23 +52,14 @@ def load_mapping(text: str) -> dict:
 
 def split_header(text: str, required: bool) -> tuple[dict, int, int]:
     """Metadata, the character offset of the body and its 1-based line, for newline-normalised text."""
-    if not text.startswith(OPEN):
-        if required:
-            raise FrontmatterError("file must start with YAML frontmatter (---\\n)")
-        return {}, 0, 1
-    head = len(OPEN)
-    if text.startswith(OPEN, head):
-        return {}, 2 * head, 3
-    if text[head:] == "---":
-        return {}, len(text), 3
-    close = text.find("\n---", head)
-    if close < 0:
-        raise FrontmatterError("invalid frontmatter format - missing closing ---")
-    after = close + len("\n---")
-    if after < len(text) and text[after] != "\n":
-        raise FrontmatterError("closing --- must be on its own line")
-    start = min(after + 1, len(text))
-    return load_mapping(text[head:close]), start, text.count("\n", 0, start) + 1
+    header = HEADER.match(text)
+    if header:
+        return load_mapping(header["yaml"]), header.end(), text.count("\n", 0, header.end()) + (1 if header[0].endswith("\n") or header["yaml"] else 2)
+    if text.startswith("---\n"):
+        raise FrontmatterError("the YAML header has no closing line of three dashes alone")
+    if required:
+        raise FrontmatterError("a YAML header is required here")
+    return {}, 0, 1
 
 
 def text_value(metadata: dict, key: str) -> str:

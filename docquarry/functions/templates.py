@@ -69,16 +69,6 @@ def parse(text: str) -> list:
     return root
 
 
-def fields_of(nodes: list) -> set[str]:
-    names: set[str] = set()
-    for node in nodes:
-        if node[0] == "field":
-            names.add(node[1])
-        elif node[0] == "if":
-            names |= {node[1]} | fields_of(node[2]) | fields_of(node[3])
-    return names
-
-
 def render(nodes: list, arguments: Mapping[str, Column]) -> Column:
     """Rendered text; an argument that is absent or null is empty."""
 

@@ -64,9 +64,9 @@ def parse(texts: DataFrame, scheme: str, required_header: bool = False) -> DataF
     size = F.octet_length("text")
     body = F.when(F.col("o.body_byte") > 0, _slice_bytes(F.col("text"), F.col("o.body_byte"), size)).otherwise(F.col("text"))
     problem = (
-        F.when(F.col("read_error").isNotNull(), F.concat(F.lit("read configured file: "), "read_error"))
-        .when(F.col("o.error").isNotNull(), F.concat(F.lit("parse configured file: "), "o.error"))
-        .when(~paths.addressable(uri), F.lit("address configured file: not a valid address"))
+        F.when(F.col("read_error").isNotNull(), F.concat(F.lit("unreadable: "), "read_error"))
+        .when(F.col("o.error").isNotNull(), F.concat(F.lit("unparsable: "), "o.error"))
+        .when(~paths.addressable(uri), F.lit("its path makes no valid address"))
     )
     return outlined.select(
         problem.alias("error"),
@@ -134,11 +134,11 @@ def check_unique(df: DataFrame, key: str, what: str) -> None:
 
 
 def reject_or_skip(documents: DataFrame, lenient: bool) -> DataFrame:
-    """Strict: the first failing file in path order is an error. Lenient: failing files are left out."""
+    """Strict: the first failing file in path order is an error. Lenient: failing files are left out and counted in the log."""
     failures = documents.filter(F.col("error").isNotNull()).select("file_path", "error").orderBy("file_path")
     if lenient:
-        for row in failures.limit(20).collect():  # a bounded sample for the log; all are skipped
-            log.warning("Skipping configured file %s: %s", row.file_path, row.error)
+        if number := failures.count():
+            log.warning("%d files are left out; the table of documents holds each with its error", number)
     elif (first := failures.head()) is not None:
         raise CatalogError(f"{first.file_path}: {first.error}")
     return documents.filter(F.col("error").isNull())

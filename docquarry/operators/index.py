@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquarry.functions.analysis import deletions, term_counts
@@ -80,9 +81,10 @@ def table_name(location: str) -> str:
 def open_postings(spark: SparkSession, location: str, buckets: int) -> DataFrame:
     """The bucketed postings. Spark needs a table definition to know how the files are laid out."""
     name = table_name(location)
+    quoted = location.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (chunk_no BIGINT, field_no TINYINT, term STRING, tf INT, field_length INT) "
-        f"USING parquet CLUSTERED BY (chunk_no) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{location}/postings'"
+        f"CREATE TABLE IF NOT EXISTS {name} (chunk_no BIGINT, place INT, field_no TINYINT, term STRING, tf INT, field_length INT) "
+        f"USING parquet CLUSTERED BY (chunk_no) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{quoted}/postings'"
     )
     return spark.table(name)
 
@@ -93,7 +95,8 @@ def build_index(
     """Write a new index generation and open it. An older generation is untouched, whatever happens here.
 
     Chunks are stored in address order and numbered in it, so that a number stands for both
-    addresses wherever equal scores are put in order. Postings are bucketed by chunk: all of a
+    addresses wherever equal scores are put in order; ``place`` counts the chunks of the same
+    source before it, so ``chunk_no - place`` stands for the source. Postings are bucketed by chunk: all of a
     chunk's terms lie in one bucket, scoring a chunk needs no shuffle, and a term found
     everywhere is spread evenly. Inside a bucket they are sorted by term, so a lookup reads few
     row groups. The number of buckets follows the amount of text, which is observed while the
@@ -101,8 +104,10 @@ def build_index(
     """
     spark = chunks.sparkSession
     location = location or new_location(spark, "index")
-    in_order = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED)).repartitionByRange("source_uri", "chunk_id")
+    in_order = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED)).repartitionByRange("source_uri")
     numbered = in_order.sortWithinPartitions("source_uri", "chunk_id").withColumn("chunk_no", F.monotonically_increasing_id())
+    in_source = W.partitionBy("source_uri").orderBy("chunk_id")  # at most one document, and already together and in order
+    numbered = numbered.withColumn("place", F.row_number().over(in_source) - 1)
     text = Observation()
     observed = numbered.observe(text, F.sum(F.octet_length("content")).alias("octets"))
     observed.write.option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{location}/chunks")
@@ -112,8 +117,8 @@ def build_index(
         most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
         buckets = min(most, max(spark.sparkContext.defaultParallelism, (text.get["octets"] or 0) // BUCKET_BYTES + 1))
     numbers = F.create_map(*(F.lit(x) for name, number in FIELD_NUMBER.items() for x in (name, number)))
-    texts = field_texts(stored.repartition(buckets, "chunk_no"), "chunk_no").withColumn("field_no", numbers[F.col("field")].cast("tinyint"))
-    postings = count_postings(texts, analyzer, "chunk_no", "field_no").sortWithinPartitions("term")
+    texts = field_texts(stored.repartition(buckets, "chunk_no"), "chunk_no", "place").withColumn("field_no", numbers[F.col("field")].cast("tinyint"))
+    postings = count_postings(texts, analyzer, "chunk_no", "place", "field_no").sortWithinPartitions("term")
     postings.write.bucketBy(buckets, "chunk_no").sortBy("term").option("path", f"{location}/postings").saveAsTable(table_name(location))
 
     dictionary_of(spark.table(table_name(location)), "field_no").sortWithinPartitions("term").write.parquet(f"{location}/dictionary")

@@ -1,10 +1,9 @@
-"""The result page: per-source cap over the candidate window, and its text form."""
+"""The result page: the best matches, few of each source, and its text form."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,34 +15,15 @@ from docquarry.operators.search import (
     field_fuzziness,
     leaves,
     ranked_candidates,
-    with_columns,
     with_stored,
 )
-from docquarry.operators.sizing import Held, hold_table
+from docquarry.operators.sizing import hold_table
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
 
-# Fixed value: a page is chosen from at most this many candidates per requested result. Widening the
-# window step by step up to it ends in the same page, because the choice reads candidates in order.
-WINDOW_PER_RESULT = 80
-
-
 def source_cap(mode: str) -> int:
     return 1 if mode == REFERENCES else 2
 
 
-def cap_page(ranked: DataFrame, mode: str, limit: int, source: str = "source_id") -> DataFrame:
-    """Per query, in rank order, at most one (references) or two chunks of a source, ``limit`` in all.
-
-    Input is a table of ranked candidates (``query_id``, ``rank``), already bounded per query.
-    """
-    if limit <= 0:
-        return ranked.withColumn("position", F.lit(0)).limit(0)
-    by_source = W.partitionBy("query_id", source).orderBy("rank")
-    kept = ranked.withColumn("nth", F.row_number().over(by_source)).filter(F.col("nth") <= source_cap(mode)).drop("nth")
-    in_page = W.partitionBy("query_id").orderBy("rank")
-    return kept.withColumn("position", F.row_number().over(in_page)).filter(F.col("position") <= limit)
-
-
 def _two_decimals(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else f"{v:.2f}" for v in values.to_pylist()], pa.string())
 
@@ -63,6 +43,10 @@ def hit_text(mode: str) -> Column:
     return F.concat(head, place, score, extract, body, F.lit("\n"))
 
 
+def nothing_found() -> Column:
+    return F.concat(F.lit("No results found for '"), "query", F.lit("'"))
+
+
 def page_text(queries: DataFrame, page: DataFrame, mode: str) -> DataFrame:
     """(query_id, page) for every query; a page holds at most the requested number of results."""
     lines = page.select("query_id", "position", hit_text(mode).alias("line"))
@@ -70,18 +54,13 @@ def page_text(queries: DataFrame, page: DataFrame, mode: str) -> DataFrame:
     joined = queries.join(bodies, "query_id", "left")
     body = F.array_join(F.transform("hits", lambda h: h["line"]), "")
     found = F.concat(F.lit("Search results for '"), "query", F.lit("':\n\n"), body)
-    nothing = F.concat(F.lit("No results found for '"), "query", F.lit("'"))
-    return joined.select("query_id", F.when(F.col("hits").isNull(), nothing).otherwise(found).alias("page"))
+    return joined.select("query_id", F.when(F.col("hits").isNull(), nothing_found()).otherwise(found).alias("page"))
 
 
 def search_pages(
     index: SearchIndex, queries: DataFrame, settings: SearchSettings, fuzziness: Fuzziness = field_fuzziness, hold: Hold = hold_table
 ) -> DataFrame:
-    """Capped result pages of many queries, with stored columns fetched for the chosen rows only."""
-    limit = settings.max_results
+    """Result pages of many queries, chosen from all matches: one chunk of a source (references) or two."""
     looked_up = leaves(index, queries, settings.boosts(), fuzziness, hold)
-    ranked = hold(ranked_candidates(index, queries, looked_up, max(limit, 1) * WINDOW_PER_RESULT), "ranked")
-    numbered = Held(ranked.rows.withColumn("number", F.col("chunk_no")), ranked.count)
-    chosen = cap_page(with_columns(index, numbered, ("source_id",)), settings.result_mode, limit)
-    positions = chosen.select("query_id", F.col("number").alias("chunk_no"), "score", F.col("position").alias("rank"))
-    return with_stored(index, hold(positions, "page"), looked_up).withColumnRenamed("rank", "position")
+    chosen = ranked_candidates(index, queries, looked_up, settings.max_results, source_cap(settings.result_mode))
+    return with_stored(index, hold(chosen, "page"), looked_up).withColumnRenamed("rank", "position")

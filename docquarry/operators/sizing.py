@@ -23,9 +23,15 @@ def exact_value(value: Column) -> Column:
 
 
 def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
-    """Order-independent sum of values of ordinary size, per group or over a window."""
-    units = F.sum(F.rint(value * _UNIT).cast("long"))
-    return (units if window is None else units.over(window)) / _UNIT
+    """Order-independent sum of doubles, per group or over a window.
+
+    Whole multiples of 2^-20 and what is left of each value, up to 2^26 units, are summed apart: sums up to 2^43 fit.
+    """
+    scaled = value * float(1 << 20)
+    coarse = F.floor(scaled)
+    fine = F.rint((scaled - coarse) * float(1 << 26)).cast("long")
+    sums = [F.sum(part) if window is None else F.sum(part).over(window) for part in (coarse, fine)]
+    return sums[0] / float(1 << 20) + sums[1] / _UNIT
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:

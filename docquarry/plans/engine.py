@@ -14,15 +14,15 @@ from docquarry.operators.diff import listing_diff
 from docquarry.operators.digests import content_digest, listing_digest, value
 from docquarry.operators.index import SearchIndex, build_index
 from docquarry.operators.links import link_transformer
-from docquarry.operators.page import page_text, search_pages
+from docquarry.operators.page import nothing_found, page_text, search_pages
 from docquarry.operators.sizing import hold_local, hold_table, settled
 from docquarry.session import new_location, ship_package
-from docquarry.settings import Settings, validate
+from docquarry.settings import Settings
 from docquarry.sources import manifest as man
 from docquarry.sources.discovery import discover
 from docquarry.sources.listing import list_files
 from docquarry.sources.prompts import discover_prompts, get_prompt, list_prompts
-from docquarry.streaming.refresh import FILE_IDENTITY, REFRESH_INTERVAL, Revalidator
+from docquarry.streaming.refresh import REFRESH_INTERVAL, Revalidator, changed_files
 from docquarry.streaming.snapshot import Snapshot, SnapshotHolder
 
 log = logging.getLogger(__name__)
@@ -50,8 +50,6 @@ class Engine:
         now: Callable[[], float] | None = None,
     ) -> Engine:
         ship_package(spark.sparkContext)
-        validate(settings)
-        man.refuse_superseded(settings.content_dir, layout)
         engine = cls(spark, settings, man.load_manifest(settings.content_dir, version, layout), layout)
         # The listing is taken before the files are read: a file edited in between is pending work.
         listing = engine._list()
@@ -88,8 +86,8 @@ class Engine:
         published = self.holder.current
         loaded = published.documents.filter("error is null").select("file_path")
         known = published.listing.join(loaded.withColumnRenamed("file_path", "path"), "path", "left_semi")
-        kept = self._listed.join(known.select("path", *FILE_IDENTITY), ["path", *FILE_IDENTITY], "left_semi")
-        todo = self._listed.join(kept.select("path"), "path", "left_anti")
+        todo = changed_files(known, self._listed)
+        kept = self._listed.join(todo.select("path"), "path", "left_anti")
         carried = published.documents.join(kept.select(F.col("path").alias("file_path")), "file_path", "left_semi")
         if self._listed.isEmpty() or not todo.isEmpty():
             fresh = discover(self.spark, self._root, self._selection, self.settings.uri_scheme, self._listed if kept.isEmpty() else todo)
@@ -122,21 +120,28 @@ class Engine:
     def revalidate(self) -> bool:
         return self._revalidator.revalidate()
 
-    def search(self, query: str, limit: int = 0) -> DataFrame:
+    def _index(self) -> SearchIndex | None:
+        """The index of the current generation, brought up to date; none after ``close``."""
+        if self.holder.current is None:
+            return None
         self.revalidate()
-        return ranked_search.search(self.holder.current.index, query, self.settings.search, limit)
+        return self.holder.current.index
+
+    def search(self, query: str, limit: int = 0) -> DataFrame | None:
+        return ranked_search.search(self._index(), query, self.settings.search, limit)
 
     def search_page(self, query: str) -> str:
-        self.revalidate()
-        index = self.holder.current.index
-        return self._pages(index, ranked_search.one_query(index, query), hold_local).first().page
+        asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
+        return self._pages(asked, hold_local).first().page
 
     def search_page_many(self, queries: DataFrame) -> DataFrame:
         """(query_id, page) for a table of (query_id, query), all from one generation."""
-        return self._pages(self.holder.current.index, queries, hold_table)
+        return self._pages(queries, hold_table)
 
-    def _pages(self, index: SearchIndex, queries: DataFrame, hold) -> DataFrame:
-        search = self.settings.search
+    def _pages(self, queries: DataFrame, hold) -> DataFrame:
+        index, search = self._index(), self.settings.search
+        if index is None:
+            return queries.select("query_id", nothing_found().alias("page"))
         return page_text(queries, search_pages(index, queries, search, hold=hold), search.result_mode)
 
     def read(self, uri: str) -> str:

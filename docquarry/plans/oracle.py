@@ -146,10 +146,10 @@ def top(boosts: dict[str, float], fuzzy: bool, limit: int = 25) -> str:
     return f"WITH RECURSIVE {scored(boosts, fuzzy)} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= {limit}"
 
 
-def capped(source: str, window: int, cap: int, limit: int) -> str:
+def capped(source: str, cap: int, limit: int) -> str:
     return f"""capped AS (
     SELECT *, row_number() OVER (PARTITION BY query_id, src ORDER BY rank) AS nth
-    FROM (SELECT *, {source} AS src FROM ranked WHERE rank <= {window})),
+    FROM (SELECT *, {source} AS src FROM ranked)),
 page AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS position FROM capped WHERE nth <= {cap}
          QUALIFY position <= {limit})"""
 
@@ -268,11 +268,11 @@ ORACLE: dict[str, str] = {
     "match_all": f"""WITH RECURSIVE {CHUNKS}, ordered AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY source_uri, chunk_id) AS INT) AS rank FROM chunks)
         SELECT item_id AS query_id, rank, chunk_id, CAST(1.0 AS DOUBLE) AS score FROM benchmark, ordered WHERE rank <= 25""",
     "any_vs_all": _any_vs_all(),
-    "diversity_cap_1": f"WITH RECURSIVE {EXACT}, {capped('source_uri', 800, 1, 10)} SELECT query_id, position, chunk_id FROM page",
-    "diversity_cap_2": f"WITH RECURSIVE {EXACT}, {capped('source_uri', 800, 2, 10)} SELECT query_id, position, chunk_id FROM page",
-    "flooded_page": f"""WITH RECURSIVE {EXACT}, {capped("CASE WHEN rank % 40 <> 0 THEN 'doc://flood' ELSE source_uri END", 160, 1, 2)}
-        SELECT query_id, position, rank, chunk_id FROM page""",
-    "page_texts": f"""WITH RECURSIVE {EXACT}, {capped('source_uri', 800, 1, 10)},
+    "diversity_cap_1": f"WITH RECURSIVE {EXACT}, {capped('source_uri', 1, 10)} SELECT query_id, position, chunk_id FROM page",
+    "diversity_cap_2": f"WITH RECURSIVE {EXACT}, {capped('source_uri', 2, 10)} SELECT query_id, position, chunk_id FROM page",
+    "flooded_page": f"""WITH RECURSIVE {EXACT}, {capped("CASE WHEN NOT regexp_matches(source_uri, '[05]$') THEN 'doc://flood' ELSE source_uri END", 1, 2)}
+        SELECT query_id, position, chunk_id FROM page""",
+    "page_texts": f"""WITH RECURSIVE {EXACT}, {capped('source_uri', 1, 10)},
         texts AS (
             SELECT query_id, string_agg('- **' || source_title || '** · [' || chunk_id || '](' || chunk_id || ')' || chr(10)
                 || '  - ' || source_path || ' > ' || array_to_string(path, ' > ') || ' · lines ' || start_line || '-' || end_line

@@ -15,7 +15,7 @@ from docquarry.operators.diff import listing_diff
 from docquarry.operators.digests import content_digest, listing_digest
 from docquarry.operators.index import dictionary_of, postings_of
 from docquarry.operators.links import extract_links, resolve_links, rewrite_links
-from docquarry.operators.page import cap_page, page_text
+from docquarry.operators.page import page_text, source_cap
 from docquarry.operators.sizing import hold_table
 from docquarry.plans import corpus
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
@@ -330,7 +330,8 @@ def any_vs_all(spark, sf):
 
 
 def _page(spark, sf, mode, limit=10):
-    return cap_page(_ranked(spark, sf, _exact, limit=limit * 80), mode, limit, "source_uri")
+    index, queries = corpus.index(spark, sf), corpus.queries_of(spark, sf)
+    return srch.candidates(index, queries, SearchSettings(), limit, _exact, cap=source_cap(mode)).withColumnRenamed("rank", "position")
 
 
 @query
@@ -345,15 +346,18 @@ def diversity_cap_2(spark, sf):
 
 @query
 def flooded_page(spark, sf):
-    """One large source in front: pages of two results from the 160 best candidates of each query."""
-    ranked = _ranked(spark, sf, _exact, limit=160)
-    flooded = ranked.withColumn("source_uri", F.when(F.col("rank") % 40 != 0, "doc://flood").otherwise(F.col("source_uri")))
-    return cap_page(flooded, REFERENCES, 2, "source_uri").select("query_id", "position", "rank", "chunk_id")
+    """Pages of two results while nearly all sources count as one: the cap has to look past most matches of a query."""
+    index, queries = corpus.index(spark, sf), corpus.queries_of(spark, sf)
+    flooding = ~F.col("source_uri").rlike("[05]$")
+    homes = index.chunks.select("chunk_no", "chunk_id", flooding.alias("flooding"))
+    matched = srch.scores(index, srch.leaves(index, queries, SearchSettings().boosts(), _exact)).join(homes, "chunk_no")
+    flooded = matched.withColumn("source_no", F.when(F.col("flooding"), F.lit(-1)).otherwise(F.col("source_no")))
+    return srch.best(srch.capped(flooded, source_cap(REFERENCES)), 2).select("query_id", F.col("rank").alias("position"), "chunk_id")
 
 
 @query
 def page_texts(spark, sf):
-    chosen = _page(spark, sf, REFERENCES).drop("rank", "source_uri")
+    chosen = _page(spark, sf, REFERENCES).drop("source_uri")
     stored = corpus.index(spark, sf).chunks
     page = stored.join(chosen, "chunk_id").withColumn("snippet", F.col("source_title"))
     return page_text(corpus.queries_of(spark, sf), page, CONTENT)

@@ -1,4 +1,4 @@
-"""Settings: defaults, environment and .env overrides, and validation."""
+"""Settings: defaults, environment and .env overrides. Each group checks itself when it is made."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ class SettingsError(ValueError):
 @dataclass(frozen=True)
 class SearchSettings:
     max_results: int = 10
-    in_memory: bool = True
+    in_memory: bool = False
     keywords_boost: float = 3.0
     heading_boost: float = 2.5
     title_boost: float = 2.0
@@ -32,6 +32,14 @@ class SearchSettings:
     content_boost: float = 1.0
     result_mode: str = REFERENCES
 
+    def __post_init__(self):
+        if self.result_mode not in (REFERENCES, CONTENT):
+            raise SettingsError(f"unknown result mode {self.result_mode!r}, known are {REFERENCES} and {CONTENT}")
+        # Weights are squared, so no boost may exceed the root of the largest double; NaN fails the comparison too.
+        unusable = {name: boost for name, boost in self.boosts().items() if not 0 <= boost <= MAX_BOOST}
+        if unusable or not any(self.boosts().values()):
+            raise SettingsError(f"boosts have to lie between 0 and {MAX_BOOST:.3g}, one of them above 0: {unusable or self.boosts()}")
+
     def boosts(self) -> dict[str, float]:
         """Searchable field to boost, in clause order."""
         return {
@@ -43,24 +51,16 @@ class SearchSettings:
         }
 
 
-@dataclass(frozen=True)
-class AuthSettings:
-    type: str = "none"
-    basic_username: str = ""
-    basic_password: str = ""
-    api_keys: tuple[str, ...] = ()
-
-
 @dataclass(frozen=True)
 class Settings:
     content_dir: str = field(default_factory=os.getcwd)
-    transport: str = "stdio"
-    host: str = "0.0.0.0"
-    port: int = 8080
     uri_scheme: str = "doc"
     cross_ref: bool = False
     search: SearchSettings = SearchSettings()
-    auth: AuthSettings = AuthSettings()
+
+    def __post_init__(self):
+        if not SCHEME.match(self.uri_scheme):
+            raise SettingsError(f"not a URI scheme: {self.uri_scheme!r}")
 
 
 TRUE_WORDS = frozenset({"1", "t", "true"})
@@ -76,8 +76,6 @@ def _convert(raw, kind: type, key: str):
             if word not in TRUE_WORDS | FALSE_WORDS:
                 raise ValueError(raw)
             return word in TRUE_WORDS
-        if kind is tuple:
-            return tuple(part.strip() for part in raw.split(","))
         return kind(raw)
     except ValueError:
         raise SettingsError(f"{key}: cannot read {raw!r} as {kind.__name__}") from None
@@ -116,63 +114,12 @@ def load_settings(overrides: dict | None = None, env: dict | None = None, dotenv
                 changed[item.name] = _convert(raw, type(value), key)
         return replace(current, **changed)
 
-    loaded = fill(Settings(), "")
-    keys = tuple(key.strip() for key in loaded.auth.api_keys)
-    return replace(loaded, auth=replace(loaded.auth, api_keys=keys))
-
-
-def validate_boosts(search: SearchSettings) -> None:
-    for name, boost in search.boosts().items():
-        if not math.isfinite(boost) or boost < 0:
-            raise SettingsError(f"search boost of {name} must be a finite, non-negative number, got: {boost}")
-        if boost > MAX_BOOST:
-            raise SettingsError(f"search boost of {name} must not exceed {MAX_BOOST}, got: {boost}")
-    if not any(search.boosts().values()):
-        raise SettingsError("at least one search boost must be positive")
-
-
-def validate(settings: Settings) -> Settings:
-    if settings.transport not in ("stdio", "sse"):
-        raise SettingsError(f"transport must be 'stdio' or 'sse', got: {settings.transport}")
-    if not SCHEME.match(settings.uri_scheme):
-        raise SettingsError(f"scheme must start with a letter and contain only letters, digits, +, -, . : {settings.uri_scheme}")
-    if settings.search.result_mode not in (REFERENCES, CONTENT):
-        raise SettingsError(f"search result mode must be 'references' or 'content', got: {settings.search.result_mode}")
-    validate_boosts(settings.search)
-
-    auth = settings.auth
-    has_basic = bool(auth.basic_username or auth.basic_password)
-    has_keys = bool(auth.api_keys)
-    if auth.type in ("none", ""):
-        if has_basic or has_keys:
-            raise SettingsError("auth-type 'none' is incompatible with auth credentials")
-    elif auth.type == "basic":
-        if has_keys:
-            raise SettingsError("auth-type 'basic' is mutually exclusive with API keys")
-        if not (auth.basic_username and auth.basic_password):
-            raise SettingsError("auth-type 'basic' requires both username and password")
-    elif auth.type == "apikey":
-        if has_basic:
-            raise SettingsError("auth-type 'apikey' is mutually exclusive with basic auth credentials")
-        if not has_keys:
-            raise SettingsError("auth-type 'apikey' requires at least one API key")
-    else:
-        raise SettingsError(f"unknown auth-type: {auth.type}")
-    return settings
+    return fill(Settings(), "")
 
 
 def summary(settings: Settings) -> dict[str, object]:
-    """Loggable view without secrets: unused settings are left out, credentials are masked."""
-    shown: dict[str, object] = {"content_dir": settings.content_dir, "transport": settings.transport}
-    if settings.transport == "sse":
-        shown |= {"host": settings.host, "port": settings.port}
-    shown |= {f"search.{item.name}": getattr(settings.search, item.name) for item in fields(SearchSettings)}
-    shown["auth.type"] = settings.auth.type
-    if settings.auth.type == "basic":
-        shown |= {"auth.basic_username": settings.auth.basic_username, "auth.basic_password": "****"}
-    elif settings.auth.type == "apikey":
-        shown["auth.api_keys.count"] = len(settings.auth.api_keys)
-    return shown
+    shown: dict[str, object] = {name: getattr(settings, name) for name in ("content_dir", "uri_scheme", "cross_ref")}
+    return shown | {f"search.{item.name}": getattr(settings.search, item.name) for item in fields(SearchSettings)}
 
 
 def log_settings(settings: Settings, logger: logging.Logger = log) -> None:

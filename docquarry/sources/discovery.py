@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import paths
-from docquarry.operators.catalog import CatalogError, parse, reject_or_skip
+from docquarry.operators.catalog import CatalogError, parse
 from docquarry.sources.files import RAW, read_files
 from docquarry.sources.listing import Selection, list_files
 
@@ -26,28 +26,15 @@ def discover(spark: SparkSession, root: str, selection: Selection, scheme: str,
         return _legacy(listing, scheme)
     if listing.isEmpty():
         if not selection.lenient:
-            raise CatalogError("configured index matched no files")
-        log.warning("Configured index matched no files below %s", root)
+            raise CatalogError("the selection holds no files")
+        log.warning("No selected file below %s", root)
         return parse(spark.createDataFrame([], RAW), scheme)
     stray = listing.filter(~paths.is_markdown(F.col("path"))).select("path").orderBy("path").head()
     if stray:
-        raise CatalogError(f"configured index selected non-Markdown file: {stray.path}")
+        raise CatalogError(f"selected, but not Markdown: {stray.path}")
     return parse(read_files(listing), scheme)
 
 
-def load(spark: SparkSession, root: str, selection: Selection, scheme: str, location: str | None = None) -> DataFrame:
-    """Discovered documents, written once to shared storage so that nothing is parsed twice."""
-    documents = discover(spark, root, selection, scheme)
-    return settle(spark, documents, selection, location)
-
-
-def settle(spark: SparkSession, documents: DataFrame, selection: Selection, location: str | None) -> DataFrame:
-    if location:
-        documents.write.parquet(location)
-        documents = spark.read.schema(documents.schema).parquet(location)
-    return reject_or_skip(documents, selection.lenient or selection.legacy)
-
-
 def _legacy(listing: DataFrame, scheme: str) -> DataFrame:
     documents = parse(read_files(listing), scheme, required_header=True)
     nameless = (F.coalesce("declared_name", F.lit("")) == "") | (F.coalesce("declared_description", F.lit("")) == "")

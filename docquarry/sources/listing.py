@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.functions.globs import Descent, union_regex, validate
+from docquarry.functions.globs import Reach, union_regex, validate
 from docquarry.session import new_location
 
 LISTING = "path string, relative_path string, size long, mtime_ns long"
@@ -57,14 +57,14 @@ def canonical(path: str) -> str:
     return os.path.realpath(os.path.abspath(path), strict=True)
 
 
-def list_directory(path: str, relative: str, selection: Selection, keep, drop, descent: Descent):
+def list_directory(path: str, relative: str, selection: Selection, keep, drop, reach: Reach):
     """Rows for one directory: files that are selected and subdirectories still to walk."""
     with os.scandir(path) as entries:
         for entry in entries:
             name = f"{relative}/{entry.name}" if relative else entry.name
             if entry.is_dir(follow_symlinks=False):
                 pruned = entry.name in ALWAYS_PRUNED or (selection.lenient and entry.name in LENIENT_PRUNED)
-                if selection.legacy or (not pruned and descent.allows(name)):
+                if selection.legacy or (not pruned and reach.allows(name)):
                     yield ("dir", entry.path, name, 0, 0, None)
                 continue
             wanted = name.lower().endswith((".md", ".markdown")) if selection.legacy else keep(name) and not drop(name)
@@ -80,7 +80,7 @@ def _walker(selection: Selection, budget: int):
 
     def walk(batches):
         keep, drop = matcher(selection.include), matcher(selection.exclude)
-        descent = Descent(list(selection.include))
+        reach = Reach(list(selection.include))
 
         def rows():
             seen = 0
@@ -92,7 +92,7 @@ def _walker(selection: Selection, budget: int):
                         yield ("dir", path, relative, 0, 0, None)  # left for the next round
                         continue
                     try:
-                        for row in list_directory(path, relative, selection, keep, drop, descent):
+                        for row in list_directory(path, relative, selection, keep, drop, reach):
                             seen += 1
                             if row[0] == "dir":
                                 queue.append(row[1:3])
@@ -146,8 +146,3 @@ def list_files(spark: SparkSession, root: str, selection: Selection, budget: int
         number += 1
     files = spark.read.schema(_ROUND + ", round int").parquet(location)
     return files.filter("kind = 'file'").select("path", "relative_path", "size", "mtime_ns")
-
-
-def in_order(df: DataFrame, path_column: str = "file_path") -> DataFrame:
-    """Discovery order: byte order of the native path."""
-    return df.orderBy(path_column)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+from collections import Counter
 from dataclasses import dataclass, field
 
 from docquarry.sources.listing import Selection
@@ -22,17 +23,12 @@ class ManifestError(ValueError):
 
 @dataclass(frozen=True)
 class Layout:
-    """Names inside a content root. ``superseded`` maps older names to their replacement."""
+    """Names inside a content root."""
 
     folder: str = ".docquarry"
     config: str = "config.yaml"
     prompts: str = "prompts"
     resources: str = "resources"
-    superseded: tuple[tuple[str, str], ...] = (
-        ("docquarry-metadata.yaml", ".docquarry/config.yaml"),
-        ("docquarry-prompts/", ".docquarry/prompts/"),
-        ("docquarry-resources/", ".docquarry/resources/"),
-    )
 
     def path(self, root: str, name: str) -> str:
         return os.path.join(root, self.folder, name)
@@ -93,7 +89,7 @@ def _section(value, what: str, kind: type):
     if value is None:
         return kind()
     if not isinstance(value, kind):
-        raise ManifestError(f"failed to parse metadata: {what} has the wrong shape")
+        raise ManifestError(f"manifest: {what} is no {kind.__name__}")
     return value
 
 
@@ -102,7 +98,7 @@ def _scalar(section: dict, key: str) -> str:
     if value is None:
         return ""
     if not isinstance(value, str):
-        raise ManifestError(f"failed to parse metadata: {key} must be a scalar")
+        raise ManifestError(f"manifest: {key} is no plain text")
     return value
 
 
@@ -113,7 +109,7 @@ def parse_manifest(text: str) -> Manifest:
         # Every scalar stays text, so that a version such as 1.10 keeps its digits.
         loaded = yaml.load(text, Loader=yaml.BaseLoader)
     except yaml.YAMLError as error:
-        raise ManifestError(f"failed to parse metadata: {error}") from None
+        raise ManifestError(f"manifest is not YAML: {error}") from None
     root = _section(loaded or None, "manifest", dict)
     server = _section(root.get("server") or None, "server", dict)
     tools = [_section(item, "tool", dict) for item in _section(root.get("tools") or None, "tools", list)]
@@ -126,63 +122,36 @@ def parse_manifest(text: str) -> Manifest:
         _scalar(server, "name"), _scalar(server, "version"), _scalar(server, "instructions"),
         tuple(Tool(_scalar(t, "name"), _scalar(t, "description")) for t in tools), selection,
     )
-    return validated(manifest)
-
-
-def validated(manifest: Manifest) -> Manifest:
-    def fail(reason: str):
-        raise ManifestError(f"metadata validation failed: {reason}")
-
-    if not manifest.name:
-        fail("server name is required")
-    if not manifest.version:
-        fail("server version is required")
-    if not manifest.instructions:
-        fail("server instructions are required")
-    if manifest.selection and not manifest.selection.include:
-        fail("index.include requires at least one pattern")
-    seen = set()
-    for number, tool in enumerate(manifest.tools):
-        if not tool.name:
-            fail(f"tool at index {number} missing name")
-        if not tool.description:
-            fail(f"tool at index {number} missing description")
-    for tool in manifest.tools:
-        if tool.name in seen:
-            fail(f"duplicate tool name: {tool.name}")
-        seen.add(tool.name)
+    if missing := gaps(manifest):
+        raise ManifestError("manifest needs " + ", ".join(missing))
     return manifest
 
 
+def gaps(manifest: Manifest) -> list[str]:
+    """Every entry that must hold something and does not, and every tool name used again."""
+    texts = {f"server.{key}": getattr(manifest, key) for key in ("name", "version", "instructions")}
+    for place, tool in enumerate(manifest.tools):
+        texts |= {f"tools[{place}].name": tool.name, f"tools[{place}].description": tool.description}
+    if manifest.selection is not None:
+        texts["index.include"] = manifest.selection.include
+    names = Counter(tool.name for tool in manifest.tools)
+    return [key for key, text in texts.items() if not text] + [f"tool {name} (repeated)" for name, n in names.items() if n > 1]
+
+
 def load_manifest(root: str, version: str = "", layout: Layout = Layout()) -> Manifest:
     """A missing manifest means defaults and lenient loading; a bad one is an error."""
     if not os.path.isdir(root):
-        raise ManifestError(f"failed to resolve content directory {root}: not found or not a directory")
+        raise ManifestError(f"no such content folder: {root}")
     try:
         with open(layout.path(root, layout.config), encoding="utf-8") as file:
             text = file.read()
     except FileNotFoundError:
         return default_manifest(repository_name(root), version)
     except (OSError, UnicodeDecodeError) as error:
-        raise ManifestError(f"failed to read metadata file: {error}") from None
+        raise ManifestError(f"manifest is unreadable: {error}") from None
     return parse_manifest(text)
 
 
-def superseded_names(root: str, layout: Layout = Layout()) -> list[tuple[str, str]]:
-    """Older names present in a root; the older resources folder counts only beside a manifest."""
-    present = {old: os.path.lexists(os.path.join(root, old.rstrip("/"))) for old, _ in layout.superseded}
-    metadata, _, resources = (old for old, _ in layout.superseded)
-    has_manifest = present[metadata] or os.path.lexists(layout.path(root, layout.config))
-    return [(old, new) for old, new in layout.superseded if present[old] and (old != resources or has_manifest)]
-
-
-def refuse_superseded(root: str, layout: Layout = Layout()) -> None:
-    found = superseded_names(root, layout)
-    if found:
-        moves = "".join(f"  {old:<26} ->  {new}\n" for old, new in found)
-        raise ManifestError(f"superseded layout detected in {root}\n{moves}Move these paths and restart.")
-
-
 def resources_ignored(root: str, manifest: Manifest, source_count: int, layout: Layout = Layout()) -> bool:
     """Defaults found nothing while an unindexed resources folder exists: worth a warning."""
     return manifest.defaulted and source_count == 0 and os.path.isdir(layout.path(root, layout.resources))

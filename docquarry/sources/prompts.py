@@ -47,13 +47,13 @@ def discover_prompts(spark: SparkSession, folder: str) -> DataFrame:
     A handful of files by nature, read on the driver once at start.
     """
     rows = []
-    for base, dirs, names in os.walk(folder, onerror=lambda error: log.error("Error walking prompts directory: %s", error)):
+    for base, dirs, names in os.walk(folder, onerror=lambda error: log.error("Prompt folder cannot be listed: %s", error)):
         dirs.sort()
         for path in (os.path.join(base, name) for name in names if name.endswith(".md")):
             try:
                 rows.append(load_prompt(path))
             except (OSError, ValueError) as error:
-                log.warning("Skipping invalid prompt file %s: %s", os.path.basename(path), error)
+                log.warning("Prompt file %s is left out: %s", os.path.basename(path), error)
     return spark.createDataFrame(sorted(rows, key=lambda row: os.fsencode(row[3])), PROMPTS)
 
 

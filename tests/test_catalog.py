@@ -64,7 +64,7 @@ def test_strict_and_lenient_loading(spark, tree):
         discover(spark, root, Selection(("none/*.md",)), "doc")
     assert discover(spark, root, Selection(("none/*.md",), (), True), "doc").isEmpty()
     tree.put("x.txt", "x")
-    with pytest.raises(CatalogError, match="non-Markdown"):
+    with pytest.raises(CatalogError, match="not Markdown"):
         discover(spark, root, Selection(("*.txt",), (), True), "doc")
 
 
