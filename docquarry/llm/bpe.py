@@ -9,6 +9,8 @@ Words are independent, so this is what merging each word by itself, lowest rank
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,17 +25,15 @@ from docquarry.llm.tokens import Pieces, ranks_of
 
 NEVER = np.iinfo(np.int32).max
 #: Bytes of text whose distinct words are replayed together; this bounds a task's memory.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 6_000_000
+
+Work = Callable[[list], list[bytes]]
 
 
 class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        size = max(ranks.values()) + 1
-        self.tokens = [b""] * size
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -132,9 +132,6 @@ class MergeReplay:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[x] for x in parts]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
 
 def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Of pairs that share a symbol (as in aaa) every other one, from the left."""
@@ -146,19 +143,29 @@ def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _coder(definition: bytes, pattern: str) -> tuple[MergeReplay, Pieces]:
+def _encoder(definition: bytes, pattern: str) -> Work:
     replay, cut = MergeReplay(ranks_of(definition)), regex.compile(pattern)
 
     def encode(texts: list[str]) -> list[bytes]:
         places: dict[str, int] = {}
-        found = [[places.setdefault(x, len(places)) for x in cut.findall(text)] for text in texts]
+        found = [array("I", (places.setdefault(x[0], len(places)) for x in cut.finditer(text))) for text in texts]
         ids, counts = replay.encode([x.encode() for x in places])
         ends = np.cumsum(counts) * 4
         data, ends = ids.tobytes(), ends.tolist()
         begins = [0, *ends[:-1]]
         return [data[begins[x[0]] : ends[x[0]]] if len(x) == 1 else b"".join(data[begins[i] : ends[i]] for i in x) for x in found]
 
-    return replay, Pieces(encode)
+    return Pieces(encode).ids
+
+
+@lru_cache(maxsize=2)
+def _decoder(definition: bytes) -> Work:
+    """Needs the tokens alone, not the pairs that make them."""
+    ranks = ranks_of(definition)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return lambda values: [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in values]
 
 
 def encode(docs: DataFrame, definition: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -168,36 +175,30 @@ def encode(docs: DataFrame, definition: bytes, pattern: str, text: str = "text",
     strings are ordinary text; repeated rows are rows like others; an empty table stays empty; a column named
     like the result is replaced. Nothing is shuffled.
     """
-    return _mapped(docs, definition, pattern, whole_text(text), ids, _encoded)
+    return _mapped(docs, definition, whole_text(text), ids, lambda given: _encoder(given, pattern))
 
 
 def decode(rows: DataFrame, definition: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """The rows with the bytes of their ids; null ids give empty bytes. Bytes, since ids may end inside a character."""
-    return _mapped(rows, definition, pattern, F.coalesce(F.col(ids), F.lit(b"")), decoded, _decoded)
+    """The rows with the bytes of their ids; null ids give empty bytes. Bytes, since ids may end inside a character.
 
+    ``pattern`` is taken for symmetry with ``encode``; the ids alone decide.
+    """
+    return _mapped(rows, definition, F.coalesce(F.col(ids), F.lit(b"")), decoded, _decoder)
 
-def _mapped(rows, definition, pattern, value, name, work):
+
+def _mapped(rows, definition, value, name, worker):
     shared = rows.sparkSession.sparkContext.broadcast(definition)  # the file of a public vocabulary: under 2 MB, whatever the data
     held = rows.drop(name).withColumn("_bpe_in", value)
     schema = T.StructType([*held.drop("_bpe_in").schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):
-        replay, pieces = _coder(shared.value, pattern)
+        work = worker(shared.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, int)
             for a, b in slices(sizes, BLOCK_BYTES):
                 part = batch.slice(a, b - a)
-                out = work(part.column(part.num_columns - 1).to_pylist(), replay, pieces)
+                out = work(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], binary(out)], names=[*part.schema.names[:-1], name])
 
     return held.mapInArrow(run, schema)
-
-
-def _encoded(texts, replay, pieces):
-    return pieces.ids(texts)
-
-
-def _decoded(values, replay, pieces):
-    return [replay.decode(np.frombuffer(x, "<u4")) for x in values]
-

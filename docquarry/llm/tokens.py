@@ -16,7 +16,7 @@ from functools import lru_cache
 import tiktoken
 
 #: Pieces remembered by a task at most; then it starts afresh. This bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: A space before another blank or at the end: such a text is encoded in one go.
 AWKWARD = re.compile(r" (?:\s|$)")
 
