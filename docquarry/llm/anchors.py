@@ -166,8 +166,8 @@ def repeated(docs: DataFrame, cut: Cut, label: str) -> Repeated:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """The texts dealt out by document: one exchange that fetching and removing share, as it is the same subplan."""
-    return docs.select("doc", "text").repartition(parts_for(docs), "doc")
+    """The rows dealt out by document: one exchange that fetching and removing share, as it is the same subplan."""
+    return docs.repartition(parts_for(docs), "doc")
 
 
 def fetched(dealt: DataFrame, firsts: DataFrame, cut: Cut) -> DataFrame:
@@ -178,7 +178,8 @@ def fetched(dealt: DataFrame, firsts: DataFrame, cut: Cut) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, j in slices(np.asarray(pc.binary_length(batch.column(1))), TEXT_BYTES):
-                part = batch.slice(i, j - i).filter(pc.is_valid(batch.column(2).slice(i, j - i)))
+                part = batch.slice(i, j - i)
+                part = part.filter(pc.is_valid(part.column("w")))
                 if part.num_rows:
                     yield from _payload(part, cut)
 
@@ -188,7 +189,7 @@ def fetched(dealt: DataFrame, firsts: DataFrame, cut: Cut) -> DataFrame:
 
 def _payload(part: pa.RecordBatch, cut: Cut):
     values, offsets = symbols(part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1), cut)
-    wanted = part.column(2)
+    wanted = part.column("w")
     text = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(wanted)))
     g, a, n, c = (pc.struct_field(wanted.flatten(), [k]) for k in range(4))
     begins = offsets[text] + np.asarray(a)
@@ -263,7 +264,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def with_spans(dealt: DataFrame, found: DataFrame, others: DataFrame, cut: Cut) -> DataFrame:
-    """doc, text and ``spans``, the array of (a, e) to remove there; null where there is none."""
+    """The dealt rows and ``spans``, the array of (a, e) to remove there; null where there is none."""
     whole = others.select("doc", "a", (F.col("a") + F.col("n") + (cut.window - 1)).alias("e"))
     spans = found.union(whole).groupBy("doc").agg(F.collect_list(F.struct("a", "e")).alias("spans"))  # bounded by a document's length
     return dealt.join(spans, "doc", "left")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquarry.llm import anchors
 from docquarry.llm.common import ragged, whole_text
@@ -145,16 +146,17 @@ def later_windows(part: pa.Table, length: int = LENGTH):
     return anchors.runs(later[places], segment, doc[segment], a[segment] + places - begins[segment], length)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """key, text (binary, what is left), n_bytes, n_removed and n_spans of every row.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, text (binary, what is left), n_bytes, n_removed, n_spans and the columns named in ``carry`` of every row.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier: in a document of a smaller key, or in the
     same one before. Null texts count as empty. Rows that repeat a document (key and text) count as one document and all get its result; rows
-    without a key take no part and stay whole. Texts shorter than ``length``, and empty tables, lose nothing. Other columns are
-    not carried along.
+    without a key take no part and stay whole. Texts shorter than ``length``, and empty tables, lose nothing. Columns
+    that ``carry`` does not name are left behind; those it names travel with the text, so that no second join has to move it.
     """
     cut = anchors.Cut("bytes", length, GRAM)
-    held = docs.select(F.col(key).cast("long").alias("doc"), whole_text(text).cast("binary").alias("text"))
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(True)
+    held = docs.select(F.col(key).cast("long").alias("doc"), whole_text(text).cast("binary").alias("text"), rest.alias("rest"))
     taking = held.where(F.col("doc").isNotNull())
     found = anchors.repeated(taking, cut, "suffixes")
     dealt = anchors.spread(held)
@@ -163,13 +165,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     def run(batches):
         for batch in batches:
-            rows = [_left(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2))]
+            rows = [_left(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column("spans"))]
             left, removed, count = zip(*rows) if rows else ((), (), ())
-            arrays = [batch.column(0), pa.array(left, pa.binary()), pa.compute.binary_length(batch.column(1)).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text", "n_bytes", "n_removed", "n_spans"])
+            arrays = [batch.column(0), pa.array(left, pa.binary()), pa.compute.binary_length(batch.column(1)).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), batch.column("rest")]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text", "n_bytes", "n_removed", "n_spans", "rest"])
 
-    out = marked.mapInArrow(run, "doc long, text binary, n_bytes long, n_removed long, n_spans long")
-    return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "text", "n_bytes", "n_removed", "n_spans")
+    counted = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    out = marked.mapInArrow(run, T.StructType([T.StructField("doc", T.LongType()), T.StructField("text", T.BinaryType()), *counted, held.schema["rest"]]))
+    return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "text", "n_bytes", "n_removed", "n_spans", *[F.col(f"rest.{c}") for c in carry])
 
 
 def _left(text: bytes, spans: pa.ListScalar) -> tuple[bytes, int, int]:
