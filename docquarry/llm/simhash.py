@@ -82,23 +82,28 @@ def _rotated(value: Column, by: int) -> Column:
 
 
 def shards(prints: DataFrame, turns: tuple[int, ...] = (0,)) -> DataFrame:
-    """Distinct ``fp`` with the shards (b, key, sub, low) they belong to. ``turns`` rotates the block borders, for wider radii."""
+    """Distinct ``fp``, with their ``root`` if they have one, and the shards (b, key, sub, low) they belong to.
+
+    ``turns`` rotates the block borders, for wider radii.
+    """
+    own = ["fp", *(["root"] if "root" in prints.columns else [])]
     cuts = [(turn + WIDTH * b) for turn in turns for b in range(BLOCKS)]
     places = F.array(*[F.struct(F.lit(i).alias("b"), _rotated(F.col("fp"), cut).bitwiseAND(F.lit(0xFFFF)).alias("key"), _rotated(F.col("fp"), cut + WIDTH).alias("rest")) for i, cut in enumerate(cuts)])
-    rows = prints.select("fp", F.inline(places))
+    rows = prints.select(*own, F.inline(places))
     crowded = rows.groupBy("b", "key").count().where(F.col("count") > CROWDED).select("b", "key", F.lit(True).alias("crowded"))
     rows = rows.join(crowded, ["b", "key"], "left")
     parts = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))
     rows = rows.withColumn("sub", F.explode(parts))
     low = F.expr("case when sub < 0 then 0 else shiftrightunsigned(rest, 12 * sub) & 4095 end")
-    return rows.select("b", "key", "sub", low.alias("low"), "fp")
+    return rows.select("b", "key", "sub", low.alias("low"), *own)
 
 
-def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), spanning: bool = True) -> DataFrame:
-    """Links (u, v) between distinct fingerprints: all pairs at most ``radius`` bits apart are connected by them.
+def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), mode: str = "forest") -> DataFrame:
+    """Links (u, v) between distinct fingerprints at most ``radius`` bits apart that share a shard.
 
-    Exact for radius <= 3; a larger radius finds pairs that agree on a block. ``spanning``: only a forest per shard is returned, since
-    connection is all that components need; else every link found (a tight group still by one link).
+    "forest": they connect all that such pairs connect, as few as a shard allows; exact for radius <= 3, while a larger radius finds
+    pairs that agree on a block. "seeds": these, and neighbours in Gray order; a few per fingerprint and shard, and every
+    fingerprint of a pair is in one. "across": all pairs whose ``root`` differs; groups of one root are pruned whole.
     """
     held = shards(prints, turns).repartition(parts_for(prints), "b", "key", "sub", "low").sortWithinPartitions("b", "key", "sub", "low", gray_rank(F.col("fp")))
 
@@ -121,7 +126,8 @@ def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), spa
         end = table.num_rows if last else int(begins[-1]) if len(begins) else 0
         if end:
             values = table["fp"].to_numpy()[:end].view(np.uint64)
-            for left, right in found(values, np.cumsum(new[:end]), radius, spanning):
+            roots = table["root"].to_numpy()[:end] if mode == "across" else None
+            for left, right in found(values, np.cumsum(new[:end]), radius, mode, roots):
                 yield pa.RecordBatch.from_arrays([pa.array(values[left].view(np.int64)), pa.array(values[right].view(np.int64))], names=["u", "v"])
         rest = table.slice(end).to_batches()
         return rest[0] if rest else None
@@ -129,7 +135,7 @@ def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), spa
     return held.mapInArrow(run, "u long, v long")
 
 
-def found(values: np.ndarray, shard: np.ndarray, radius: int, spanning: bool):
+def found(values: np.ndarray, shard: np.ndarray, radius: int, mode: str, roots: np.ndarray | None = None):
     """Links among members of the same shard, as arrays of places; ``values`` stand by shard and Gray rank."""
     sizes = np.bincount(shard)
     several = (sizes > 1)[shard]
@@ -137,28 +143,37 @@ def found(values: np.ndarray, shard: np.ndarray, radius: int, spanning: bool):
     if not len(origin):
         return
     values, shard = values[origin], np.unique(shard[origin], return_inverse=True)[1]
-    tree = Tree(values, shard)
+    roots = None if roots is None else roots[origin]
+    tree = Tree(values, shard, roots)
     counts = np.bincount(shard)[shard]
     ahead = np.concatenate(([0], np.cumsum(counts)))
     left, right, start = [], [], 0
     while start < len(values):
         stop = max(start + 1, int(np.searchsorted(ahead, ahead[start] + STEP, "right")) - 1)
         a, b = tree.search(np.arange(start, min(stop, len(values))), radius)
-        left.append(a), right.append(b)
         start = stop
-        if not spanning:
-            yield origin[left.pop()], origin[right.pop()]
-    if spanning:
+        if mode == "across":
+            yield origin[a], origin[b]
+        else:
+            left.append(a), right.append(b)
+    if mode != "across":
         label = smallest(len(values), np.concatenate(left), np.concatenate(right))
         moved = np.flatnonzero(label != np.arange(len(values)))
         yield origin[moved], origin[label[moved]]
+    if mode == "seeds":
+        near = np.flatnonzero((shard[1:] == shard[:-1]) & (np.bitwise_count(values[1:] ^ values[:-1]) <= radius))
+        yield origin[near], origin[near + 1]
 
 
 class Tree:
-    """Level 0 are the values; a node of a higher level stands for up to FAN nodes below it, all of one shard."""
+    """Level 0 are the values; a node of a higher level stands for up to FAN nodes below it, all of one shard.
+
+    With ``roots``, links are only sought between values of different roots, and then all of them.
+    """
 
-    def __init__(self, values: np.ndarray, shard: np.ndarray):
-        self.values, self.shard = values, shard
+    def __init__(self, values: np.ndarray, shard: np.ndarray, roots: np.ndarray | None = None):
+        self.values, self.shard, self.roots = values, shard, roots
+        self.ranges = [(roots, roots)]  # least and greatest root below each node, by level
         low = high = values
         fixed = np.full(len(values), ~np.uint64(0))
         first, end = np.arange(len(values)), np.arange(1, len(values) + 1)
@@ -176,6 +191,9 @@ class Tree:
             first, end = first[heads], end[ends - 1]
             self.levels.append((low & fixed, fixed, first, end, heads, ends))
             owner = owner[heads]
+            if self.roots is not None:
+                below = self.ranges[-1]
+                self.ranges.append((np.minimum.reduceat(below[0], heads), np.maximum.reduceat(below[1], heads)))
 
     def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Links of each query to later members of its shard."""
@@ -188,8 +206,11 @@ class Tree:
             mask = fixed[node]
             done = done + np.bitwise_count((self.values[query] ^ pattern[node]) & mask & ~known)
             keep = (done <= radius) & (end[node] > query + 1)
+            if self.roots is not None:
+                lowest, highest = self.ranges[level]
+                keep &= (lowest[node] != self.roots[query]) | (highest[node] != self.roots[query])
             node, query, done, mask = node[keep], query[keep], done[keep], mask[keep]
-            whole = done + np.bitwise_count(~mask) <= radius
+            whole = done + np.bitwise_count(~mask) <= radius if self.roots is None or not level else np.zeros(len(node), bool)
             out[0].append(query[whole]), out[1].append(np.maximum(first[node[whole]], query[whole] + 1))
             if not level:
                 break
@@ -245,11 +266,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
     The index proposes pairs that agree on one of twenty blocks and differ in at most ``radius`` bits; each is then compared exactly. Found
     are nearly all pairs above 0.9 and most between 0.8 and 0.9 (README has the measured recall). Equal texts always link.
+
+    Two passes: seeds, a few links per text, connect most of every group; the second compares all pairs that the first has not
+    connected. So a group of n near-copies costs some n comparisons, not n * n, and no link is left out.
     """
     held = settled(fingerprints(docs, key, text, shingle), "similar-prints")
     prints = settled(held.groupBy("fp").agg(F.min(key).alias("least")), "similar-distinct")
-    pairs = settled(links(prints.select("fp"), radius, TURNS, spanning=False).distinct(), "similar-pairs")
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+    seeds = settled(links(prints.select("fp"), radius, TURNS, "seeds").distinct(), "similar-seeds")
+    ends = seeds.select(F.col("u").alias("fp")).union(seeds.select(F.col("v").alias("fp"))).distinct()
     chosen = prints.join(ends, "fp", "left_semi").select(F.col("least").alias(key), "fp")
     texts = docs.select(key, whole_text(text).cast("binary").alias("t")).join(chosen, key).dropDuplicates(["fp"])
 
@@ -259,10 +283,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
 
     sets = settled(texts.select("fp", "t").mapInArrow(run, "fp long, s array<long>"), "similar-sets")
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    same = both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
-    return _named(held, prints, components(forest(same, pairs.count()), "similar-stars"), key)
+
+    def same(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+    first = components(forest(same(seeds), seeds.count()), "similar-stars")
+    rooted = sets.select("fp").join(first, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    others = settled(links(rooted, radius, TURNS, "across").distinct(), "similar-across")
+    edges = first.select("u", F.col("root").alias("v")).union(forest(same(others), others.count()))
+    return _named(held, prints, components(edges, "similar-stars"), key)
 
 
 #: Links that a task reduces to a forest at a time.

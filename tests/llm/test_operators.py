@@ -180,6 +180,40 @@ def test_simhash(docs, empty):
     assert groups[9] == 8 and groups[12] == 12
 
 
+def test_two_passes_find_the_links_of_all_pairs(spark):
+    values = RNG.integers(0, 2**63, 40, dtype=np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << RNG.choice(64, 4, replace=False).astype(np.uint64)) for _ in range(200)]
+    near = np.unique(np.concatenate((values, np.repeat(values[:4], 50) ^ np.array(flips))))
+    shard = np.zeros(len(near), int)
+    pairs = {(i, j) for i in range(len(near)) for j in range(i + 1, len(near)) if int(near[i] ^ near[j]).bit_count() <= 8}
+    seeds = np.concatenate([np.stack(x, 1) for x in simhash.found(near, shard, 8, "seeds")])
+    seeds = {tuple(sorted(x)) for x in seeds.tolist()}
+    assert {x for p in seeds for x in p} == {x for p in pairs for x in p} and len(seeds) < 2 * len(near)
+    for roots in (np.arange(len(near)), np.arange(len(near)) // 7, np.zeros(len(near), int)):
+        across = {(a, b) for x, y in simhash.found(near, shard, 8, "across", roots) for a, b in zip(x.tolist(), y.tolist())}
+        assert across == {(i, j) for i, j in pairs if roots[i] != roots[j]}
+
+
+def test_near_copies_link_by_similarity(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)]
+    for i in range(40):
+        copy = list(words)
+        copy[int(RNG.integers(0, 400))] = f"new{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"v{i}x{k}" for i in range(300)) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert groups == {i: 0 if i <= 40 else i for i in range(61)}
+
+
+def test_suffix_dedup_carries_columns(spark):
+    rows = [(1, "abc " * 60, "x", None), (2, None, "y", 3), (None, "q" * 300, None, 4), (2, "abc " * 60, "z", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rest string, n int")
+    found = suffixes.deduplicated(df, carry=("rest", "n")).collect()
+    assert sorted((r.doc_id or 0, r.rest or "", r.n or 0) for r in found) == [(0, "", 4), (1, "x", 0), (2, "y", 3), (2, "z", 5)]
+
+
 def test_index_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 40)
     values = RNG.integers(0, 2**63, 60, dtype=np.uint64)
