@@ -213,6 +213,16 @@ def score(seen: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("rejected", (F.col("junk") > 0.5) | (F.col("toxic") > 0.5))
 
 
+def passing(seen: DataFrame, model: Model) -> DataFrame:
+    """The scored rows that the model does not reject; ``seen`` need not be written first.
+
+    The row number is there for the optimizer only: it would else move the filter below the measurements, writing them all out again for every
+    time one uses another.
+    """
+    scored = score(seen, model).withColumn("_at", F.monotonically_increasing_id())
+    return scored.where(~F.col("rejected") & (F.col("_at") >= 0)).drop("_at")
+
+
 def _judged(column: pa.Array, weights: np.ndarray, bias: np.ndarray) -> pa.Array:
     places = np.asarray(column.flatten())
     offsets = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(column)))))
