@@ -31,7 +31,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark.sparkContext)
     docs = _documents(docs)
     model = weak.fit(settled(weak.observed(docs, carry=("doc_id",)), "pipeline-seen"), table(spark, sf_dir, "labels"))
-    return weak.score(weak.observed(docs), model).where(~F.col("rejected")).select(*COLUMNS)  # read again, so no copy of the texts is kept
+    return weak.passing(weak.observed(docs), model).select(*COLUMNS)  # read again, so no copy of the texts is kept
 
 
 def obey_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +55,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without bytes that repeat an earlier string of 100 bytes; what is left of a cut character goes too, and so do emptied documents."""
     ship_package(spark.sparkContext)
     docs = _documents(docs)
-    left = suffixes.deduplicated(docs).select("doc_id", "text", "n_removed", "n_bytes")
+    left = suffixes.deduplicated(docs.withColumn("had_text", F.col("text").isNotNull()), carry=("lang", "source", "n_chars", "had_text"))
+    cut = F.col("n_removed") > 0
     new = F.col("text").cast("string")
-    new = F.when(F.is_valid_utf8(new), new).otherwise(F.replace(F.make_valid_utf8(new), F.lit("\ufffd"), F.lit("")))
-    shorter = left.where("n_removed > 0").select("doc_id", new.alias("new"), (F.col("n_removed") < F.col("n_bytes")).alias("stays")).dropDuplicates(["doc_id"])
-    text = F.coalesce("new", "text")
-    joined = docs.join(shorter, "doc_id", "left").where(F.coalesce("stays", F.lit(True)))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("new").isNotNull(), F.char_length("new").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    new = F.when(~cut | F.is_valid_utf8(new), new).otherwise(F.replace(F.make_valid_utf8(new), F.lit("\ufffd"), F.lit("")))
+    left = left.where(~cut | (F.col("n_removed") < F.col("n_bytes"))).withColumn("text", F.when(F.col("had_text"), new))
+    return left.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
