@@ -268,7 +268,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     are nearly all pairs above 0.9 and most between 0.8 and 0.9 (README has the measured recall). Equal texts always link.
 
     Two passes: seeds, a few links per text, connect most of every group; the second compares all pairs that the first has not
-    connected. So a group of n near-copies costs some n comparisons, not n * n, and no link is left out.
+    connected, so no proposed link is left out. What the seeds connect costs some n comparisons for n texts; texts whose fingerprints are
+    close but whose similarity is below ``least`` stay apart and are still compared pair by pair (README has a count).
     """
     held = settled(fingerprints(docs, key, text, shingle), "similar-prints")
     prints = settled(held.groupBy("fp").agg(F.min(key).alias("least")), "similar-distinct")
