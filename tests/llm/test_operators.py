@@ -248,7 +248,9 @@ def test_classifier(spark, empty):
     labels = spark.createDataFrame([(i, int(not 150 <= i < 175), int(i >= 175)) for i in range(200)] + [(4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     seen = settled(weak.observed(frame), "test-seen")
     for marks, most in ((labels, 4), (None, 50), (labels.limit(0), 50)):  # without annotations so few rows convince no one
-        verdict = {r.doc_id: r.rejected for r in weak.score(seen, weak.fit(seen, marks)).collect()}
+        model = weak.fit(seen, marks)
+        verdict = {r.doc_id: r.rejected for r in weak.score(seen, model).collect()}
+        assert {r.doc_id for r in weak.passing(seen, model).collect()} == {k for k, bad in verdict.items() if not bad}
         wrong = sum(verdict[i] != (i >= 150) for i in range(200))
         assert wrong <= most and not verdict[500] and sum(verdict[i] for i in range(150)) <= 2
     nothing = settled(weak.observed(empty), "test-none")
