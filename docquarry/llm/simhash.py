@@ -22,7 +22,8 @@ from docquarry.operators.sizing import settled
 
 SEED = 42
 BLOCKS, WIDTH = 4, 16
-#: A shard with more distinct fingerprints than this is parted again, by the same rule, into four times 4,096 shards.
+#: A shard with more distinct fingerprints than this is parted again: up to radius 3 by the same rule, into four times 4,096 shards;
+#: for wider radii into slices of about this size, of which every two meet in a shard.
 CROWDED = 20_000
 #: Members of a node, and query-member pairs that a task looks at in one step at most.
 FAN, STEP = 16, 2_000_000
@@ -81,7 +82,7 @@ def _rotated(value: Column, by: int) -> Column:
     return value if not by else F.shiftrightunsigned(value, by).bitwiseOR(F.shiftleft(value, 64 - by))
 
 
-def shards(prints: DataFrame, turns: tuple[int, ...] = (0,)) -> DataFrame:
+def shards(prints: DataFrame, turns: tuple[int, ...] = (0,), radius: int = 3) -> DataFrame:
     """Distinct ``fp``, with their ``root`` if they have one, and the shards (b, key, sub, low) they belong to.
 
     ``turns`` rotates the block borders, for wider radii.
@@ -90,9 +91,14 @@ def shards(prints: DataFrame, turns: tuple[int, ...] = (0,)) -> DataFrame:
     cuts = [(turn + WIDTH * b) for turn in turns for b in range(BLOCKS)]
     places = F.array(*[F.struct(F.lit(i).alias("b"), _rotated(F.col("fp"), cut).bitwiseAND(F.lit(0xFFFF)).alias("key"), _rotated(F.col("fp"), cut + WIDTH).alias("rest")) for i, cut in enumerate(cuts)])
     rows = prints.select(*own, F.inline(places))
-    crowded = rows.groupBy("b", "key").count().where(F.col("count") > CROWDED).select("b", "key", F.lit(True).alias("crowded"))
+    crowded = rows.groupBy("b", "key").count().where(F.col("count") > CROWDED).select("b", "key", F.ceil(F.col("count") / CROWDED).alias("slices"))
     rows = rows.join(crowded, ["b", "key"], "left")
-    parts = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))
+    if radius >= BLOCKS:  # the other bits need not agree on a part, so every slice must meet every other
+        mine = F.pmod(F.xxhash64("fp"), F.col("slices"))
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("slices") > 1, F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.lit(-1).cast("long")))))
+        sub, low = (F.when(F.col("other") < 0, n).otherwise(f(F.col("mine"), F.col("other"))).cast("long") for n, f in ((-1, F.least), (0, F.greatest)))
+        return rows.select("b", "key", sub.alias("sub"), low.alias("low"), *own)
+    parts = F.when(F.col("slices") > 1, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(-1)))
     rows = rows.withColumn("sub", F.explode(parts))
     low = F.expr("case when sub < 0 then 0 else shiftrightunsigned(rest, 12 * sub) & 4095 end")
     return rows.select("b", "key", "sub", low.alias("low"), *own)
@@ -105,7 +111,7 @@ def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), mod
     pairs that agree on a block. "seeds": these, and neighbours in Gray order; a few per fingerprint and shard, and every
     fingerprint of a pair is in one. "across": all pairs whose ``root`` differs; groups of one root are pruned whole.
     """
-    held = shards(prints, turns).repartition(parts_for(prints), "b", "key", "sub", "low").sortWithinPartitions("b", "key", "sub", "low", gray_rank(F.col("fp")))
+    held = shards(prints, turns, radius).repartition(parts_for(prints), "b", "key", "sub", "low").sortWithinPartitions("b", "key", "sub", "low", gray_rank(F.col("fp")))
 
     def run(batches):
         kept: list[pa.RecordBatch] = []

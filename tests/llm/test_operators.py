@@ -237,6 +237,18 @@ def test_index_finds_every_link(spark, monkeypatch):
             assert root(int(signed[i])) == root(int(signed[j]))
 
 
+def test_crowded_shards_lose_no_wide_pair(spark, monkeypatch):
+    center = RNG.integers(0, 2**63, 1, dtype=np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << (16 + RNG.choice(48, 6, replace=False)).astype(np.uint64)) for _ in range(150)]
+    near = np.unique(center ^ np.array(flips))  # all agree on the lowest block
+    df = spark.createDataFrame([(int(x), int(x)) for x in near.view(np.int64)], "fp long, root long")
+    want = {(i, j) for i in range(len(near)) for j in range(i + 1, len(near)) if int(near[i] ^ near[j]).bit_count() <= 13}
+    place = {int(x): i for i, x in enumerate(near.view(np.int64))}
+    for crowded in (simhash.CROWDED, 40):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        assert {tuple(sorted((place[r.u], place[r.v]))) for r in simhash.links(df, 13, mode="across").collect()} == want
+
+
 def test_classifier(spark, empty):
     stock = ["".join(RNG.choice(list("abcdefghilmnoprstu"), int(n))) for n in RNG.integers(2, 9, 900)]
     talk = lambda n: " ".join(RNG.choice(stock, int(n)))
