@@ -62,7 +62,11 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 65_536):
         part = hashes[start : start + 65_536]
@@ -83,18 +87,18 @@ def _rotated(value: Column, by: int) -> Column:
 
 
 def shards(prints: DataFrame, turns: tuple[int, ...] = (0,), radius: int = 3) -> DataFrame:
-    """Distinct ``fp``, with their ``root`` if they have one, and the shards (b, key, sub, low) they belong to.
+    """``fp``, with their ``id`` and ``root`` if they have one, and the shards (b, key, sub, low) they belong to.
 
     ``turns`` rotates the block borders, for wider radii.
     """
-    own = ["fp", *(["root"] if "root" in prints.columns else [])]
+    own = ["fp", *(c for c in ("id", "root") if c in prints.columns)]
     cuts = [(turn + WIDTH * b) for turn in turns for b in range(BLOCKS)]
     places = F.array(*[F.struct(F.lit(i).alias("b"), _rotated(F.col("fp"), cut).bitwiseAND(F.lit(0xFFFF)).alias("key"), _rotated(F.col("fp"), cut + WIDTH).alias("rest")) for i, cut in enumerate(cuts)])
     rows = prints.select(*own, F.inline(places))
     crowded = rows.groupBy("b", "key").count().where(F.col("count") > CROWDED).select("b", "key", F.ceil(F.col("count") / CROWDED).alias("slices"))
     rows = rows.join(crowded, ["b", "key"], "left")
     if radius >= BLOCKS:  # the other bits need not agree on a part, so every slice must meet every other
-        mine = F.pmod(F.xxhash64("fp"), F.col("slices"))
+        mine = F.pmod(F.xxhash64("id" if "id" in own else "fp"), F.col("slices"))
         rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("slices") > 1, F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.lit(-1).cast("long")))))
         sub, low = (F.when(F.col("other") < 0, n).otherwise(f(F.col("mine"), F.col("other"))).cast("long") for n, f in ((-1, F.least), (0, F.greatest)))
         return rows.select("b", "key", sub.alias("sub"), low.alias("low"), *own)
@@ -105,7 +109,7 @@ def shards(prints: DataFrame, turns: tuple[int, ...] = (0,), radius: int = 3) ->
 
 
 def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), mode: str = "forest") -> DataFrame:
-    """Links (u, v) between distinct fingerprints at most ``radius`` bits apart that share a shard.
+    """Links (u, v) between fingerprints at most ``radius`` bits apart that share a shard; u and v are their ``id``, if they have one.
 
     "forest": they connect all that such pairs connect, as few as a shard allows; exact for radius <= 3, while a larger radius finds
     pairs that agree on a block. "seeds": these, and neighbours in Gray order; a few per fingerprint and shard, and every
@@ -132,9 +136,10 @@ def links(prints: DataFrame, radius: int = 3, turns: tuple[int, ...] = (0,), mod
         end = table.num_rows if last else int(begins[-1]) if len(begins) else 0
         if end:
             values = table["fp"].to_numpy()[:end].view(np.uint64)
+            ids = table["id"].to_numpy()[:end] if "id" in table.column_names else values.view(np.int64)
             roots = table["root"].to_numpy()[:end] if mode == "across" else None
             for left, right in found(values, np.cumsum(new[:end]), radius, mode, roots):
-                yield pa.RecordBatch.from_arrays([pa.array(values[left].view(np.int64)), pa.array(values[right].view(np.int64))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], names=["u", "v"])
         rest = table.slice(end).to_batches()
         return rest[0] if rest else None
 
@@ -253,54 +258,74 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     held = settled(fingerprints(docs, key, text, shingle), "simhash-prints")
     prints = settled(held.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
     roots = components(links(prints.select("fp"), radius), "simhash-stars")
-    return _named(held, prints, roots, key)
+    return _named(held, prints, roots, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _named(held: DataFrame, prints: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    rooted = prints.join(roots, prints.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _named(held: DataFrame, prints: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    rooted = prints.join(roots, prints[node] == roots.u, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return held.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(names, "root").select(node, "component_id")
+    return held.join(named, node)
 
 
 #: Rotations of the block borders that the verified search uses: twenty blocks of sixteen bits.
 TURNS = (0, 3, 6, 9, 13)
 
 
+def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """key, ``id`` of the text's set of shingles, and the fingerprint ``fp`` of that set: how often a shingle stands in the text is no matter."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column(1).to_pylist()]
+            prints = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([named(x) for x in sets], pa.int64()), pa.array(prints)], names=[key, "id", "fp"])
+
+    return docs.select(key, whole_text(text).cast("binary")).mapInArrow(run, schema)
+
+
+def named(shingles: np.ndarray) -> int:
+    """A signed 64-bit number for a sorted set of hashes."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 13, least: float = 0.8) -> DataFrame:
     """key and component_id, linked by a Jaccard similarity of ``least`` or more between the sets of ``shingle``-word shingles.
 
     The index proposes pairs that agree on one of twenty blocks and differ in at most ``radius`` bits; each is then compared exactly. Found
-    are nearly all pairs above 0.9 and most between 0.8 and 0.9 (README has the measured recall). Equal texts always link.
+    are nearly all pairs above 0.9 and most between 0.8 and 0.9 (README has the measured recall). Texts of equal sets always link; different
+    sets are compared even if their fingerprints are equal.
 
     Two passes: seeds, a few links per text, connect most of every group; the second compares all pairs that the first has not
     connected, so no proposed link is left out. What the seeds connect costs some n comparisons for n texts; texts whose fingerprints are
     close but whose similarity is below ``least`` stay apart and are still compared pair by pair (README has a count).
     """
-    held = settled(fingerprints(docs, key, text, shingle), "similar-prints")
-    prints = settled(held.groupBy("fp").agg(F.min(key).alias("least")), "similar-distinct")
-    seeds = settled(links(prints.select("fp"), radius, TURNS, "seeds").distinct(), "similar-seeds")
-    ends = seeds.select(F.col("u").alias("fp")).union(seeds.select(F.col("v").alias("fp"))).distinct()
-    chosen = prints.join(ends, "fp", "left_semi").select(F.col("least").alias(key), "fp")
-    texts = docs.select(key, whole_text(text).cast("binary").alias("t")).join(chosen, key).dropDuplicates(["fp"])
+    held = settled(sketches(docs, key, text, shingle), "similar-prints")
+    prints = settled(held.groupBy("id").agg(F.min(key).alias("least"), F.first("fp").alias("fp")), "similar-distinct")
+    seeds = settled(links(prints.select("id", "fp"), radius, TURNS, "seeds").distinct(), "similar-seeds")
+    ends = seeds.select(F.col("u").alias("id")).union(seeds.select(F.col("v").alias("id"))).distinct()
+    chosen = prints.join(ends, "id", "left_semi").select(F.col("least").alias(key)).distinct()
+    texts = docs.select(key, whole_text(text).cast("binary").alias("t")).join(chosen, key, "left_semi")
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([named(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "s"])
 
-    sets = settled(texts.select("fp", "t").mapInArrow(run, "fp long, s array<long>"), "similar-sets")
+    # Texts that share a key all come here; each names its own set.
+    sets = settled(texts.select("t").mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]).join(ends, "id", "left_semi"), "similar-sets")
 
     def same(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
         common = F.size(F.array_intersect("a", "b"))
         return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
 
     first = components(forest(same(seeds), seeds.count()), "similar-stars")
-    rooted = sets.select("fp").join(first, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.select("id", "fp").join(ends, "id", "left_semi").join(first, F.col("id") == F.col("u"), "left").select("id", "fp", F.coalesce("root", "id").alias("root"))
     others = settled(links(rooted, radius, TURNS, "across").distinct(), "similar-across")
     edges = first.select("u", F.col("root").alias("v")).union(forest(same(others), others.count()))
-    return _named(held, prints, components(edges, "similar-stars"), key)
+    return _named(held, prints, components(edges, "similar-stars"), "id").select(key, "component_id")
 
 
 #: Links that a task reduces to a forest at a time.

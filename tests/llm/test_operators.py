@@ -207,6 +207,20 @@ def test_near_copies_link_by_similarity(spark):
     assert groups == {i: 0 if i <= 40 else i for i in range(61)}
 
 
+def test_equal_fingerprints_do_not_link_unlike_texts(spark):
+    line = " ".join(f"common{i}" for i in range(7)) + " "
+    own = [" ".join(f"own{k}x{i}" for i in range(630)) for k in range(8)]
+    again = own[0].split()
+    again[300] = "other"
+    texts = [line * 80 + x for x in [*own, " ".join(again)]]
+    assert len({print_of(t, 5) for t in texts}) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i % 8 for i in range(9)}
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
+    equal = spark.createDataFrame([(5, i, i) for i in range(20)], "fp long, id long, root long")
+    assert {tuple(sorted(r)) for r in simhash.links(equal, 13, mode="across").collect()} == {(i, j) for j in range(20) for i in range(j)}
+
+
 def test_suffix_dedup_carries_columns(spark):
     rows = [(1, "abc " * 60, "x", None), (2, None, "y", 3), (None, "q" * 300, None, 4), (2, "abc " * 60, "z", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rest string, n int")
