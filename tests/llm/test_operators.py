@@ -217,10 +217,27 @@ def test_equal_fingerprints_do_not_link_unlike_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: i % 8 for i in range(9)}
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == want
-    equal = spark.createDataFrame([(5, i, i) for i in range(20)], "fp long, id long, root long")
+    equal = spark.createDataFrame([(0, 7, 1, 5, i, i) for i in range(20)], "b int, key long, slices long, fp long, id long, root long")
     assert {tuple(sorted(r)) for r in simhash.links(equal, 13, mode="across").collect()} == {(i, j) for j in range(20) for i in range(j)}
 
 
+def test_pairs_just_above_the_bound_are_found(spark):
+    texts, wanted = [], []
+    for i in range(300):  # pairs of 400 words; each changed word changes five shingles
+        words = [f"d{i}x{k}" for k in range(400)]
+        copy = list(words)
+        for at in range(8, 400, 400 // (i % 8 + 1))[: i % 8 + 1]:
+            copy[at] = f"new{i}"
+        a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (words, copy))
+        wanted.append(len(a & b) / len(a | b) >= 0.8)
+        texts += [" ".join(words), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    linked = [groups[2 * i + 1] == 2 * i for i in range(300)]
+    assert all(groups[2 * i] == 2 * i for i in range(300)) and not any(x and not w for x, w in zip(linked, wanted))
+    assert sum(linked) >= 0.97 * sum(wanted)
+
+
 def test_suffix_dedup_carries_columns(spark):
     rows = [(1, "abc " * 60, "x", None), (2, None, "y", 3), (None, "q" * 300, None, 4), (2, "abc " * 60, "z", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rest string, n int")
@@ -255,11 +272,12 @@ def test_crowded_shards_lose_no_wide_pair(spark, monkeypatch):
     center = RNG.integers(0, 2**63, 1, dtype=np.uint64)
     flips = [np.bitwise_or.reduce(np.uint64(1) << (16 + RNG.choice(48, 6, replace=False)).astype(np.uint64)) for _ in range(150)]
     near = np.unique(center ^ np.array(flips))  # all agree on the lowest block
-    df = spark.createDataFrame([(int(x), int(x)) for x in near.view(np.int64)], "fp long, root long")
+    signed = [int(x) for x in near.view(np.int64)]
     want = {(i, j) for i in range(len(near)) for j in range(i + 1, len(near)) if int(near[i] ^ near[j]).bit_count() <= 13}
     place = {int(x): i for i, x in enumerate(near.view(np.int64))}
     for crowded in (simhash.CROWDED, 40):
         monkeypatch.setattr(simhash, "CROWDED", crowded)
+        df = spark.createDataFrame([(0, 7, -(-len(near) // crowded), x, x, x) for x in signed], "b int, key long, slices long, id long, fp long, root long")
         assert {tuple(sorted((place[r.u], place[r.v]))) for r in simhash.links(df, 13, mode="across").collect()} == want
 
 
