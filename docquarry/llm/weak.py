@@ -149,6 +149,11 @@ def train(rows: list[np.ndarray], soft: np.ndarray, rounds: int = ROUNDS, rate:
     return full, bias
 
 
+def _drawn(wanted: int, rows: int) -> float:
+    """The share to draw so that ``wanted`` of so many rows are found, but for one draw in some thousand; a limit then cuts the surplus."""
+    return min(1.0, (wanted + 4 * wanted**0.5) / max(rows, 1))
+
+
 def fit(seen: DataFrame, labels: DataFrame | None, key: str = "doc_id") -> Model:
     """The model of an observed table. ``labels``: key, quality 0/1, toxic 0/1, either may be null; without them heuristics stand alone.
 
@@ -176,14 +181,19 @@ def fit(seen: DataFrame, labels: DataFrame | None, key: str = "doc_id") -> Model
         soft.append({tuple(p): float(s) for p, s in zip(part.tolist(), posterior)})
         accuracies[task] = {n: (float(a), float(b)) for n, (a, b) in zip(names[task], right)}
     annotated = sum(r["count"] for r, p in zip(patterns, table) if labels is not None and max(p[len(names["junk"]) - 1], p[-1]) >= 0)
-    # The sample is drawn before anything is joined, so no more than its rows carry features.
-    share = min(1.0, FIT_ROWS / max(annotated, total / 20))
-    sample = seen.where(F.rand(42) < share).drop("row")
+    # Annotated rows fill the sample first, whatever the table's size; others, under their posteriors, fill what room is left. Either are
+    # drawn before they meet the features, so no more than the sample's rows carry these through a shuffle.
+    keyed, mixed = seen.drop("row"), F.xxhash64("k", F.lit(42))
     if labels is not None:
-        sample = sample.join(marks, "k", "left")
-        if annotated:
-            sample = sample.where(F.col("`junk.annotation`").isNotNull() | F.col("`toxic.annotation`").isNotNull())
-    sample = sample.limit(FIT_ROWS)
+        known = F.col("`junk.annotation`").isNotNull() | F.col("`toxic.annotation`").isNotNull()
+        part = F.pmod(mixed, F.lit(1 << 30)) < int(_drawn(FIT_ROWS, annotated) * (1 << 30))
+        chosen = marks.where(known & part).join(seen.select("k"), "k", "left_semi").orderBy(mixed).limit(FIT_ROWS)
+        marked = keyed.join(F.broadcast(chosen), "k").limit(FIT_ROWS)  # as many rows at most as a sample has
+        room = FIT_ROWS - min(annotated, FIT_ROWS)
+        plain = keyed.where(F.rand(42) < _drawn(room, total - annotated)).join(marks, "k", "left").where(~known).orderBy(mixed).limit(room)
+        sample = marked.unionByName(plain) if room else marked
+    else:
+        sample = keyed.where(F.rand(42) < _drawn(FIT_ROWS, total)).limit(FIT_ROWS)
     rows = sample.select("f", *columns).toArrow()
     places = [np.asarray(x.values) for x in rows["f"]]
     weights, bias, at = [], [], 1

@@ -301,6 +301,18 @@ def test_classifier(spark, empty):
     assert weak.score(nothing, weak.fit(nothing, labels)).count() == 0
 
 
+@pytest.mark.parametrize("marked", [1, 20])
+def test_few_annotations_do_not_shrink_the_fit(spark, monkeypatch, marked):
+    rows = [(i, f"word{i % 50} and some other words of text number {i}") for i in range(2000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(marked)], "doc_id long, quality int, toxic int")
+    seen = settled(weak.observed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "test-few")
+    sizes, train = [], weak.train
+    monkeypatch.setattr(weak, "FIT_ROWS", 100)
+    monkeypatch.setattr(weak, "train", lambda places, soft, *a: sizes.append(len(places)) or train(places, soft, *a))
+    weak.fit(seen, labels)
+    assert sizes == [100, 100]
+
+
 def test_accuracies_are_recovered():
     truth = RNG.random(20_000) < 0.3
     right = [0.9, 0.75, 0.65, 0.85]
