@@ -35,8 +35,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def obey_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the policy clean-1 rejects; it lets short texts pass."""
-    return rules.passing(_documents(docs), "clean-1").select(*COLUMNS)
+    """Without the documents that the policy clean-2 rejects; it lets short texts pass."""
+    return rules.passing(_documents(docs), "clean-2").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,16 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Words of a run. The share of distinct words falls with a text's length, so it is taken over runs of this many.
+RUN = 1_000
+
+
+def distinct_in_runs(words: Column) -> Column:
+    """The distinct words of every run of ``RUN`` words (the last may be shorter), summed over all runs."""
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(RUN)))
+    return F.coalesce(F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice(words, i, RUN)))), F.lit(0))
+
+
 def binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(values, pa.binary())
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import SEPARATORS, whole_text
+from docquarry.llm.common import SEPARATORS, distinct_in_runs, whole_text
 
 BLANKS = " \\t\\n\\u000B\\f\\r"
 #: The upper half of a window's key is a hash, the lower half its place in the text.
@@ -37,7 +37,10 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "strict-1": tuple(name for name, _ in RULES),
     "clean-1": ("symbols", "repeated_lines", "shouting", "exclamations", "word_length", "few_distinct_words", "long_repeated_windows", "doubled_words"),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclamations", "n_distinct_words", "n_doubled_words")
+#: Policies that judge variety by runs of words, so whatever a text's length, where the policy they else follow has few_distinct_words. Their
+#: rule has no bit, as the bits of a ledger are those the SQL knows.
+BY_RUNS, FEW_IN_RUNS = {"clean-2": "clean-1"}, "10 * n_distinct_in_runs < 3 * n_words"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclamations", "n_distinct_words", "n_doubled_words", "n_distinct_in_runs")
 
 
 def mask(names: tuple[str, ...]) -> int:
@@ -94,6 +97,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_exclamations": _count(F.col("_m"), "!+"),
         "n_distinct_words": F.size(F.array_distinct("_w")),
         "n_doubled_words": doubled,
+        "n_distinct_in_runs": distinct_in_runs(words),
     }
     return held.withColumns({name: value.cast("long") for name, value in measures.items()}).drop("_t", "_w", "_p", "_l", "_m")
 
@@ -106,6 +110,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def rejected(policy: str) -> Column:
     """Does this policy reject the row of a ledger?"""
+    if policy in BY_RUNS:
+        names = tuple(name for name in POLICIES[BY_RUNS[policy]] if name != "few_distinct_words")
+        return (F.col("failed").bitwiseAND(F.lit(mask(names))) != 0) | F.expr(FEW_IN_RUNS)
     return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) != 0
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import SEPARATORS, whole_text
+from docquarry.llm.common import SEPARATORS, distinct_in_runs, whole_text
 
 #: Rows that fit the scorer at most (annotated ones first), hashed places of its weights, and rounds of descent.
 FIT_ROWS, PLACES, ROUNDS = 12_000, 1 << 18, 150
@@ -65,7 +65,7 @@ def _measured(held: DataFrame) -> DataFrame:
         "symbols": _share(_gone(marks, r"[#*$%&|<>]+"), words),
         "shouts": _share(_gone(marks, "!+"), words),
         "capitals": _share(_gone(marks, r"\p{Lu}+"), F.char_length("t")),
-        "repeats": 1.0 - F.size(F.array_distinct("w")) / words,
+        "repeats": 1.0 - distinct_in_runs(F.col("w")) / words,
         "lines": 1.0 - F.size(F.array_distinct("l")) / F.size("l"),
     }).drop("w", "l", "m")
 

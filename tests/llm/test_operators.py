@@ -160,6 +160,17 @@ def test_rules(docs, empty):
     assert rules.ledger(empty).count() == 0 and rules.ablations(rules.ledger(empty), "strict-1").first().failed == 0
 
 
+def test_long_texts_are_not_rejected_for_length(spark):
+    draw = lambda n: " ".join(f"w{i}" for i in RNG.integers(0, n, 30_000))
+    texts = [draw(5_000), draw(100), "", "few words stand here and so they pass"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in rules.passing(df, "clean-2").collect()} == {0, 2, 3}
+    runs = [sum(len(set(w[i : i + 1000])) for i in range(0, len(w), 1000)) for w in map(str.split, texts)]
+    assert [r.n_distinct_in_runs for r in rules.measured(df).orderBy("doc_id").collect()] == runs
+    seen = {r.k: r["junk.word_variety"] for r in weak.observed(df).collect()}
+    assert seen[0] == 0 and seen[1] == 1
+
+
 def print_of(text, shingle):
     words = (text or "").encode().lower().split()
     parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
