@@ -26,6 +26,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text, and window starts, that a task handles at once; they bound its memory whatever a document's length.
 TEXT_BYTES, STARTS = 4_000_000, 1 << 20
+#: An anchor with more first segments than this is crowded: its windows are dealt out singly, by a hash of their content.
+CROWDED = 16_000
 #: Low bits of a window's minimum that hold the place.
 PLACE_BITS = np.uint64(21)
 
@@ -171,8 +173,14 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def fetched(dealt: DataFrame, firsts: DataFrame, cut: Cut) -> DataFrame:
-    """g, doc, a, n, c and the symbols (as binary) of every first segment, by anchor and in its order."""
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("g", "a", "n", "c")).alias("w"))  # bounded by a document's length
+    """g, doc, a, n, c, h and the symbols (as binary) of every first segment, by anchor and in its order.
+
+    The windows of a crowded anchor are rows of their own (h), with the hash of their content for g: equal ones still meet, and no task gets
+    all of the anchor.
+    """
+    crowded = firsts.groupBy("g").count().where(F.col("count") > CROWDED).select("g", F.lit(True).alias("h"))  # few: each has so many rows
+    marked = firsts.join(F.broadcast(crowded), "g", "left").withColumn("h", F.coalesce("h", F.lit(False)))
+    wanted = marked.groupBy("doc").agg(F.collect_list(F.struct("g", "a", "n", "c", "h")).alias("w"))  # bounded by a document's length
     both = dealt.join(wanted, "doc", "left")
 
     def run(batches):
@@ -183,7 +191,7 @@ def fetched(dealt: DataFrame, firsts: DataFrame, cut: Cut) -> DataFrame:
                 if part.num_rows:
                     yield from _payload(part, cut)
 
-    shards = both.mapInArrow(run, "g long, doc long, a long, n int, c long, d binary")
+    shards = both.mapInArrow(run, "g long, doc long, a long, n int, c long, h boolean, d binary")
     return shards.repartition(parts_for(dealt), "g").sortWithinPartitions("g", "doc", "a")
 
 
@@ -191,19 +199,36 @@ def _payload(part: pa.RecordBatch, cut: Cut):
     values, offsets = symbols(part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1), cut)
     wanted = part.column("w")
     text = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(wanted)))
-    g, a, n, c = (pc.struct_field(wanted.flatten(), [k]) for k in range(4))
-    begins = offsets[text] + np.asarray(a)
-    lengths = np.asarray(n).astype(np.int64) + cut.window - 1
+    g, a, n, c, h = (np.asarray(pc.struct_field(wanted.flatten(), [k])) for k in range(5))
+    yield from _rows(part.column(0), values, offsets, cut, text[~h], g[~h], a[~h], n[~h], c[~h], False)
+    heads = np.flatnonzero(h)
+    for i, j in slices(n[heads].astype(np.int64) * cut.window, STARTS):
+        at = np.repeat(heads[i:j], n[heads[i:j]])
+        places = ragged(a[heads[i:j]], n[heads[i:j]].astype(np.int64))
+        yield from _rows(part.column(0), values, offsets, cut, text[at], g[at], places, np.ones(len(at), np.int32), c[at], True)
+
+
+def _rows(keys: pa.Array, values: np.ndarray, offsets: np.ndarray, cut: Cut, text, g, a, n, c, single: bool):
+    """Rows of the shards; ``single`` windows are named by their content."""
+    begins = offsets[text] + a
+    lengths = n.astype(np.int64) + cut.window - 1
     for i, j in slices(lengths, STARTS):
         data = values[ragged(begins[i:j], lengths[i:j])].tobytes()
         ends = np.concatenate(([0], np.cumsum(lengths[i:j]))) * values.dtype.itemsize
         content = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
-        columns = [g.slice(i, j - i), part.column(0).take(pa.array(text[i:j])), a.slice(i, j - i), n.slice(i, j - i), c.slice(i, j - i), content]
-        yield pa.RecordBatch.from_arrays(columns, names=["g", "doc", "a", "n", "c", "d"])
+        name = g[i:j]
+        if single:
+            name = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())), np.uint64, j - i).view(np.int64)
+        columns = [pa.array(name), keys.take(pa.array(text[i:j])), *(pa.array(x[i:j]) for x in (a, n, c)), pa.array(np.full(j - i, single)), content]
+        yield pa.RecordBatch.from_arrays(columns, names=["g", "doc", "a", "n", "c", "h", "d"])
 
 
 def by_shard(shards: DataFrame, search, most: int) -> DataFrame:
-    """(doc, a, e) spans that ``search`` finds among whole anchors' segments, gathered up to about ``most`` bytes at a time."""
+    """(doc, a, e) spans that ``search`` finds among whole anchors' segments, gathered up to about ``most`` bytes at a time.
+
+    Windows dealt out singly may be more than that and all equal. They are searched in turns of about ``most`` bytes, each
+    together with the first window of every content before.
+    """
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -220,7 +245,12 @@ def by_shard(shards: DataFrame, search, most: int) -> DataFrame:
             end = int(heads[until - 1])
             if end:
                 yield from spans(table.slice(0, end))
-            kept = table.slice(end).to_batches()
+            rest = table.slice(end).combine_chunks()
+            if rest.nbytes >= most and rest["h"][0].as_py() and rest["h"][-1].as_py():
+                yield from spans(rest)
+                codes = rest["d"].combine_chunks().dictionary_encode().indices.to_numpy()
+                rest = rest.take(pa.array(np.sort(np.unique(codes, return_index=True)[1]))).combine_chunks()
+            kept = rest.to_batches()
             held = sum(x.nbytes for x in kept)
         if kept:
             yield from spans(pa.Table.from_batches(kept).combine_chunks())

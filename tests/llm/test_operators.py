@@ -371,6 +371,26 @@ def test_fm_dedup(docs, empty):
     assert fmindex.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("operator", ["fmindex", "suffixes"])
+def test_crowded_anchors_are_split(spark, docs, monkeypatch, operator):
+    """A passage in every text, with other surroundings: all windows at its edges have the same anchor."""
+    module, turns = {"fmindex": fmindex, "suffixes": suffixes}[operator], []
+    edge = " ".join(f"p{i}" for i in range(60))
+    more = spark.createDataFrame([(1000 + i, " ".join(f"q{i}x{k}" for k in range(40)) + f" {edge} " + " ".join(f"r{i}x{k}" for k in range(40))) for i in range(300)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(more)
+    want = sorted(map(tuple, module.deduplicated(both).collect()))
+    fetched = anchors.fetched
+    monkeypatch.setattr(anchors, "fetched", lambda *a: turns.append(fetched(*a)) or turns[-1])
+    monkeypatch.setattr(anchors, "CROWDED", 100)
+    monkeypatch.setattr(module, "SHARD_BYTES", 2_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert sorted(map(tuple, module.deduplicated(both).collect())) == want
+        assert turns[0].where("not h").groupBy("g").count().agg(F.max("count")).first()[0] <= 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_wavelet_ranks():
     values = RNG.integers(0, 37, 1000)
     index = fmindex.Wavelet(values, 37)
