@@ -162,10 +162,10 @@ def pack(docs: DataFrame, definition: bytes, pattern: str, size: int = 1024, end
 
 def _sentence_ends(definition: bytes) -> np.ndarray:
     """By id: does the token end a sentence or hold a line break?"""
-    from docquarry.llm.tokens import ranks_of
+    from docquarry.llm.tokens import added_ids, ranks_of
 
     ranks = ranks_of(definition)
-    table = np.zeros(max(ranks.values()) + 2, bool)
+    table = np.zeros(max(*ranks.values(), *added_ids(definition).values()) + 2, bool)
     for token, i in ranks.items():
         table[i] = token.rstrip(b"\"')").endswith(ENDINGS) or b"\n" in token
     return table

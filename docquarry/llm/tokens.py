@@ -68,11 +68,37 @@ def ranks_of(definition: bytes) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
 
 
+def added_ids(definition: bytes) -> dict[str, int]:
+    """Strings that a definition takes whole, before it splits text, with their ids; a rank file has none."""
+    if not definition.lstrip().startswith(b"{"):
+        return {}
+    added = json.loads(definition)["added_tokens"]
+    if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token of this definition is matched by more than its text")
+    return {x["content"]: x["id"] for x in added}
+
+
+class WithAdded(Pieces):
+    """As Pieces, but strings in ``added`` get their own ids, and what stands between them is encoded alone."""
+
+    def __init__(self, encode: Encode, added: dict[str, int]):
+        super().__init__(encode)
+        self.own = {x: array("I", [i]).tobytes() for x, i in added.items()}
+        self.border = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = {i: self.border.split(text) for i, text in enumerate(texts) if any(x in text for x in self.own)}
+        between = iter(super().ids([x for parts in cut.values() for x in parts[::2]]))
+        rest = iter(super().ids([text for i, text in enumerate(texts) if i not in cut]))
+        return [b"".join(self.own[x] if k % 2 else next(between) for k, x in enumerate(cut[i])) if i in cut else next(rest) for i in range(len(texts))]
+
+
 def ranked_pieces(definition: bytes, pattern: str) -> Pieces:
-    """For a vocabulary given by the content of its file and the pattern that splits text; special strings are ordinary text."""
+    """For a vocabulary given by the content of its file and the pattern that splits text; added tokens of the definition get their ids."""
     coder = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks_of(definition), special_tokens={})
     one = coder.encode_ordinary
-    return Pieces(lambda texts: [array("I", one(text)).tobytes() for text in texts])
+    encode, added = lambda texts: [array("I", one(text)).tobytes() for text in texts], added_ids(definition)
+    return WithAdded(encode, added) if added else Pieces(encode)
 
 
 @lru_cache(maxsize=2)

@@ -69,6 +69,14 @@ def test_pieces_are_the_tokenizers(docs):
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_have_their_ids():
+    given = vocabulary("packing")
+    tokenizer = Tokenizer.from_buffer(given)
+    texts = ["end <|endoftext|> begin", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c ", "<|endoftext", "plain text", "", "x\n<|endoftext|>\n é"]
+    ids = [np.frombuffer(x, "<u4").tolist() for x in ranked_pieces(given, PATTERN).ids(texts)]
+    assert ids == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and ids[0] == [437, 220, 50256, 2221]
+
+
 def test_bpe(docs, empty):
     given = vocabulary("bpe")
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(given), special_tokens={})
