@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, deal, fmindex, lengths, packing, rules, simhash, suffixes, topk, weak
+from docquarry.llm import bpe, deal, fmindex, lengths, merkle, packing, rules, simhash, suffixes, topk, weak
 from docquarry.llm.common import table, whole_text
 from docquarry.operators.sizing import settled
 from docquarry.session import ship_package
@@ -92,11 +92,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(counted)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    frames = {c: merkle.framed(c) for c in fields}
+    changed = merkle.digest(*(frames | {"n_chars": merkle.framed(F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars")))}).values())
+    leaves = docs.select("doc_id", "lang", merkle.digest(*frames.values()).alias("leaf"), F.when(tampered, changed).alias("changed"))
+    made = merkle.manifest(leaves, "lang", ["doc_id"], ["changed"])
+    made = made.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 _ALL = {
     query.__name__: query
     for query in (
         op1_exact_top_k, op2_pack_documents, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier,
-        op6_shard_documents, op7_byte_bpe, op8_fm_index_dedup, op9_suffix_array_dedup, op10_token_counts,
+        op6_shard_documents, op7_byte_bpe, op8_fm_index_dedup, op9_suffix_array_dedup, op10_token_counts, op12_merkle_manifest,
     )
 }
 
@@ -141,4 +156,43 @@ ORACLE = {
             SELECT *, CAST({bits} AS BIGINT) AS failed_bits FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
         FROM b""".replace("{bits}", " + ".join(f"CASE WHEN {condition} THEN {1 << i} ELSE 0 END" for i, (_, condition) in enumerate(rules.RULES))),
+    "op12_merkle_manifest": """
+        WITH RECURSIVE framed AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS g,
+                   list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)],
+                                  lambda x: CASE WHEN x IS NULL THEN '-' ELSE CAST(strlen(x) AS VARCHAR) || ':' || x END) AS f,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+                           lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) AS crc
+            FROM documents),
+        d AS (SELECT doc_id, g, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf,
+                     CASE WHEN crc % 7 = 0 THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) END AS changed FROM framed),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m FROM d),
+        up AS (
+            SELECT g, CAST(0 AS BIGINT) AS level, pos, leaf AS h, m FROM leaves
+            UNION ALL
+            SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (m + 1) // 2 FROM up WHERE m > 1 GROUP BY g, level, pos // 2, m),
+        subroots AS (SELECT g, h AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m FROM up WHERE m = 1),
+        top AS (
+            SELECT CAST(0 AS BIGINT) AS level, pos, subroot AS h, m FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (m + 1) // 2 FROM top WHERE m > 1 GROUP BY level, pos // 2, m),
+        ends AS (SELECT h AS root, level AS height FROM top WHERE m = 1),
+        below AS (
+            SELECT l.g, l.pos, list(CASE WHEN (l.pos >> k.level) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(u.h, '') ORDER BY k.level) AS path
+            FROM leaves l JOIN subroots s USING (g) JOIN (SELECT DISTINCT level FROM up) k ON k.level < s.height
+            LEFT JOIN up u ON u.g = l.g AND u.level = k.level AND u.pos = xor(l.pos >> k.level, 1) GROUP BY l.g, l.pos),
+        above AS (
+            SELECT s.g, list(CASE WHEN (s.pos >> k.level) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(u.h, '') ORDER BY k.level) AS path
+            FROM subroots s JOIN (SELECT DISTINCT level FROM top) k ON k.level < (SELECT height FROM ends)
+            LEFT JOIN top u ON u.level = k.level AND u.pos = xor(s.pos >> k.level, 1) GROUP BY s.g),
+        whole AS (
+            SELECT l.doc_id, l.leaf, l.changed, s.subroot, e.root, list_concat(coalesce(b.path, []), coalesce(a.path, [])) AS path
+            FROM leaves l JOIN subroots s USING (g) CROSS JOIN ends e LEFT JOIN below b ON b.g = l.g AND b.pos = l.pos LEFT JOIN above a ON a.g = l.g),
+        folds AS (
+            SELECT *, sha256(coalesce(list_aggregate(list_transform(path, lambda x: x[2:]), 'string_agg', ''), '')) AS proof_sha256,
+                   list_reduce(list_prepend(coalesce(changed, leaf), path),
+                       lambda h, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root FROM whole)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folds""",
 }
