@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, deal, fmindex, lengths, merkle, packing, rules, simhash, suffixes, topk, weak
-from docquarry.llm.common import table, whole_text
+from docquarry.llm import bpe, deal, fmindex, lengths, merkle, packing, periods, rules, simhash, suffixes, topk, weak
+from docquarry.llm.common import SEPARATORS, table, whole_text
 from docquarry.operators.sizing import settled
 from docquarry.session import ship_package
 
@@ -107,11 +107,41 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.collapsed(looped(docs))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    text = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    found = found.withColumn("first", first)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("first.s").alias("start"), (-F.col("first.l")).alias("length"), F.col("first.p").alias("period"),
+        F.floor(-1000 * F.col("first.l") / F.col("first.p")).alias("exponent_milli"), F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """The contract's documents: where 10 divides the checksum of doc_id, the words from some place on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.col("text"), SEPARATORS), lambda w: w != "")
+
+    def repeated(ws):
+        a = g % F.size(ws)
+        p = 1 + F.floor((F.size(ws) - a) / (3 + g % 8))
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))), " ")
+
+    once = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeated(ws)).otherwise("")), F.lit(0))  # the words are made once
+    return docs.withColumn("text", F.when(F.col("text").isNotNull() & (h % 10 == 0), once).otherwise(F.col("text")))
+
+
 _ALL = {
     query.__name__: query
     for query in (
         op1_exact_top_k, op2_pack_documents, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier,
         op6_shard_documents, op7_byte_bpe, op8_fm_index_dedup, op9_suffix_array_dedup, op10_token_counts, op12_merkle_manifest,
+        op13_periodic_runs,
     )
 }
 
