@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, deal, fmindex, lengths, merkle, packing, periods, rules, simhash, suffixes, topk, weak
+from docquarry.llm import bpe, collisions, deal, fmindex, lengths, merkle, packing, periods, rules, simhash, suffixes, topk, weak
 from docquarry.llm.common import SEPARATORS, table, whole_text
 from docquarry.operators.sizing import settled
 from docquarry.session import ship_package
@@ -92,6 +92,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_histogram(counted)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector per vec_id takes part (of several the smallest); rows without a vec_id or with an unsound vector take none."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", collisions.sound("embedding").alias("vector"))
+    vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = settled(vectors.withColumnRenamed("vec_id", "id"), "op11-vectors")  # read four times
+    return collisions.nearest(rows, rows.where(F.col("id") % 20 == 0), 20).withColumnRenamed("id", "vec_id")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ("doc_id", "source", "lang", "n_chars", "text")
     docs = table(spark, sf_dir, "documents").select(*fields)
@@ -140,8 +148,8 @@ _ALL = {
     query.__name__: query
     for query in (
         op1_exact_top_k, op2_pack_documents, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier,
-        op6_shard_documents, op7_byte_bpe, op8_fm_index_dedup, op9_suffix_array_dedup, op10_token_counts, op12_merkle_manifest,
-        op13_periodic_runs,
+        op6_shard_documents, op7_byte_bpe, op8_fm_index_dedup, op9_suffix_array_dedup, op10_token_counts, op11_nearest_neighbours,
+        op12_merkle_manifest, op13_periodic_runs,
     )
 }
 
