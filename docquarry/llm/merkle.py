@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docquarry.operators.sizing import settled
+from docquarry.operators.sizing import BROADCAST_ROWS, hold_table, settled
 
 #: Levels of the tree that one exchange builds (with a fanout of 2, so blocks of 32 nodes).
 LEVELS = 5
@@ -55,8 +55,11 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str], label: str) -> D
     # Ranges follow the group first, so a group's rows are one stretch: its first number and its length say all.
     starts = placed.groupBy("part", group).agg(F.min("local").alias("local"), F.count(F.lit(1)).alias("n")).join(before, "part")
     groups = starts.groupBy(group).agg(F.min(F.col("before") + F.col("local")).alias("first"), F.sum("n").alias("total"))
-    joined = placed.join(F.broadcast(before), "part").join(groups, group)
-    return joined.select(*rows.columns, (F.col("before") + F.col("local") - F.col("first")).alias("pos"), "total")
+    held = hold_table(groups, f"{label}-groups")
+    joined = placed.join(F.broadcast(before), "part").join(held.side(), group)
+    out = joined.select(*rows.columns, (F.col("before") + F.col("local") - F.col("first")).alias("pos"), "total")
+    # Too many groups to broadcast: the join is written, so that the rows of a large group are split in it.
+    return out if held.count <= BROADCAST_ROWS else settled(out, f"{label}-placed")
 
 
 def _pivoted(nodes: DataFrame, fanout: int, levels: int, label: str) -> DataFrame:
@@ -159,8 +162,8 @@ def manifest(leaves: DataFrame, group: str, order: Sequence[str], carry: Sequenc
     root, top = tree(over, fanout, levels, "merkle-top")
     ends = _handed_down(top, fanout).select(F.col("node.of").alias("g"), F.col("node.digest").alias("subroot"), F.col("path").alias("rest"))
     last = root.first()  # one digest, or none
-    ends = settled(ends.withColumn("root", F.lit(last.digest if last else None).cast("string")), "merkle-ends")
-    whole = lowest.join(ends, "g").withColumn("above", F.concat("above", "rest")).drop("rest")
+    ends = hold_table(ends.withColumn("root", F.lit(last.digest if last else None).cast("string")), "merkle-ends")
+    whole = lowest.join(ends.side(), "g").withColumn("above", F.concat("above", "rest")).drop("rest")
     found = _handed_down(whole, fanout)
     columns = (F.col("node.digest").alias(c) if c == "leaf" else F.col(f"node.{c}").alias(c) for c in kept)
     return found.select(*columns, "subroot", "root", "path")
