@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
@@ -47,10 +48,11 @@ class Held:
 
     rows: DataFrame
     count: int
+    local: pa.Table | None = None  # the rows themselves, where the driver made them
 
-    def side(self, growth: int = 1) -> DataFrame:
-        """As a join side: broadcast only when its counted rows, times ``growth``, are few; else left to a shuffle."""
-        return F.broadcast(self.rows) if self.count * growth <= BROADCAST_ROWS else self.rows
+    def side(self) -> DataFrame:
+        """As a join side: broadcast only when its counted rows are few; else left to a shuffle."""
+        return F.broadcast(self.rows) if self.count <= BROADCAST_ROWS else self.rows
 
 
 def hold_table(df: DataFrame, label: str) -> Held:
@@ -62,7 +64,7 @@ def hold_table(df: DataFrame, label: str) -> Held:
 def hold_local(df: DataFrame, label: str) -> Held:
     """For what belongs to one interactive query: a few rows per word, kept by the session itself."""
     rows = df.toArrow()
-    return Held(df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows)
+    return Held(df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows, rows)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from docquarry.operators import search as ranked_search
 from docquarry.operators.catalog import Catalog, check_unique, chunks_of, reject_or_skip, sources_of
 from docquarry.operators.diff import listing_diff
 from docquarry.operators.digests import content_digest, listing_digest, value
-from docquarry.operators.index import SearchIndex, build_index
+from docquarry.operators.index import MOST_CHANGED, MOST_SEGMENTS, SearchIndex, build_index, merged, refresh_index
 from docquarry.operators.links import link_transformer
 from docquarry.operators.page import nothing_found, page_text, search_pages
 from docquarry.operators.sizing import hold_local, hold_table, settled
@@ -28,6 +28,10 @@ from docquarry.streaming.snapshot import Snapshot, SnapshotHolder
 log = logging.getLogger(__name__)
 
 
+class EngineClosed(RuntimeError):
+    pass
+
+
 class Engine:
     """Open with ``Engine.open``. Searching and reading revalidate first; listings and prompts do not."""
 
@@ -36,6 +40,7 @@ class Engine:
         self.holder = SnapshotHolder()
         self.changes: DataFrame | None = None
         self.on_change: Callable[[DataFrame], None] = lambda changes: None
+        self._layers = 0
         self._selection = manifest.effective_selection()
         self._root = layout.path(settings.content_dir, layout.resources) if self._selection.legacy else settings.content_dir
 
@@ -82,19 +87,23 @@ class Engine:
         return value(listing_digest(self._listed))
 
     def _rediscover(self) -> tuple[DataFrame, DataFrame]:
-        """Only files that are new, differ, or failed before are read; the rest is carried over."""
+        """Only files that are new, differ, or failed before are read; the rest is carried over where it is written."""
         published = self.holder.current
         loaded = published.documents.filter("error is null").select("file_path")
         known = published.listing.join(loaded.withColumnRenamed("file_path", "path"), "path", "left_semi")
         todo = changed_files(known, self._listed)
-        kept = self._listed.join(todo.select("path"), "path", "left_anti")
-        carried = published.documents.join(kept.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+        kept = self._listed.join(todo.select("path"), "path", "left_anti").select(F.col("path").alias("file_path"))
+        dropped = hold_table(published.documents.select("file_path").join(kept, "file_path", "left_anti"), "dropped")
+        carried = published.documents.join(dropped.side(), "file_path", "left_anti") if dropped.count else published.documents
         if self._listed.isEmpty() or not todo.isEmpty():
             fresh = discover(self.spark, self._root, self._selection, self.settings.uri_scheme, self._listed if kept.isEmpty() else todo)
-            carried = carried.unionByName(fresh)
-        documents = settled(carried, "documents")
-        reject_or_skip(documents, self._selection.lenient or self._selection.legacy)
-        return self._listed, documents
+            carried = carried.unionByName(settled(fresh, "documents"))
+        # Every refresh lays a table over those before; from time to time they become one again.
+        self._layers = published.layers + 1
+        if self._layers > MOST_SEGMENTS:
+            carried, self._layers = settled(carried, "documents"), 0
+        reject_or_skip(carried, self._selection.lenient or self._selection.legacy)
+        return self._listed, carried
 
     def _content_digest(self, found: tuple[DataFrame, DataFrame]) -> str:
         return value(content_digest(found[1].filter("error is null")))
@@ -106,15 +115,41 @@ class Engine:
         sources = sources_of(loaded)
         transformers = (link_transformer(sources),) if self.settings.cross_ref else ()
         catalog = Catalog(sources, chunks_of(loaded), transformers)
-        index = build_index(catalog.indexed_chunks(), "en", new_location(self.spark, "index"), in_memory=self.settings.search.in_memory)
+        versions = settled(self._versions(catalog), "versions")
+        published = self.holder.current
+        index = self._first_index(catalog) if published is None else self._next_index(catalog, loaded, versions, published)
         announced = settled(sources.select("uri", "name", "description", "mime_type"), "announced")
-        previous = self.holder.swap(Snapshot(listing, documents, catalog, index, announced))
+        previous = self.holder.swap(Snapshot(listing, documents, catalog, index, announced, versions, self._layers))
         if previous is not None:
-            previous.index.release()
+            previous.index.release(keep=index)
             self.changes = settled(listing_diff(previous.announced, announced), "changes")
             if not self.changes.isEmpty():
                 self.on_change(self.changes)
 
+    def _versions(self, catalog: Catalog) -> DataFrame:
+        """(source_uri, version): equal versions have equal chunks in the index."""
+        own = catalog.sources.select(F.col("uri").alias("source_uri"), F.sha2(F.concat_ws("/", "fingerprint", "relative_path"), 256).alias("version"))
+        if not catalog.transformers:
+            return own
+        # Rewritten text depends on other sources too.
+        text = F.sort_array(F.collect_list(F.struct("chunk_id", F.sha2(F.col("content").cast("binary"), 256))))  # one document's chunks
+        rewritten = catalog.indexed_chunks().groupBy("source_uri").agg(F.sha2(F.to_json(text).cast("binary"), 256).alias("rewritten"))
+        return own.join(rewritten, "source_uri", "left").select("source_uri", F.concat_ws("/", "version", "rewritten").alias("version"))
+
+    def _first_index(self, catalog: Catalog) -> SearchIndex:
+        return build_index(catalog.indexed_chunks(), "en", new_location(self.spark, "index"), in_memory=self.settings.search.in_memory)
+
+    def _next_index(self, catalog: Catalog, loaded: DataFrame, versions: DataFrame, published: Snapshot) -> SearchIndex:
+        """The published index with the sources that differ written anew; a whole new one where most do."""
+        changed = hold_table(versions.join(published.versions, ["source_uri", "version"], "left_anti").select("source_uri"), "changed")
+        gone = published.versions.join(versions, ["source_uri", "version"], "left_anti").select("source_uri")
+        if changed.count > MOST_CHANGED * versions.count():
+            return self._first_index(catalog)
+        mine = changed.side().withColumnRenamed("source_uri", "uri")
+        part = loaded.join(mine, "uri", "left_semi")
+        fresh = Catalog(sources_of(part), chunks_of(part), catalog.transformers).indexed_chunks()
+        return merged(refresh_index(published.index, settled(fresh, "fresh"), gone))
+
     # What callers use
 
     def revalidate(self) -> bool:
@@ -144,12 +179,19 @@ class Engine:
             return queries.select("query_id", nothing_found().alias("page"))
         return page_text(queries, search_pages(index, queries, search, hold=hold), search.result_mode)
 
+    def _catalog(self) -> Catalog:
+        if self.holder.current is None:
+            raise EngineClosed("the engine is closed")
+        return self.holder.current.catalog
+
     def read(self, uri: str) -> str:
-        self.revalidate()
-        return self.holder.current.catalog.read(uri)
+        """Text behind an address, from the current generation; ``EngineClosed`` after ``close``."""
+        if self.holder.current is not None:
+            self.revalidate()
+        return self._catalog().read(uri)
 
     def resources(self) -> DataFrame:
-        return self.holder.current.catalog.listing()
+        return self._catalog().listing()
 
     def list_prompts(self) -> DataFrame:
         return list_prompts(self.prompts)

@@ -276,7 +276,7 @@ def collection_size(spark, sf):
 def fuzzy_expand(spark, sf):
     index = corpus.index(spark, sf)
     terms = hold_table(srch.query_terms(corpus.queries_of(spark, sf), index.analyzer), "query-terms")
-    return srch.near_terms(terms, index.neighbours)
+    return srch.near_terms(terms, index)
 
 
 # Search

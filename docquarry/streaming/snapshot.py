@@ -17,6 +17,8 @@ class Snapshot:
     catalog: Catalog
     index: SearchIndex
     announced: DataFrame
+    versions: DataFrame  # what each source's part of the index was made of
+    layers: int = 0  # refreshes since the documents were last written as one table
 
 
 class SnapshotHolder:

@@ -233,5 +233,4 @@ def test_many_terms_without_broadcast(spark, index, monkeypatch):
     expected = sorted(srch.candidates(index, queries, limit=25).collect())
     monkeypatch.setattr("docquarry.operators.sizing.BROADCAST_ROWS", 0)
     monkeypatch.setattr("docquarry.operators.search.BROADCAST_ROWS", 0)
-    monkeypatch.setattr("docquarry.operators.search.PUSHED_VALUES", 0)
     assert sorted(srch.candidates(index, queries, limit=25).collect()) == expected
