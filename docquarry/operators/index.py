@@ -36,7 +36,7 @@ PART_BYTES = 1 << 26  # of chunk text whose terms share a file
 #: A chunk's number: its segment, the file it is stored in, and its place there.
 FILE_BITS, SEGMENT_BITS = 33, 53
 #: Later segments that a lookup may go through, and the share of dead and later chunks, before the log is folded.
-MOST_SEGMENTS, MOST_CHANGED = 8, 0.25
+MOST_SEGMENTS, MOST_CHANGED = 4, 0.25
 
 
 def field_texts(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -205,7 +205,6 @@ def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int =
         most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
         buckets = min(most, max(spark.sparkContext.defaultParallelism, octets // BUCKET_BYTES + 1))
     parts = parts or octets // buckets // PART_BYTES + 1
-    summary = spark.createDataFrame([(analyzer, number, buckets, parts)], "analyzer string, number int, buckets int, parts int")
     stored = _stored(spark, location, numbered)
     texts = field_texts(stored, "chunk_no", "source_no").select("chunk_no", "source_no", field_number().alias("field_no"), "text")
     counted = texts.select("chunk_no", "source_no", "field_no", term_counts(F.col("text"), analyzer).alias("terms")).repartition(buckets, "source_no")
@@ -219,7 +218,7 @@ def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int =
     terms = spark.read.schema(dictionary.schema).parquet(f"{location}/dictionary")
     near = neighbours_of(terms).withColumn("part", part_of(F.col("variant"), parts))
     near.repartitionByRange("part", "variant").sortWithinPartitions("part", "variant").write.partitionBy("part").parquet(f"{location}/neighbours")
-    summary.withColumn("chunk_count", F.lit(stored.count())).coalesce(1).write.parquet(f"{location}/summary")
+    _one_row(spark, analyzer=F.lit(analyzer), number=F.lit(number), buckets=F.lit(buckets), parts=F.lit(parts), chunk_count=F.lit(stored.count()).cast("long")).write.parquet(f"{location}/summary")
 
 
 def _stored(spark: SparkSession, location: str, like: DataFrame | None = None) -> DataFrame:
@@ -261,8 +260,11 @@ def build_index(
 
 def _write_log(spark: SparkSession, location: str, analyzer: str, chunk_count: int, segments: list[str]) -> None:
     """Written last: a generation without it never was."""
-    log = spark.createDataFrame([(analyzer, chunk_count, segments)], "analyzer string, chunk_count long, segments array<string>")
-    log.coalesce(1).write.parquet(f"{location}/log")
+    _one_row(spark, analyzer=F.lit(analyzer), chunk_count=F.lit(chunk_count), segments=F.array(*map(F.lit, segments))).write.parquet(f"{location}/log")
+
+
+def _one_row(spark: SparkSession, **values: Column) -> DataFrame:
+    return spark.range(1, numPartitions=1).select(*(value.alias(name) for name, value in values.items()))
 
 
 DEAD, ORDER = "segment int, source_no long", "segment int, source_no long, source_uri string, next_no long, seq long"

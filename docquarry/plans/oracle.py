@@ -265,6 +265,8 @@ ORACLE: dict[str, str] = {
     "tfidf_search": top({"content": 1.0}, False),
     "multi_field_search": top(BOOSTS, False),
     "fuzzy_search": top(BOOSTS, True),
+    "delta_search": top(BOOSTS, False),
+    "streamed_search": top(BOOSTS, True),
     "match_all": f"""WITH RECURSIVE {CHUNKS}, ordered AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY source_uri, chunk_id) AS INT) AS rank FROM chunks)
         SELECT item_id AS query_id, rank, chunk_id, CAST(1.0 AS DOUBLE) AS score FROM benchmark, ordered WHERE rank <= 25""",
     "any_vs_all": _any_vs_all(),

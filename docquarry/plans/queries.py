@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import globs, paths, templates
 from docquarry.operators import catalog as cat
+from docquarry.operators import index as idx
 from docquarry.operators import search as srch
 from docquarry.operators.diff import listing_diff
 from docquarry.operators.digests import content_digest, listing_digest
 from docquarry.operators.index import dictionary_of, postings_of
 from docquarry.operators.links import extract_links, resolve_links, rewrite_links
 from docquarry.operators.page import page_text, source_cap
-from docquarry.operators.sizing import hold_table
+from docquarry.operators.sizing import hold_table, settled
 from docquarry.plans import corpus
+from docquarry.session import new_location
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
+from docquarry.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOP = 25
@@ -313,6 +316,41 @@ def fuzzy_search(spark, sf):
     return _shown(_ranked(spark, sf, srch.field_fuzziness))
 
 
+@query
+def delta_search(spark, sf):
+    """The corpus, reached by three generations: a first one with outdated and superfluous texts, then two refreshes."""
+    texts = corpus.texts(spark, sf).withColumn("number", F.regexp_extract("relative_path", r"(\d+)\.md$", 1).cast("long"))
+    outdated = F.col("number") % 7 == 0
+    stale = F.when(outdated, F.concat(F.lit("# Superseded\n\n"), F.reverse("raw"), F.lit("\n"))).otherwise(F.col("raw"))
+    first = texts.filter("number % 5 <> 0").withColumn("raw", stale)
+    ghosts = texts.filter("number % 11 = 0").withColumn("relative_path", F.concat(F.lit("ghost/"), "relative_path"))
+
+    def chunks(rows):
+        return cat.chunks_of(settled(cat.parse(rows.drop("number"), corpus.SCHEME).filter("error is null"), "documents"))
+
+    def addresses(rows):
+        return rows.select(paths.source_uri(F.col("relative_path"), corpus.SCHEME).alias("source_uri"))
+
+    index = idx.build_index(chunks(first.unionByName(ghosts)), "plain")
+    replaced = texts.filter(outdated & (F.col("number") % 5 != 0))
+    index = idx.refresh_index(index, chunks(replaced), addresses(replaced))
+    index = idx.refresh_index(index, chunks(texts.filter("number % 5 = 0")), addresses(ghosts))
+    return _shown(srch.candidates(index, corpus.queries_of(spark, sf), SearchSettings(), TOP, _exact))
+
+
+@query
+def streamed_search(spark, sf):
+    """The corpus as a stream of files, one batch and one segment each, searched like the index of one build."""
+    folder = new_location(spark, "stream")
+    texts = corpus.texts(spark, sf).withColumn("version", F.lit(1).cast("long"))
+    for third in range(3):  # files, in the order in which the stream takes them
+        texts.filter(F.pmod(F.xxhash64("relative_path"), F.lit(3)) == third).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+    arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")
+    ingest.follow(arriving, folder, corpus.SCHEME, "plain").awaitTermination()
+    index = ingest.streamed_index(spark, folder)
+    return _shown(srch.candidates(index, corpus.queries_of(spark, sf), SearchSettings(), TOP))
+
+
 @query
 def match_all(spark, sf):
     index = corpus.index(spark, sf)
