@@ -130,14 +130,42 @@ def term_counts(text: Column, analyzer: str = "en") -> Column:
     return F.arrow_udf({"en": _english_counts, "plain": _plain_counts}[analyzer], TERM_COUNTS).asNondeterministic()(text)
 
 
-def deletions(df: DataFrame, term: str) -> DataFrame:
-    """Each row once per ``variant``: a hash of its term and of the term without each single character.
+# Polynomial hashes over code points, modulo 2^64; the base is odd, so it has an inverse.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, base))))
+
+
+def _deletion_hashes(terms: pa.Array) -> pa.Array:
+    """For each term the hashes of itself and of what is left without any one character, in one pass over the letters."""
+    words = [w or "" for w in terms.to_pylist()]
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    up, down = _powers(BASE, len(codes)), _powers(UNBASE, len(codes))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((codes + np.uint64(1)) * up[: len(codes)])))
+    whole = (sums[ends] - sums[starts]) * down[starts]
+    home = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes))
+    cut = ((sums[place] - sums[starts[home]]) + (sums[ends[home]] - sums[place + 1]) * UNBASE) * down[starts[home]]
+    out = np.empty(len(codes) + len(words), np.uint64)
+    firsts = starts + np.arange(len(words))
+    out[firsts] = whole
+    out[place + home + 1] = cut
+    bounds = np.append(firsts, len(out)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(out.view(np.int64)))
+
+
+def deletions(df: DataFrame, term: str, number: str) -> DataFrame:
+    """``number`` (a hash that stands for the term) and ``variant``: a hash of the term, and of the term without each single character.
 
     Two terms within one insertion, deletion or substitution always share a variant, which turns
-    the distance test into an equi-join plus a check.
+    the distance test into an equi-join plus a check. Rows hold two numbers, so a term of a million letters costs megabytes, not their square.
     """
-    text, cut = F.col(term), F.col("cut")
-    left_out = F.concat(F.substr(text, F.lit(1), cut - 1), F.substr(text, cut + 1))
-    variant = F.xxhash64(F.when(cut == 0, text).otherwise(left_out))
-    each = df.withColumn("cut", F.explode(F.sequence(F.lit(0), F.length(text))))
-    return each.withColumn("variant", variant).drop("cut")
+    variants = F.arrow_udf(_deletion_hashes, T.ArrayType(T.LongType())).asNondeterministic()(F.col(term))
+    numbered = df.select(F.xxhash64(term).alias(number), variants.alias("variants"))  # so that the term itself is not repeated
+    return numbered.select(number, F.explode("variants").alias("variant"))

@@ -1,7 +1,7 @@
-"""Block structure of Markdown text, one line-oriented pass.
+"""Block structure of Markdown text: one pass over the lines with a stack of open containers.
 
-Only what chunking and titles need is recognised: where each top-level block begins and
-ends, which blocks are headings, and the plain text of headings and first paragraphs.
+Only what chunking and titles need is kept: where each top-level block begins and ends, which blocks are headings, the first heading of level 1 and the first
+paragraph at any depth. A line costs what it holds plus the containers it continues, whatever came before.
 """
 
 from __future__ import annotations
@@ -9,16 +9,17 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-import regex
+from docquarry.functions.inline import inline_text, label_key
 
-FENCE = re.compile(r" {0,3}(?P<mark>`{3,}(?=[^`]*$)|~{3,})")
-ATX = re.compile(r" {0,3}(?P<marks>#{1,6})(?:[ \t]+(?P<text>.*?))?(?:[ \t]+#+)?[ \t]*$")
-RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-QUOTE = re.compile(r" {0,3}> ?")
-ITEM = re.compile(r" {0,3}(?P<mark>[-+*]|(?P<number>\d{1,9})[.)])(?=[ \t]|$)")
-DEFINITION = re.compile(r""" {0,3}\[[^\]]+\]:[ \t]*\S+(?:[ \t]+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*$""")
+FENCE = re.compile(r"(?P<mark>`{3,}(?=[^`]*$)|~{3,})")
+ATX = re.compile(r"(?P<marks>#{1,6})(?:[ \t]+(?P<text>.*?))?(?:[ \t]+#+)?[ \t]*$")
+RULE = re.compile(r"(?:\*[ \t]*){3,}$|(?:-[ \t]*){3,}$|(?:_[ \t]*){3,}$")
+SETEXT = re.compile(r"(=+|-+)[ \t]*$")
+ITEM = re.compile(r"(?P<mark>[-+*]|(?P<number>\d{1,9})[.)])(?=[ \t]|$)")
+FILLED = re.compile(r"[ \t]+(?=[^ \t\r])")
+DEFINITION = re.compile(r""" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\S+(?:[ \t]+(?:"[^"]*"|'[^']*'|\([^)]*\)))?[ \t]*$""")
 DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+LEAD = re.compile(r"[ \t>*+\-\d.)]*")
 
 # Element names that open an HTML block, from the CommonMark specification.
 HTML_NAMES = """
@@ -29,7 +30,7 @@ HTML_NAMES = """
 """.split()
 # Opening pattern and closing pattern; an empty closing pattern means "until a blank line".
 HTML_BLOCKS = tuple(
-    (re.compile(" {0,3}" + begin, re.I), re.compile(end, re.I) if end else None)
+    (re.compile(begin, re.I), re.compile(end, re.I) if end else None)
     for begin, end in (
         (r"<(?:script|pre|style|textarea)(?:[\s>]|$)", r"</(?:script|pre|style|textarea)>"),
         (r"<!--", r"-->"),
@@ -39,7 +40,7 @@ HTML_BLOCKS = tuple(
         (rf"</?(?:{'|'.join(HTML_NAMES)})(?:[\s>]|/>|$)", ""),
     )
 )
-HTML_TAG_LINE = re.compile(r""" {0,3}(?:<[A-Za-z][\w-]*(?:\s+[\w:.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*\s*/?>|</[A-Za-z][\w-]*\s*>)\s*$""")
+HTML_TAG_LINE = re.compile(r"""(?:<[A-Za-z][\w-]*(?:\s+[\w:.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*\s*/?>|</[A-Za-z][\w-]*\s*>)\s*$""")
 
 
 class Block(NamedTuple):
@@ -48,229 +49,297 @@ class Block(NamedTuple):
     last: int
     level: int = 0
     text: str = ""
-    inner: tuple[tuple[str, ...], ...] = ()
 
 
-def _blank(line: str) -> bool:
-    return not line.strip(" \t\r")
+class Outline(NamedTuple):
+    """Top-level blocks in order, with zero-based, inclusive lines; the first title and the first paragraph anywhere, empty if there is none."""
 
+    blocks: list[Block]
+    title: str
+    summary: str
 
-def _indent(line: str) -> int:
-    return len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip(" "))
 
+class _List:
+    __slots__ = ("block", "kind", "loose")
 
-def _html(line: str):
-    return next((end for begin, end in HTML_BLOCKS if begin.match(line)), False)
+    def __init__(self, kind: str, block):
+        self.kind, self.block, self.loose = kind, block, False
 
 
-def _interrupts(line: str) -> bool:
-    """Whether the line ends an open paragraph by starting another block."""
-    if _indent(line) >= 4:
-        return False
-    item = ITEM.match(line)
-    if item and not _blank(line[item.end():]) and item["number"] in (None, "1"):
-        return True
-    return bool(FENCE.match(line) or ATX.match(line) or RULE.match(line) or QUOTE.match(line)) or _html(line) is not False
-
-
-def _leaves_paragraph_open(line: str) -> bool:
-    """Whether a line inside a container ends in paragraph text that a lazy line may continue."""
-    while not _blank(line) and _indent(line) < 4:
-        prefix = QUOTE.match(line) or (not RULE.match(line) and ITEM.match(line))
-        if not prefix:
-            return not _interrupts(line)
-        line = line[prefix.end():].removeprefix(" ")
-    return False
-
-
-def _fence_end(lines: list[str], at: int) -> int:
-    mark = FENCE.match(lines[at])["mark"]
-    close = re.compile(rf" {{0,3}}{re.escape(mark)}{re.escape(mark[0])}*[ \t]*$")
-    return next((j for j in range(at + 1, len(lines)) if close.match(lines[j])), len(lines) - 1)
-
-
-def _quote(lines: list[str], at: int) -> Block:
-    inner, j, fenced, lazy = [], at, False, False
-    while j < len(lines):
-        prefix = QUOTE.match(lines[j])
-        if prefix:
-            inner.append(lines[j][prefix.end():])
-            fenced ^= bool(FENCE.match(inner[-1]))
-            lazy = not fenced and _leaves_paragraph_open(inner[-1])
-        elif lazy and not _blank(lines[j]) and not _interrupts(lines[j]):
-            inner.append(lines[j].lstrip())
-        else:
-            break
-        j += 1
-    return Block("quote", at, j - 1, inner=(tuple(inner),))
-
-
-def _marker_width(line: str, item: re.Match) -> int:
-    rest = line[item.end():]
-    pad = len(rest) - len(rest.lstrip(" \t"))
-    return item.end() + (pad if 1 <= pad <= 4 and not _blank(rest) else 1)
-
-
-def _list(lines: list[str], at: int) -> Block:
-    style = ITEM.match(lines[at])["mark"][-1]
-    items: list[list[str]] = []
-    width = last = 0
-    gap = loose = fenced = lazy = False
-    j = at
-    while j < len(lines):
-        line = lines[j]
-        item = ITEM.match(line)
-        if _blank(line):
-            gap = True
-            items[-1].append("")
-            j += 1
-            continue
-        if items and _indent(line) >= width:
-            loose |= gap and not fenced
-            items[-1].append(line.expandtabs(4)[width:])
-        elif item and item["mark"][-1] == style and not RULE.match(line):
-            loose |= gap
-            fenced = False
-            width = _marker_width(line, item)
-            items.append([line[width:]])
-        elif lazy and not gap and not _interrupts(line):
-            items[-1].append(line.lstrip())
-        else:
-            break
-        fenced ^= bool(FENCE.match(items[-1][-1]))
-        lazy = not fenced and _leaves_paragraph_open(items[-1][-1])
-        gap = False
-        last = j
-        j += 1
-    return Block("loose list" if loose else "list", at, last, inner=tuple(map(tuple, items)))
+class _Container:
+    """An open quote or list item. ``width``: columns of an item's own; ``last``: its newest list, while nothing followed it."""
 
+    __slots__ = ("block", "filled", "last", "list", "width")
 
-def _cells(row: str) -> int:
-    return len(re.findall(r"(?<!\\)\|", row.strip().strip("|"))) + 1
+    def __init__(self, block, of: _List | None = None, width: int = 0):
+        self.block, self.list, self.width, self.last, self.filled = block, of, width, None, False
 
 
-def _paragraph(lines: list[str], at: int) -> list[Block]:
-    """The paragraph that begins at a line: also a setext heading, a table, or nothing but definitions."""
-    j = at + 1
-    while j < len(lines) and not _blank(lines[j]):
-        underline = SETEXT.match(lines[j])
-        if underline:
-            level = 1 if underline[1][0] == "=" else 2
-            return [Block("heading", at, j, level, inline_text(_joined(lines[at:j])))]
-        if _interrupts(lines[j]):
-            break
-        j += 1
-    while at < j and DEFINITION.match(lines[at]):
-        at += 1
-    for k in range(at + 1, j):
-        if DELIMITER.match(lines[k]) and _cells(lines[k]) == _cells(lines[k - 1]):
-            lead = [Block("paragraph", at, k - 2, text=_joined(lines[at : k - 1]))] if k - 1 > at else []
-            return [*lead, Block("table", k - 1, j - 1)]
-    return [Block("paragraph", at, j - 1, text=_joined(lines[at:j]))] if at < j else [Block("", at, j - 1)]
-
-
-def _joined(lines: list[str]) -> str:
-    # Text segments carry no line ends, so the lines of a paragraph run together.
-    return "".join(line.strip() for line in lines)
-
-
-def scan(lines: list[str]) -> list[Block]:
-    """Top-level blocks in order. Line indices are zero-based and inclusive."""
-    blocks: list[Block] = []
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        atx = ATX.match(line)
-        if _blank(line):
-            i += 1
-            continue
-        if _indent(line) >= 4:
-            j = i
-            while j + 1 < len(lines) and (_blank(lines[j + 1]) or _indent(lines[j + 1]) >= 4):
-                j += 1
-            while _blank(lines[j]):
-                j -= 1
-            found = [Block("code", i, j)]
-        elif FENCE.match(line):
-            found = [Block("fence", i, _fence_end(lines, i))]
-        elif atx:
-            found = [Block("heading", i, i, len(atx["marks"]), inline_text((atx["text"] or "").strip()))]
-        elif RULE.match(line):
-            found = [Block("rule", i, i)]
-        elif QUOTE.match(line):
-            found = [_quote(lines, i)]
-        elif ITEM.match(line):
-            found = [_list(lines, i)]
-        elif (end := _html(line)) is not False or HTML_TAG_LINE.match(line):
-            found = [Block("html", i, _html_end(lines, i, end))]
-        else:
-            found = _paragraph(lines, i)
-        blocks.extend(block for block in found if block.kind)
-        i = found[-1].last + 1
-    return blocks
+class _Leaf:
+    __slots__ = ("close", "first", "kind", "last", "lines")
 
+    def __init__(self, kind: str, first: int, close=None):
+        self.kind, self.first, self.last, self.close, self.lines = kind, first, first, close, []
 
-def _html_end(lines: list[str], at: int, end) -> int:
-    if end:
-        return next((j for j in range(at, len(lines)) if end.search(lines[j])), len(lines) - 1)
-    return next((j - 1 for j in range(at + 1, len(lines)) if _blank(lines[j])), len(lines) - 1)
 
+def _html(rest: str):
+    """The pattern that ends the HTML block beginning here, None for a blank line, False for no such block."""
+    return next((end for begin, end in HTML_BLOCKS if begin.match(rest)), False) if rest.startswith("<") else False
 
-CODE_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)")
-LINK = re.compile(r"""!?\[((?:[^\[\]]|\[[^\]]*\])*)\]\((?:<[^>]*>|(?:[^()\s]|\([^)]*\))*)(?:\s+(?:"[^"]*"|'[^']*'))?\s*\)""")
-DROPPED = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*>|</?[A-Za-z][^<>]*>|<!--.*?-->|(?:https?|ftp)://[^\s<]+|\bwww\.[^\s<]+")
-EMPHASIS = regex.compile(
-    r"(?<![\\*])(?P<star>\*{1,3})(?![\s*])(?P<a>.+?)(?<![\s\\*])(?P=star)(?!\*)"
-    r"|(?<![\w\\])(?P<low>_{1,3})(?![\s_])(?P<b>.+?)(?<![\s\\_])(?P=low)(?!\w)"
-    r"|(?P<tilde>~{1,2})(?=\S)(?P<c>.+?)(?<=\S)(?P=tilde)"
-)
 
+def _cells(row: str) -> int:
+    return len(re.findall(r"(?<!\\)\|", row.strip().strip("|"))) + 1
 
-def inline_text(text: str) -> str:
-    """Text of a heading or paragraph without its inline markup. Bare addresses and tags add nothing."""
-    kept: list[str] = []
 
-    def protect(match: re.Match) -> str:
-        kept.append(match[2])
-        return f"\x00{len(kept) - 1}\x00"
+class _Scanner:
+    def __init__(self):
+        self.top: list[list] = []  # kind, first, last, level, raw text
+        self.root = _Container(None)
+        self.stack: list[_Container] = []
+        self.leaf: _Leaf | None = None
+        self.title: str | None = None
+        self.paragraphs: list[tuple[_List | None, str]] = []  # until the first that surely is one
+        self.settled = False
+        self.definitions: set[str] = set()
+        self.was_blank = False
+
+    # What is found
+
+    def _heading(self, first: int, last: int, level: int, raw: str, top: bool) -> None:
+        if level == 1 and self.title is None:
+            self.title = raw
+        if top:
+            self.top.append(["heading", first, last, level, raw])
+
+    def _finish(self) -> None:
+        """Close the open leaf."""
+        leaf, self.leaf = self.leaf, None
+        if leaf is None:
+            return
+        top = not self.stack
+        if leaf.kind != "paragraph":
+            if top:
+                self.top.append([leaf.kind, leaf.first, leaf.last, 0, ""])
+            return
+        lines, at = leaf.lines, 0
+        while at < len(lines) and (found := DEFINITION.match(lines[at])):
+            self.definitions.add(label_key(found[1]))
+            at += 1
+        if at == len(lines):
+            return
+        first, last = leaf.first + at, leaf.first + len(lines) - 1
+        table = next((k for k in range(at + 1, len(lines)) if DELIMITER.match(lines[k]) and _cells(lines[k]) == _cells(lines[k - 1])), 0)
+        if table:
+            lines, last = lines[: table - 1], leaf.first + table - 2
+        if first <= last:
+            if not self.settled:
+                home = self.stack[-1].list if self.stack else None
+                self.paragraphs.append((home, "\n".join(line.strip() for line in lines[at:])))
+                self.settled = home is None or home.loose
+            if top:
+                self.top.append(["paragraph", first, last, 0, ""])
+        if table and top:
+            self.top.append(["table", leaf.first + table - 1, leaf.first + len(leaf.lines) - 1, 0, ""])
+
+    def _child(self, depth: int) -> _Container:
+        """The container that gets a new block: everything deeper is closed. A second block after a blank line makes its list loose."""
+        self._finish()
+        del self.stack[depth:]
+        parent = self.stack[-1] if self.stack else self.root
+        if parent.list is not None:
+            if self.was_blank and parent.filled:
+                parent.list.loose = True
+            parent.filled = True
+        return parent
+
+    # One line
+
+    def line(self, number: int, text: str) -> None:
+        lead = LEAD.match(text).end()
+        if "\t" in text[:lead]:
+            text = text[:lead].expandtabs(4) + text[lead:]
+        at, size, depth = 0, len(text), 0
+
+        def indent() -> int:
+            i = at
+            while i < size and text[i] == " ":
+                i += 1
+            return i - at
+
+        blank = not text[at:].strip(" \t\r") if not self.stack else False
+        for container in self.stack:
+            spaces = indent()
+            if at + spaces >= size or text[at + spaces] in "\t\r" and not text[at:].strip(" \t\r"):
+                blank = True
+                if container.list is None or not container.filled:
+                    break
+                depth += 1
+                continue
+            if container.list is None:
+                if spaces > 3 or text[at + spaces] != ">":
+                    break
+                at += spaces + 1
+                at += text.startswith(" ", at)
+            elif spaces >= container.width:
+                at += container.width
+            else:
+                break
+            depth += 1
+        blank = blank or not text[at : at + 1] or (text[at] in " \t\r" and not text[at:].strip(" \t\r"))
+        whole = depth == len(self.stack)
+        if self.stack and depth and (not blank or self.stack[0].list is None):
+            self.stack[0].block[2] = number
+
+        leaf = self.leaf
+        if leaf is not None and leaf.kind != "paragraph" and whole:
+            if self._feed(leaf, number, text, at, blank, indent()):
+                self.was_blank = False
+                return
+        if blank:
+            if leaf is not None and (leaf.kind == "paragraph" or not whole):
+                self._finish()
+            # A quote ends with the first line that does not carry its mark; so does all inside it.
+            quote = next((k for k in range(depth, len(self.stack)) if self.stack[k].list is None or not self.stack[k].filled), len(self.stack))
+            if quote < len(self.stack):
+                self._finish()
+                del self.stack[quote:]
+            self.was_blank = True
+            return
+        self._open(number, text, at, depth, whole)
+        self.was_blank = False
+
+    def _feed(self, leaf: _Leaf, number: int, text: str, at: int, blank: bool, spaces: int) -> bool:
+        """Whether the line belongs to an open fence, HTML block or indented code."""
+        if leaf.kind == "fence":
+            leaf.last = number
+            if not blank and spaces < 4 and leaf.close.match(text, at + spaces):
+                self._finish()
+            return True
+        if leaf.kind == "html":
+            if leaf.close is None and blank:
+                self._finish()
+                return False
+            leaf.last = number
+            if leaf.close is not None and leaf.close.search(text, at):
+                self._finish()
+            return True
+        if not blank and spaces < 4:
+            self._finish()
+            return False
+        if not blank:
+            leaf.last = number
+        return True
 
-    text = CODE_SPAN.sub(protect, text)
-    while True:
-        plain = LINK.sub(r"\1", text)
-        if plain == text:
-            break
-        text = plain
-    text = DROPPED.sub("", text)
-    while True:
-        plain = EMPHASIS.sub(lambda m: m["a"] or m["b"] or m["c"], text)
-        if plain == text:
+    def _open(self, number: int, text: str, at: int, depth: int, whole: bool) -> None:
+        """Open the containers that begin on the line, and its leaf; or continue a paragraph."""
+        size, marks = len(text), -1  # where nothing but marks of a rule follow
+        while True:
+            start = at
+            while at < size and text[at] == " ":
+                at += 1
+            spaces, paragraph = at - start, self.leaf is not None and self.leaf.kind == "paragraph"
+            if at >= size:  # nothing follows a container's mark
+                if depth < len(self.stack):
+                    self._child(depth)
+                return
+            direct = paragraph and whole and depth == len(self.stack)  # the open paragraph would be its sibling
+            if spaces >= 4:
+                if paragraph:
+                    break
+                self._child(depth)
+                self.leaf = _Leaf("code", number)
+                return
+            char = text[at]
+            if char == ">":
+                parent = self._child(depth)
+                parent.last = None
+                block = self.stack[0].block if self.stack else ["quote", number, number, 0, ""]
+                if not self.stack:
+                    self.top.append(block)
+                self.stack.append(_Container(block))
+                at += 1
+                at += text.startswith(" ", at)
+                depth += 1
+                whole = True
+                continue
+            if direct and char in "=-" and (underline := SETEXT.match(text, at)) and not self._all_definitions():
+                lines, first = self.leaf.lines, self.leaf.first
+                self.leaf = None
+                self._heading(first, number, 1 if underline[1][0] == "=" else 2, "\n".join(x.strip() for x in lines), not self.stack)
+                return
+            if char in "*-_" and marks < 0:
+                marks = len(text.rstrip("*-_ \t\r"))
+            if char in "*-_" and at >= marks and RULE.match(text, at):
+                self._child(depth).last = None
+                if not self.stack:
+                    self.top.append(["rule", number, number, 0, ""])
+                return
+            if (char in "-+*" or char.isdigit()) and (item := ITEM.match(text, at)):
+                filled = FILLED.match(text, item.end())
+                if not (direct and (not filled or item["number"] not in (None, "1"))):
+                    at, depth, whole = self._item(number, text, spaces, item, filled, depth), depth + 1, True
+                    continue
+            if char in "`~" and (fence := FENCE.match(text, at)):
+                self._child(depth).last = None
+                mark = fence["mark"]
+                self.leaf = _Leaf("fence", number, re.compile(rf"{re.escape(mark)}{re.escape(mark[0])}*[ \t\r]*$"))
+                return
+            if char == "#" and (atx := ATX.match(text, at)):
+                self._child(depth).last = None
+                self._heading(number, number, len(atx["marks"]), (atx["text"] or "").strip(), not self.stack)
+                return
+            if char == "<" and ((end := _html(text[at:])) is not False or not paragraph and HTML_TAG_LINE.match(text, at)):
+                self._child(depth).last = None
+                self.leaf = _Leaf("html", number, end or None)
+                if end and end.search(text, at):
+                    self._finish()
+                return
             break
-        text = plain
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text).strip()
-
-
-def first_text(blocks: list[Block], wanted) -> str:
-    """Text of the first block, at any depth, that satisfies a test; it wins even when empty."""
-
-    def search(level: list[Block]):
-        for block in level:
-            if wanted(block):
-                return inline_text(block.text) if block.kind == "paragraph" else block.text
-            for content in block.inner:
-                nested = scan(list(content))
-                if block.kind == "list":  # a tight item holds bare text, not a paragraph
-                    nested = [b for b in nested if b.kind != "paragraph"]
-                found = search(nested)
-                if found is not None:
-                    return found
-        return None
-
-    return search(blocks) or ""
-
-
-def title_of(blocks: list[Block]) -> str:
-    return first_text(blocks, lambda b: b.kind == "heading" and b.level == 1)
-
-
-def summary_of(blocks: list[Block]) -> str:
-    return first_text(blocks, lambda b: b.kind == "paragraph")
+        if paragraph:  # its next line, perhaps a lazy one
+            self.leaf.lines.append(text[at:])
+            self.leaf.last = number
+            if self.stack:
+                self.stack[0].block[2] = number
+            return
+        self._child(depth).last = None
+        self.leaf = _Leaf("paragraph", number)
+        self.leaf.lines.append(text[at:])
+
+    def _all_definitions(self) -> bool:
+        return all(map(DEFINITION.match, self.leaf.lines))
+
+    def _item(self, number: int, text: str, spaces: int, item: re.Match, filled: re.Match | None, depth: int) -> int:
+        """Open a list item, in the list before it if that is of its kind. Returns where its content begins."""
+        self._finish()
+        del self.stack[depth:]
+        parent = self.stack[-1] if self.stack else self.root
+        kind = item["mark"][-1]
+        if parent.last is not None and parent.last.kind == kind:
+            parent.last.loose |= self.was_blank
+        else:
+            if parent.list is not None:
+                parent.list.loose |= self.was_blank and parent.filled
+            block = self.stack[0].block if self.stack else ["list", number, number, 0, ""]
+            if not self.stack:
+                self.top.append(block)
+            parent.last = _List(kind, block)
+        parent.filled = True
+        parent.last.block[2] = number
+        pad = filled.end() - item.end() if filled and filled.end() - item.end() <= 4 else 1
+        width = spaces + item.end() - item.start() + pad
+        self.stack.append(_Container(parent.last.block, parent.last, width))
+        self.was_blank = False
+        return min(item.end() + pad, len(text))
+
+
+def scan(lines: list[str]) -> Outline:
+    """Blocks, title and summary of a text."""
+    scanner = _Scanner()
+    for number, line in enumerate(lines):
+        scanner.line(number, line)
+    scanner._finish()
+    definitions = scanner.definitions
+    blocks = [Block(kind, first, last, level, inline_text(raw, definitions) if level else "") for kind, first, last, level, raw in scanner.top]
+    # Text of a tight item is not a paragraph.
+    summary = next((raw for home, raw in scanner.paragraphs if home is None or home.loose), "")
+    return Outline(blocks, inline_text(scanner.title or "", definitions), inline_text(summary, definitions))

@@ -66,8 +66,8 @@ def dictionary_of(postings: DataFrame, field: str = "field") -> DataFrame:
 
 
 def neighbours_of(dictionary: DataFrame) -> DataFrame:
-    """Term by the hashes of its one-character deletions, for distance-1 lookups by equality."""
-    return deletions(dictionary.select("term").distinct(), "term")
+    """Numbers of terms by the hashes of their one-character deletions, for distance-1 lookups by equality."""
+    return deletions(dictionary.select("term").distinct(), "term", "term_no")
 
 
 def field_number() -> Column:
@@ -237,7 +237,7 @@ def open_segment(spark: SparkSession, location: str, in_memory: bool = False) ->
     tables = {
         "chunks": spark.read.schema(CHUNK_TABLE).parquet(f"{location}/chunks"),
         "dictionary": spark.read.schema("field_no tinyint, term string, df long, part int").parquet(f"{location}/dictionary"),
-        "neighbours": spark.read.schema("term string, variant long, part int").parquet(f"{location}/neighbours"),
+        "neighbours": spark.read.schema("term_no long, variant long, part int").parquet(f"{location}/neighbours"),
         "postings": open_postings(spark, location, summary.buckets),
     }
     if in_memory:

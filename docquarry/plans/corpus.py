@@ -33,6 +33,22 @@ def as_markdown(text: Column) -> Column:
     return F.concat(F.array_join(F.flatten(pieces), "\n\n"), F.lit("\n"))
 
 
+def as_blocks(text: Column) -> Column:
+    """Each line as a Markdown block, of eight kinds in turn, made of its first words."""
+
+    def block(line: Column, i: Column) -> Column:
+        found = F.regexp_extract(line, HEADING_WORDS, 0)
+        w = F.when(found == "", "Part").otherwise(found)
+        kinds = (
+            ("```\n", "\n\n", "\n```"), ("- ", "\n- ", "\n\n  end"), ("|a|b|\n|-|-|\n|", "|", "|"), ("<div>\n", " ", "\n</div>"),
+            ("", "", "\n---"), ("> ", "\n", ""), ("    ", " ", ""), ("", " ", ""),
+        )
+        made = [F.concat(F.lit(a), w, F.lit(b), F.when(F.lit(b != ""), w).otherwise(F.lit("")), F.lit(c)) for a, b, c in kinds]
+        return F.get(F.array(*made), (i % len(kinds)).cast("int"))
+
+    return F.concat(F.array_join(F.transform(F.split(text, "\n"), block), "\n\n"), F.lit("\n"))
+
+
 def relative_path() -> Column:
     return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
 

@@ -222,6 +222,13 @@ ORACLE: dict[str, str] = {
     "heading_path": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, array_to_string(path, ' > ') AS heading_path FROM chunks",
     "slug_fragments": f"WITH RECURSIVE {CHUNKS} SELECT DISTINCT source_uri, section_fragment FROM chunks",
     "greedy_split": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, part, part_count, CAST(length(content) AS INT) AS length FROM chunks",
+    "block_ranges": r"""WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+        sized AS (SELECT *, [5, 4, 3, 3, 2, 2, 1, 1][n % 8 + 1] AS size, regexp_extract(line, '[\p{L}\p{N}]+(?: [\p{L}\p{N}]+){0,2}') AS w FROM lines),
+        placed AS (SELECT *, sum(size + 1) OVER (PARTITION BY doc_id ORDER BY n) - size AS start_line FROM sized)
+        SELECT doc_id, CAST(n AS INT) AS n, ['fence', 'list', 'table', 'html', 'heading', 'quote', 'code', 'paragraph'][n % 8 + 1] AS kind,
+               CAST(start_line AS INT) AS start_line, CAST(start_line + size - 1 AS INT) AS end_line, CASE WHEN n % 8 = 4 THEN 2 ELSE 0 END AS level,
+               CASE WHEN n % 8 <> 4 THEN '' WHEN w = '' THEN 'Part' ELSE w END AS text FROM placed""",
+    "chunk_stream": f"""WITH RECURSIVE {CHUNKS} SELECT chunk_id AS chunk_uri, CAST(length(content) AS INT) AS content_length, CAST(start_line AS INT) AS start_line FROM chunks""",
     "duplicate_identity": "SELECT 'doc://' || sha256(text) AS uri FROM documents GROUP BY text HAVING count(*) > 1",
     "chunk_home": f"""WITH RECURSIVE {CHUNKS} SELECT chunk_id, source_uri AS home_uri,
         CASE WHEN source_uri LIKE '%7' THEN '' ELSE source_title END AS home_name,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import globs, paths, templates
+from docquarry.functions.outline import blocks_of
 from docquarry.operators import catalog as cat
 from docquarry.operators import index as idx
 from docquarry.operators import search as srch
@@ -17,7 +18,7 @@ from docquarry.operators.digests import content_digest, listing_digest
 from docquarry.operators.index import dictionary_of, postings_of
 from docquarry.operators.links import extract_links, resolve_links, rewrite_links
 from docquarry.operators.page import page_text, source_cap
-from docquarry.operators.sizing import hold_table, settled
+from docquarry.operators.sizing import hold_table, settled, spread
 from docquarry.plans import corpus
 from docquarry.session import new_location
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
@@ -159,6 +160,18 @@ def greedy_split(spark, sf):
     return corpus.catalog(spark, sf).chunks.select("chunk_id", "part", "part_count", F.length("content").alias("length"))
 
 
+@query
+def block_ranges(spark, sf):
+    """Line ranges of fences, lists, tables, HTML, underlined headings, quotes, code and paragraphs."""
+    docs = spread(corpus.table(spark, sf, "documents")).select("doc_id", blocks_of(corpus.as_blocks(F.col("text"))).alias("blocks"))
+    return docs.select("doc_id", F.posexplode("blocks").alias("n", "b")).select("doc_id", "n", "b.*")
+
+
+@query
+def chunk_stream(spark, sf):
+    return corpus.catalog(spark, sf).indexed_chunks().select("chunk_uri", F.length("content").alias("content_length"), "start_line")
+
+
 @query
 def duplicate_identity(spark, sf):
     docs = corpus.table(spark, sf, "documents").select(F.concat(F.lit("doc://"), F.sha2(F.col("text").cast("binary"), 256)).alias("uri"))
