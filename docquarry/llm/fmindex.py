@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm import anchors
+from docquarry.llm import anchors, identity
 from docquarry.llm.common import ragged, whole_text
 
 #: Words of a repeated window and of an anchor; words that the interval table covers (a power of two).
 LENGTH, GRAM, SEED = 35, 8, 16
+#: The column of a document's own number, where keys do not tell documents apart.
+OWN = "_document_number"
 #: Bytes of segments (eight a word) that one index holds.
 SHARD_BYTES = 8_000_000
 
@@ -113,9 +115,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """key, text (binary, the words left, joined by one space), n_words and n_removed of every row.
 
     Removed is each word covered by ``length`` words whose sequence also starts anywhere else, in the same document too. Null texts
-    count as empty. Rows that repeat a document (key and text) count as one document and all get its result; rows without a key take no
-    part and keep their words. Shorter texts, and empty tables, lose nothing. Other columns are not carried along.
+    count as empty. Rows that repeat a document (key and text) count as one document and all get its result; different texts of one key are
+    different documents. Rows without a key take no part and keep their words. Shorter texts, and empty tables, lose nothing. Other columns are not carried along.
     """
+    shared = None if key == OWN else identity.numbers(docs, key, text)
+    if shared is not None:  # documents of one key are kept apart
+        left = deduplicated(identity.with_number(docs.select(key, text), shared, key, text, OWN), OWN, text, length)
+        named = left.join(shared.select(F.col("number").alias(OWN), F.col("doc").cast(docs.schema[key].dataType).alias(key)), OWN, "left")
+        return named.select(key, "text", "n_words", "n_removed")
     cut = anchors.Cut("words", length, GRAM)
     held = docs.select(F.col(key).cast("long").alias("doc"), whole_text(text).cast("binary").alias("text"))
     taking = held.where(F.col("doc").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from docquarry.llm.common import slices, whole_text
 from docquarry.llm.tokens import shared_pieces
+from docquarry.operators.sizing import settled
 
 #: Lengths summed together before running totals are taken, so that the only global window has one row per so many lengths.
 BUCKET = 1024
@@ -41,6 +42,7 @@ def length_histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
     Null lengths count as 0. No rows: no lengths.
     """
     counts = lengths.groupBy(F.coalesce(F.col(name), F.lit(0)).alias("length")).agg(F.count(F.lit(1)).alias("docs"))
+    counts = settled(counts, "lengths")  # a row per length; texts are encoded once for both uses
     counts = counts.withColumn("tokens", F.col("length") * F.col("docs")).withColumn("bucket", F.floor(F.col("length") / BUCKET))
     sums = counts.groupBy("bucket").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     ahead, whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()

@@ -335,10 +335,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
         common = F.size(F.array_intersect("a", "b"))
         return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
 
-    first = components(forest(same(seeds), seeds.count()), "similar-stars")
+    first = components(forest(same(seeds)), "similar-stars")
     rooted = members.join(sets.select("id"), "id", "left_semi").join(first, F.col("id") == F.col("u"), "left").withColumn("root", F.coalesce("root", "id")).drop("u")
     others = settled(links(rooted, radius, "across").distinct(), "similar-across")
-    edges = first.select("u", F.col("root").alias("v")).union(forest(same(others), others.count()))
+    edges = first.select("u", F.col("root").alias("v")).union(forest(same(others)))
     return _named(held, prints, components(edges, "similar-stars"), "id").select(key, "component_id")
 
 
@@ -346,8 +346,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 FOREST = 2_000_000
 
 
-def forest(edges: DataFrame, count: int) -> DataFrame:
-    """Edges (u, v) that connect what the given ones connect, fewer where they are dense: each task keeps a star per component it sees."""
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect what the given ones connect, fewer where they are dense: each task that compares keeps a star per component it sees."""
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -366,4 +366,4 @@ def forest(edges: DataFrame, count: int) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(names)))
         return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], names=["u", "v"])
 
-    return edges.coalesce(1 + count // FOREST).mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(run, "u long, v long")

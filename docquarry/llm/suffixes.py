@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm import anchors
+from docquarry.llm import anchors, identity
 from docquarry.llm.common import ragged, whole_text
 
 #: Bytes of a removed string and of an anchor.
 LENGTH, GRAM = 100, 24
+#: The column of a document's own number, where keys do not tell documents apart.
+OWN = "_document_number"
 #: Bytes of segments sorted together.
 SHARD_BYTES = 3_000_000
 
@@ -150,10 +152,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """key, text (binary, what is left), n_bytes, n_removed, n_spans and the columns named in ``carry`` of every row.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier: in a document of a smaller key, or in the
-    same one before. Null texts count as empty. Rows that repeat a document (key and text) count as one document and all get its result; rows
+    same one before. Null texts count as empty. Rows that repeat a document (key and text) count as one document and all get its result; different
+    texts of one key are different documents, in the order of a hash. Rows
     without a key take no part and stay whole. Texts shorter than ``length``, and empty tables, lose nothing. Columns
     that ``carry`` does not name are left behind; those it names travel with the text, so that no second join has to move it.
     """
+    shared = None if key == OWN else identity.numbers(docs, key, text)
+    if shared is not None:  # documents of one key are kept apart
+        marked = identity.with_number(docs.select(*dict.fromkeys((key, text, *carry))), shared, key, text, OWN)
+        return deduplicated(marked, OWN, text, length, (key, *(c for c in carry if c != key))).select(key, "text", "n_bytes", "n_removed", "n_spans", *carry)
     cut = anchors.Cut("bytes", length, GRAM)
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(True)
     held = docs.select(F.col(key).cast("long").alias("doc"), whole_text(text).cast("binary").alias("text"), rest.alias("rest"))
