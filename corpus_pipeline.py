@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import packing, rules, simhash, suffixes, weak
+from docquarry.llm import identity, packing, rules, simhash, suffixes, weak
 from docquarry.llm.common import table
 from docquarry.llm.queries import packed_digest, vocabulary
 from docquarry.operators.sizing import settled
@@ -42,13 +42,17 @@ def obey_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): the one of least doc_id. Rows without doc_id stay.
 
-    Of rows that repeat a doc_id one stays.
+    Of rows that repeat a doc_id and a text one stays; different texts of one doc_id are different documents.
     """
     ship_package(spark.sparkContext)
     docs = _documents(docs)
-    groups = simhash.similar_groups(docs.where(F.col("doc_id").isNotNull()))
-    kept = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    keyed = docs.where(F.col("doc_id").isNotNull())
+    shared = identity.numbers(keyed, "doc_id", "text")
+    keyed = keyed.withColumn("number", F.col("doc_id")) if shared is None else identity.with_number(keyed, shared, "doc_id", "text", "number")
+    groups = simhash.similar_groups(keyed, "number")
+    kept = groups.where("component_id = number").select("number").distinct()
+    left = keyed.join(kept, "number", "left_semi").dropDuplicates(["number"])
+    return left.select(*COLUMNS).union(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
