@@ -155,9 +155,9 @@ class Repeated:
 
 
 def repeated(docs: DataFrame, cut: Cut, label: str) -> Repeated:
-    # Counting sums up before it shuffles, and adaptive execution splits the segments of a frequent anchor in the join.
+    # Counting sums up before it shuffles. As a table of its own it leaves a plain join, in which adaptive execution splits a frequent anchor.
     rows = segments(docs, cut)
-    several = rows.select("g").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    several = settled(rows.select("g").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), f"{label}-several")
     rows = settled(rows.join(several, "g", "left_semi"), f"{label}-repeated")
     place = F.struct("doc", "a")  # the same in all rows that repeat a document, which so count once
     firsts = rows.groupBy("g", "s").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.first("n").alias("n"))
@@ -293,8 +293,12 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[heads, 0], reach[np.append(heads[1:], len(spans)) - 1]), axis=1)
 
 
-def with_spans(dealt: DataFrame, found: DataFrame, others: DataFrame, cut: Cut) -> DataFrame:
-    """The dealt rows and ``spans``, the array of (a, e) to remove there; null where there is none."""
+def with_spans(dealt: DataFrame, found: DataFrame, others: DataFrame, cut: Cut, idle: DataFrame) -> DataFrame:
+    """The dealt rows and ``spans``, the array of (a, e) to remove there; null where there is none.
+
+    ``idle`` rows take no part and have none. They are not dealt out: without a key they would all meet in one task.
+    """
     whole = others.select("doc", "a", (F.col("a") + F.col("n") + (cut.window - 1)).alias("e"))
     spans = found.union(whole).groupBy("doc").agg(F.collect_list(F.struct("a", "e")).alias("spans"))  # bounded by a document's length
-    return dealt.join(spans, "doc", "left")
+    marked = dealt.join(spans, "doc", "left")
+    return marked.unionByName(idle.withColumn("spans", F.lit(None).cast(marked.schema["spans"].dataType)))

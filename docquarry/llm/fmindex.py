@@ -127,9 +127,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     held = docs.select(F.col(key).cast("long").alias("doc"), whole_text(text).cast("binary").alias("text"))
     taking = held.where(F.col("doc").isNotNull())
     found = anchors.repeated(taking, cut, "fmindex")
-    dealt = anchors.spread(held)
+    dealt = anchors.spread(taking)
     spans = anchors.by_shard(anchors.fetched(dealt, found.firsts, cut), lambda part: repeated_windows(part, length), SHARD_BYTES)
-    marked = anchors.with_spans(dealt, spans, found.others, cut)
+    marked = anchors.with_spans(dealt, spans, found.others, cut, held.where(F.col("doc").isNull()))
 
     def run(batches):
         for batch in batches:
