@@ -19,18 +19,19 @@ def names(listing):
 
 
 TREE = {
-    "README.md": "# R\n", "docs/guide.md": "# G\nx\n", "docs/api/auth.md": "# A\nx\n", "docs/generated/skip.md": "s\n",
-    "adr/0001-record.md": "r\n", "src/internal/notes.md": "n\n", "node_modules/pkg/readme.md": "m\n", ".git/x.md": "g\n",
+    "about.md": "# Seed library\n", "beds/north/peas.md": "# Peas\nx\n", "beds/south.MD": "# South\nx\n", "beds/old/1999.md": "o\n", "loans/open[1].md": "l\n",
+    "loans/open1.md": "l\n", "vendor/soil.md": "v\n", "beds/vendor/tools.md": "t\n", ".git/packed.md": "g\n",
 }
 
 
 @pytest.mark.parametrize(
     ("include", "exclude", "lenient", "expected"),
     [
-        (("docs/**/*.md",), ("docs/generated/**",), False, ["docs/api/auth.md", "docs/guide.md"]),
-        (("README.md", "docs/**/*.md"), (), True, ["README.md", "docs/api/auth.md", "docs/generated/skip.md", "docs/guide.md"]),
-        (("**/*.md",), (), True, [n for n in sorted(TREE) if not n.startswith((".git", "node_modules"))]),
-        (("**/*.md",), (), False, [n for n in sorted(TREE) if not n.startswith(".git")]),
+        (("beds/*/*.md",), ("beds/{old,vendor}/*",), False, ["beds/north/peas.md"]),
+        (("beds/**", "ab?ut.md"), ("**/[0-9]*.md",), True, ["about.md", "beds/north/peas.md", "beds/south.MD"]),
+        (("loans/open?1?.md", "vendor/*.md"), (), False, ["loans/open[1].md", "vendor/soil.md"]),
+        (("**/*.[mM][dD]",), ("loans/**",), True, ["about.md", "beds/north/peas.md", "beds/old/1999.md", "beds/south.MD"]),
+        (("**",), ("beds/**", "loans/**"), False, ["about.md", "vendor/soil.md"]),
     ],
 )
 def test_selection(spark, tree, include, exclude, lenient, expected):
