@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
@@ -35,9 +37,35 @@ def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
     return sums[0] / float(1 << 20) + sums[1] / _UNIT
 
 
+_leased: ContextVar[list[str] | None] = ContextVar("leased", default=None)
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """Deletes, on leaving, the intermediate tables that were settled inside. Frames made of them must have been consumed by then."""
+    mine: list[str] = []
+    token = _leased.set(mine)
+    try:
+        yield
+    finally:
+        _leased.reset(token)
+        for location in mine:
+            delete(spark, location)
+
+
+def delete(spark: SparkSession, location: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, and safe against lost executors."""
+    """The frame as a table in the shared folder: computed once, and safe against lost executors.
+
+    Inside ``released`` the table lasts until its end, else until the owner of the folder clears it.
+    """
     location = new_location(df.sparkSession, label)
+    if (mine := _leased.get()) is not None:
+        mine.append(location)
     df.write.parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)
 

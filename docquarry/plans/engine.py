@@ -15,7 +15,7 @@ from docquarry.operators.digests import content_digest, listing_digest, value
 from docquarry.operators.index import MOST_CHANGED, MOST_SEGMENTS, SearchIndex, build_index, merged, refresh_index
 from docquarry.operators.links import link_transformer
 from docquarry.operators.page import nothing_found, page_text, search_pages
-from docquarry.operators.sizing import hold_local, hold_table, settled
+from docquarry.operators.sizing import hold_local, hold_table, released, settled
 from docquarry.session import new_location, ship_package
 from docquarry.settings import Settings
 from docquarry.sources import manifest as man
@@ -166,15 +166,21 @@ class Engine:
         return ranked_search.search(self._index(), query, self.settings.search, limit)
 
     def search_page(self, query: str) -> str:
+        """One page of results. What the search writes on its way is deleted again."""
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        return self._pages(asked, hold_local).first().page
+        index = self._index()
+        with released(self.spark):
+            return self._pages(index, asked, hold_local).first().page
 
     def search_page_many(self, queries: DataFrame) -> DataFrame:
-        """(query_id, page) for a table of (query_id, query), all from one generation."""
-        return self._pages(queries, hold_table)
+        """(query_id, page) for a table of (query_id, query), all from one generation.
 
-    def _pages(self, queries: DataFrame, hold) -> DataFrame:
-        index, search = self._index(), self.settings.search
+        Consumed inside ``sizing.released``, it leaves no intermediate tables.
+        """
+        return self._pages(self._index(), queries, hold_table)
+
+    def _pages(self, index: SearchIndex | None, queries: DataFrame, hold) -> DataFrame:
+        search = self.settings.search
         if index is None:
             return queries.select("query_id", nothing_found().alias("page"))
         return page_text(queries, search_pages(index, queries, search, hold=hold), search.result_mode)

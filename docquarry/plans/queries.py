@@ -22,6 +22,7 @@ from docquarry.operators.sizing import hold_table, settled, spread
 from docquarry.plans import corpus
 from docquarry.session import new_location
 from docquarry.settings import CONTENT, REFERENCES, SearchSettings
+from docquarry.sources.discovery import described
 from docquarry.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,9 +129,7 @@ def legacy_selection(spark, sf):
         .otherwise("")
     )
     raw = docs.select(corpus.relative_path().alias("file_path"), corpus.relative_path().alias("relative_path"), F.concat(header, "text").alias("raw"))
-    parsed = cat.parse(raw, corpus.SCHEME, required_header=True)
-    kept = parsed.filter("error is null and declared_name != '' and declared_description != ''")
-    return kept.select("uri", "name", "description")
+    return described(raw, corpus.SCHEME).filter("error is null").select("uri", "name", "description")
 
 
 # Chunks

@@ -36,6 +36,11 @@ def discover(spark: SparkSession, root: str, selection: Selection, scheme: str,
 
 
 def _legacy(listing: DataFrame, scheme: str) -> DataFrame:
-    documents = parse(read_files(listing), scheme, required_header=True)
+    return described(read_files(listing), scheme)
+
+
+def described(texts: DataFrame, scheme: str) -> DataFrame:
+    """Documents that must have a header with a name and a description; the others carry an error."""
+    documents = parse(texts, scheme, required_header=True)
     nameless = (F.coalesce("declared_name", F.lit("")) == "") | (F.coalesce("declared_description", F.lit("")) == "")
     return documents.withColumn("error", F.when(nameless & F.col("error").isNull(), "missing metadata").otherwise(F.col("error")))

@@ -57,21 +57,38 @@ def canonical(path: str) -> str:
     return os.path.realpath(os.path.abspath(path), strict=True)
 
 
+# A name may hold bytes that are no text. Each of them stands as one character of this (private) range, and so do the bytes of
+# characters that are of the range themselves, so every name has one text and every text one name.
+_BYTE = 0x10FF00
+_NO_TEXT, _STAND_INS = re.compile("[\udc80-\udcff\U0010ff80-\U0010ffff]"), re.compile("[\U0010ff80-\U0010ffff]+")
+
+
+def as_text(path: str) -> str:
+    """A path of the file system as valid text."""
+    return _NO_TEXT.sub(lambda m: "".join(chr(_BYTE + b) for b in os.fsencode(m[0])), path)
+
+
+def as_path(text: str) -> str:
+    """The path that ``as_text`` made into text."""
+    return _STAND_INS.sub(lambda m: os.fsdecode(bytes(ord(c) - _BYTE for c in m[0])), text)
+
+
 def list_directory(path: str, relative: str, selection: Selection, keep, drop, reach: Reach):
     """Rows for one directory: files that are selected and subdirectories still to walk."""
-    with os.scandir(path) as entries:
+    with os.scandir(as_path(path)) as entries:
         for entry in entries:
-            name = f"{relative}/{entry.name}" if relative else entry.name
+            own = as_text(entry.name)
+            name, place = f"{relative}/{own}" if relative else own, f"{path.rstrip('/')}/{own}"
             if entry.is_dir(follow_symlinks=False):
                 pruned = entry.name in ALWAYS_PRUNED or (selection.lenient and entry.name in LENIENT_PRUNED)
                 if selection.legacy or (not pruned and reach.allows(name)):
-                    yield ("dir", entry.path, name, 0, 0, None)
+                    yield ("dir", place, name, 0, 0, None)
                 continue
             wanted = name.lower().endswith((".md", ".markdown")) if selection.legacy else keep(name) and not drop(name)
             if wanted and not entry.is_symlink():
                 info = entry.stat(follow_symlinks=False)
                 if stat.S_ISREG(info.st_mode):
-                    yield ("file", entry.path, name, info.st_size, info.st_mtime_ns, None)
+                    yield ("file", place, name, info.st_size, info.st_mtime_ns, None)
 
 
 def _walker(selection: Selection, budget: int):
@@ -128,7 +145,7 @@ def list_files(spark: SparkSession, root: str, selection: Selection, budget: int
             return spark.createDataFrame([], LISTING)
         raise ListingError(f"resolve content root: {root} does not exist") from None
     location = new_location(spark, "listing")
-    frontier = spark.createDataFrame([(root, "")], "path string, relative_path string").coalesce(1)
+    frontier = spark.createDataFrame([(as_text(root), "")], "path string, relative_path string").coalesce(1)
     number = 0
     while True:
         folder = f"{location}/round={number}"

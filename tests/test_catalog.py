@@ -9,7 +9,8 @@ from docquarry.operators.diff import listing_diff
 from docquarry.operators.digests import content_digest, listing_digest, value
 from docquarry.operators.links import link_transformer, rewrite_links
 from docquarry.sources.discovery import discover
-from docquarry.sources.listing import ListingError, Selection, list_files
+from docquarry.sources.files import dealt
+from docquarry.sources.listing import ListingError, Selection, as_path, as_text, list_files
 
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -178,3 +179,27 @@ def test_listing_diff(spark):
     new = spark.createDataFrame([("doc://k", "k", "d", "m"), ("doc://c", "c", "e", "m"), ("doc://a", "a", "d", "m"), ("doc://b\n", "b", "d", "m")], schema)
     assert {(r.uri, r.change) for r in listing_diff(old, new).collect()} == {("doc://r", "removed"), ("doc://c", "changed"), ("doc://a", "added")}
     assert listing_diff(old, old).isEmpty()
+
+
+def test_names_that_are_no_text(spark, tree):
+    root = tree(**{"plain.md": "# P\nx\n", "private\U0010ff90.md": "# Q\nx\n"})
+    with open(os.fsencode(root) + b"/caf\xe9.md", "wb") as file:
+        file.write(b"# Coffee\nx\n")
+    os.mkdir(os.fsencode(root) + b"/d\xff")
+    with open(os.fsencode(root) + b"/d\xff/in.md", "wb") as file:
+        file.write(b"# Inside\nx\n")
+    listing = list_files(spark, root, Selection(("**/*.md",)))
+    assert all(as_text(as_path(n)) == n for n in names(listing)) and len(names(listing)) == 4
+    documents = reject_or_skip(discover(spark, root, Selection(("**/*.md",)), "doc"), False)
+    assert sorted(r.name for r in documents.collect()) == ["Coffee", "Inside", "P", "Q"]
+
+
+def test_reading_is_dealt_by_bytes(spark):
+    rows = [(f"/r/{i:05}", f"{i:05}", 1 << 30 if i == 137 else 40_000) for i in range(10_000)]
+    listing = spark.createDataFrame(rows, "path string, relative_path string, size long").repartition(5)
+    placed, tasks = dealt(listing, 8)
+    held = {r.task: (r.n, r.b) for r in placed.groupBy("task").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
+    assert sum(n for n, _ in held.values()) == 10_000 and max(held) < tasks
+    small = [b for n, b in held.values() if n > 140]
+    assert max(small) <= 2 * sorted(small)[len(small) // 2] and max(n for n, b in held.values() if b >= 1 << 30) < 4_000
+    assert dealt(listing.limit(0), 8)[0].count() == 0

@@ -1,3 +1,4 @@
+import os
 import threading
 
 import pytest
@@ -5,7 +6,8 @@ import pytest
 
 from docquarry import settings as st
 from docquarry.operators.catalog import UnknownResource
-from docquarry.plans.engine import Engine
+from docquarry.plans.engine import Engine, EngineClosed
+from docquarry.session import shared_folder
 from docquarry.sources import manifest as man
 from docquarry.sources.prompts import PromptError, discover_prompts, get_prompt, list_prompts, render_prompts
 from docquarry.streaming.refresh import Revalidator
@@ -84,6 +86,8 @@ def test_engine_end_to_end(spark, tree):
     asked = spark.createDataFrame([(5, "walnut")], "query_id long, query string")
     assert "walnut" in engine.search_page_many(asked).first().page  # a batch brings the index up to date as well
     assert "walnut" in engine.search_page("walnut")
+    folders = len(os.listdir(shared_folder(spark).removeprefix("file:")))
+    assert "Fresh" in engine.search_page("*") and len(os.listdir(shared_folder(spark).removeprefix("file:"))) == folders
     changes = {r.uri: r.change for r in engine.changes.collect()}
     assert changes == {"doc://README": "removed", "doc://docs/new": "added", "doc://docs/bad": "added"}
     with pytest.raises(UnknownResource):
@@ -93,6 +97,8 @@ def test_engine_end_to_end(spark, tree):
     engine.close()
     assert engine.search("walnut") is None and engine.search_page("walnut") == "No results found for 'walnut'"
     assert engine.document_count() == 0
+    with pytest.raises(EngineClosed):
+        engine.read("doc://docs/guide")
 
 
 PROMPT = "---\nname: {name}\ndescription: d\narguments:\n  - name: topic\n    description: what\n  - name: tone\n    required: false\n  - description: nameless\n---\n{body}"
