@@ -154,6 +154,35 @@ page AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank)
          QUALIFY position <= {limit})"""
 
 
+def extracts(hits: str) -> str:
+    """(query_id, chunk_id, snippet) of the rows of ``hits`` (query_id, chunk_id): the window of 200 characters with most distinct terms, marked."""
+    return rf"""x_asked AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS terms FROM benchmark),
+x_tokens AS (
+    SELECT query_id, chunk_id, size, generate_subscripts(t, 1) AS i, unnest(t) AS w
+    FROM (SELECT query_id, chunk_id, length(content) AS size, regexp_extract_all(content, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS t FROM {hits} JOIN chunks USING (chunk_id))),
+x_placed AS (
+    SELECT x_tokens.*, sum(length(w)) OVER (PARTITION BY query_id, chunk_id ORDER BY i) - length(w) AS a, list_contains(terms, lower(w)) AS hit
+    FROM x_tokens JOIN x_asked USING (query_id)),
+x_spans AS (SELECT query_id, chunk_id, size, a, a + length(w) AS b, lower(w) AS term FROM x_placed WHERE hit),
+x_windows AS (
+    SELECT x.query_id, x.chunk_id, x.size, x.a AS s, max(y.b) - x.a AS shown, count(DISTINCT y.term) AS d
+    FROM x_spans x JOIN x_spans y ON x.query_id = y.query_id AND x.chunk_id = y.chunk_id AND y.a >= x.a AND (y.b <= x.a + 200 OR y.a = x.a)
+    GROUP BY x.query_id, x.chunk_id, x.size, x.a QUALIFY row_number() OVER (PARTITION BY x.query_id, x.chunk_id ORDER BY count(DISTINCT y.term) DESC, x.a) = 1),
+x_cuts AS (
+    SELECT query_id, chunk_id, size, greatest(0, least(s - (greatest(200, shown) - shown) // 2, size - greatest(200, shown))) AS begins, greatest(200, shown) AS wide
+    FROM x_windows),
+x_shown AS (
+    SELECT p.query_id, p.chunk_id, p.i, c.begins, c.size, least(c.size, c.begins + c.wide) AS ends,
+           substr(w, CAST(greatest(begins - a, 0) + 1 AS BIGINT), CAST(least(a + length(w), least(c.size, c.begins + c.wide)) - greatest(a, begins) AS BIGINT)) AS part,
+           hit AND a >= begins AND a + length(w) <= least(c.size, c.begins + c.wide) AS marked
+    FROM x_placed p JOIN x_cuts c ON p.query_id = c.query_id AND p.chunk_id = c.chunk_id
+    WHERE a < least(c.size, c.begins + c.wide) AND a + length(w) > begins),
+snippets AS (
+    SELECT query_id, chunk_id, CASE WHEN begins > 0 THEN '…' ELSE '' END
+           || string_agg(CASE WHEN marked THEN '<mark>' || part || '</mark>' ELSE part END, '' ORDER BY i) || CASE WHEN ends < size THEN '…' ELSE '' END AS snippet
+    FROM x_shown GROUP BY query_id, chunk_id, begins, ends, size)"""
+
+
 BOOSTS = SearchSettings().boosts()
 EXACT = scored(BOOSTS, False)
 SUMMARY = f"""{PIECES},
@@ -229,6 +258,7 @@ ORACLE: dict[str, str] = {
                CAST(start_line AS INT) AS start_line, CAST(start_line + size - 1 AS INT) AS end_line, CASE WHEN n % 8 = 4 THEN 2 ELSE 0 END AS level,
                CASE WHEN n % 8 <> 4 THEN '' WHEN w = '' THEN 'Part' ELSE w END AS text FROM placed""",
     "chunk_stream": f"""WITH RECURSIVE {CHUNKS} SELECT chunk_id AS chunk_uri, CAST(length(content) AS INT) AS content_length, CAST(start_line AS INT) AS start_line FROM chunks""",
+    "crlf_chunks": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, start_line, end_line, md5(content) AS content_md5 FROM chunks",
     "duplicate_identity": "SELECT 'doc://' || sha256(text) AS uri FROM documents GROUP BY text HAVING count(*) > 1",
     "chunk_home": f"""WITH RECURSIVE {CHUNKS} SELECT chunk_id, source_uri AS home_uri,
         CASE WHEN source_uri LIKE '%7' THEN '' ELSE source_title END AS home_name,
@@ -272,6 +302,10 @@ ORACLE: dict[str, str] = {
     "tfidf_search": top({"content": 1.0}, False),
     "multi_field_search": top(BOOSTS, False),
     "fuzzy_search": top(BOOSTS, True),
+    "search_hits": f"""WITH RECURSIVE {EXACT}, hits AS (SELECT query_id, rank, chunk_id, score FROM ranked WHERE rank <= 10), {extracts("hits")}
+        SELECT h.query_id, rank, chunk_id, source_uri AS source_id, source_uri, chunk_id AS chunk_uri, source_title, source_path,
+               array_to_string(path, ' > ') AS heading_path, start_line, end_line, round(score, 6) AS score, coalesce(snippet, content) AS snippet, content
+        FROM hits h JOIN chunks USING (chunk_id) LEFT JOIN snippets n USING (query_id, chunk_id)""",
     "delta_search": top(BOOSTS, False),
     "streamed_search": top(BOOSTS, True),
     "match_all": f"""WITH RECURSIVE {CHUNKS}, ordered AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY source_uri, chunk_id) AS INT) AS rank FROM chunks)
@@ -281,13 +315,13 @@ ORACLE: dict[str, str] = {
     "diversity_cap_2": f"WITH RECURSIVE {EXACT}, {capped('source_uri', 2, 10)} SELECT query_id, position, chunk_id FROM page",
     "flooded_page": f"""WITH RECURSIVE {EXACT}, {capped("CASE WHEN NOT regexp_matches(source_uri, '[05]$') THEN 'doc://flood' ELSE source_uri END", 1, 2)}
         SELECT query_id, position, chunk_id FROM page""",
-    "page_texts": f"""WITH RECURSIVE {EXACT}, {capped('source_uri', 1, 10)},
+    "page_texts": f"""WITH RECURSIVE {EXACT}, {capped('source_uri', 1, 10)}, {extracts("page")},
         texts AS (
             SELECT query_id, string_agg('- **' || source_title || '** · [' || chunk_id || '](' || chunk_id || ')' || chr(10)
                 || '  - ' || source_path || ' > ' || array_to_string(path, ' > ') || ' · lines ' || start_line || '-' || end_line
-                || ' · score ' || printf('%.2f', score) || chr(10) || '  - ' || source_title || chr(10)
+                || ' · score ' || printf('%.2f', score) || chr(10) || '  - ' || coalesce(snippet, content) || chr(10)
                 || chr(10) || content || chr(10) || chr(10), '' ORDER BY position) AS body
-            FROM page JOIN chunks USING (chunk_id) GROUP BY query_id)
+            FROM page JOIN chunks USING (chunk_id) LEFT JOIN snippets USING (query_id, chunk_id) GROUP BY query_id)
         SELECT item_id AS query_id, CASE WHEN body IS NULL THEN 'No results found for ''' || text || ''''
             ELSE 'Search results for ''' || text || ''':' || chr(10) || chr(10) || body END AS page
         FROM benchmark LEFT JOIN texts ON query_id = item_id""",

@@ -17,7 +17,7 @@ from docquarry.operators.diff import listing_diff
 from docquarry.operators.digests import content_digest, listing_digest
 from docquarry.operators.index import dictionary_of, postings_of
 from docquarry.operators.links import extract_links, resolve_links, rewrite_links
-from docquarry.operators.page import page_text, source_cap
+from docquarry.operators.page import page_text, search_pages, source_cap
 from docquarry.operators.sizing import hold_table, settled, spread
 from docquarry.plans import corpus
 from docquarry.session import new_location
@@ -328,6 +328,21 @@ def fuzzy_search(spark, sf):
     return _shown(_ranked(spark, sf, srch.field_fuzziness))
 
 
+@query
+def search_hits(spark, sf):
+    """Whole hits: all stored columns and the marked extract."""
+    found = srch.search_many(corpus.index(spark, sf), corpus.queries_of(spark, sf), SearchSettings(), 10, _exact)
+    return found.withColumn("heading_path", _text("heading_path")).withColumn("score", F.round("score", 6))
+
+
+@query
+def crlf_chunks(spark, sf):
+    """Chunks of the corpus with the line ends of another system: line numbers and text are those of the plain one."""
+    texts = corpus.texts(spark, sf).withColumn("raw", F.replace("raw", F.lit("\n"), F.lit("\r\n")))
+    chunks = cat.chunks_of(cat.parse(texts, corpus.SCHEME).filter("error is null"))
+    return chunks.select("chunk_id", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query
 def delta_search(spark, sf):
     """The corpus, reached by three generations: a first one with outdated and superfluous texts, then two refreshes."""
@@ -407,10 +422,9 @@ def flooded_page(spark, sf):
 
 @query
 def page_texts(spark, sf):
-    chosen = _page(spark, sf, REFERENCES).drop("source_uri")
-    stored = corpus.index(spark, sf).chunks
-    page = stored.join(chosen, "chunk_id").withColumn("snippet", F.col("source_title"))
-    return page_text(corpus.queries_of(spark, sf), page, CONTENT)
+    index, queries = corpus.index(spark, sf), corpus.queries_of(spark, sf)
+    page = search_pages(index, queries, replace(SearchSettings(), max_results=10, result_mode=REFERENCES), _exact)
+    return page_text(queries, page, CONTENT)
 
 
 @query
