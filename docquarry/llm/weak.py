@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.common import SEPARATORS, distinct_in_runs, whole_text
+from docquarry.llm.common import SEPARATORS, distinct_in_runs, slices, whole_text
 
 #: Rows that fit the scorer at most (annotated ones first), hashed places of its weights, and rounds of descent.
 FIT_ROWS, PLACES, ROUNDS = 12_000, 1 << 18, 150
@@ -100,6 +100,10 @@ def votes() -> dict[str, dict[str, Column]]:
     }
 
 
+#: Features that a round of fitting handles at once.
+BLOCK = 1 << 18
+
+
 def features() -> Column:
     """Distinct hashed places, over a measured frame: words, their first five letters, and the step each measurement reaches."""
     place = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(PLACES)).cast("int")
@@ -129,24 +133,30 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, least: np.ndarray, rounds
 
 
 def train(rows: list[np.ndarray], soft: np.ndarray, rounds: int = ROUNDS, rate: float = 0.3, shrink: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch AdaGrad; a feature's value is 1 when present."""
+    """Logistic regression on soft labels by full-batch AdaGrad; a feature's value is 1 when present.
+
+    Features are kept as 32-bit places, and each round goes through them in blocks: what it needs besides is a few arrays of a block and of all places.
+    """
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    places = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    used, column = np.unique(places, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    weights, seen, bias, seen_bias = np.zeros(len(used)), np.full(len(used), 1e-3), 0.0, 1e-3
+    ends = np.cumsum(lengths)
+    places = np.concatenate(rows).astype(np.int32, copy=False) if rows else np.empty(0, np.int32)
+    blocks = list(slices(lengths, BLOCK))
+    weights, seen, bias, seen_bias = np.zeros(PLACES), np.full(PLACES, 1e-3), 0.0, 1e-3
     balance = np.where(soft > 0.5, 0.5 / max(soft.mean(), 0.02), 1.0)  # bad rows are few
     for _ in range(rounds if len(rows) else 0):
-        score = bias + np.bincount(owner, weights[column], len(rows))
-        gap = balance * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - soft) / len(rows)
-        slope = np.bincount(column, gap[owner], len(used)) + shrink * np.sign(weights) + 1e-5 * weights
+        slope, drift = shrink * np.sign(weights) + 1e-5 * weights, 0.0
+        for i, j in blocks:
+            own, starts = places[ends[i] - lengths[i] : ends[j - 1]], ends[i:j] - lengths[i:j] - (ends[i] - lengths[i])
+            running = np.concatenate(([0.0], np.cumsum(weights[own])))
+            score = bias + running[starts + lengths[i:j]] - running[starts]
+            gap = balance[i:j] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - soft[i:j]) / len(rows)
+            slope += np.bincount(own, np.repeat(gap, lengths[i:j]), PLACES)
+            drift += gap.sum()
         seen += slope**2
         weights -= rate * slope / np.sqrt(seen + 1e-6)
-        seen_bias += gap.sum() ** 2
-        bias -= rate * gap.sum() / np.sqrt(seen_bias + 1e-6)
-    full = np.zeros(PLACES)
-    full[used] = weights
-    return full, bias
+        seen_bias += drift**2
+        bias -= rate * drift / np.sqrt(seen_bias + 1e-6)
+    return weights, bias
 
 
 def _drawn(wanted: int, rows: int) -> float:
