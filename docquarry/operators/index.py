@@ -31,7 +31,7 @@ STORED = (
 )
 
 FIELD_NUMBER = {name: number for number, name in enumerate(FIELDS)}
-BUCKET_BYTES = 1 << 30  # of chunk text
+BUCKET_BYTES = 1 << 26  # of chunk text, whose postings a scoring task sorts in memory
 PART_BYTES = 1 << 26  # of chunk text whose terms share a file
 #: A chunk's number: its segment, the file it is stored in, and its place there.
 FILE_BITS, SEGMENT_BITS = 33, 53
@@ -92,7 +92,7 @@ class Segment:
     chunks: DataFrame
     postings: DataFrame
     dictionary: DataFrame
-    neighbours: DataFrame
+    neighbours: DataFrame | None  # none in an index for exact terms only
     dead: Held | None = None
     order: Held | None = None
 
@@ -124,6 +124,10 @@ class SearchIndex:
     def over_segments(self, per_segment) -> DataFrame:
         return reduce(DataFrame.unionByName, map(per_segment, self.segments))
 
+    @property
+    def near(self) -> bool:
+        return all(s.neighbours is not None for s in self.segments)
+
     @property
     def chunks(self) -> DataFrame:
         """Live chunks with their numbers."""
@@ -149,6 +153,7 @@ class SearchIndex:
 
     @property
     def neighbours(self) -> DataFrame:
+        """Of an index for near terms too."""
         return self.over_segments(lambda s: s.neighbours.drop("part"))
 
     def release(self, keep: SearchIndex | None = None) -> None:
@@ -157,7 +162,8 @@ class SearchIndex:
         for segment in self.segments:
             if segment.location not in kept:
                 for table in (segment.postings, segment.dictionary, segment.neighbours):
-                    table.unpersist()
+                    if table is not None:
+                        table.unpersist()
                 segment.chunks.sparkSession.sql(f"DROP TABLE IF EXISTS {table_name(segment.location)}")
 
 
@@ -178,8 +184,8 @@ def open_postings(spark: SparkSession, location: str, buckets: int) -> DataFrame
     return spark.table(name)
 
 
-def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int = 0, buckets: int | None = None, parts: int | None = None) -> None:
-    """Write one segment.
+def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int = 0, buckets: int | None = None, parts: int | None = None, near: bool = True) -> None:
+    """Write one segment; its neighbours, several rows for each term, only for searches that are ``near``.
 
     Chunks are stored in address order and numbered in it, so that a number stands for both
     addresses wherever equal scores are put in order; ``source_no`` is the number of the first chunk
@@ -215,10 +221,11 @@ def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int =
     dictionary = dictionary_of(spark.table(table_name(location)), "field_no").withColumn("part", part_of(F.col("term"), parts))
     dictionary = dictionary.repartitionByRange("part", "term").sortWithinPartitions("part", "term")
     dictionary.write.partitionBy("part").parquet(f"{location}/dictionary")
-    terms = spark.read.schema(dictionary.schema).parquet(f"{location}/dictionary")
-    near = neighbours_of(terms).withColumn("part", part_of(F.col("variant"), parts))
-    near.repartitionByRange("part", "variant").sortWithinPartitions("part", "variant").write.partitionBy("part").parquet(f"{location}/neighbours")
-    _one_row(spark, analyzer=F.lit(analyzer), number=F.lit(number), buckets=F.lit(buckets), parts=F.lit(parts), chunk_count=F.lit(stored.count()).cast("long")).write.parquet(f"{location}/summary")
+    if near:
+        terms = spark.read.schema(dictionary.schema).parquet(f"{location}/dictionary")
+        variants = neighbours_of(terms).withColumn("part", part_of(F.col("variant"), parts))
+        variants.repartitionByRange("part", "variant").sortWithinPartitions("part", "variant").write.partitionBy("part").parquet(f"{location}/neighbours")
+    _one_row(spark, near=F.lit(near), analyzer=F.lit(analyzer), number=F.lit(number), buckets=F.lit(buckets), parts=F.lit(parts), chunk_count=F.lit(stored.count()).cast("long")).write.parquet(f"{location}/summary")
 
 
 def _stored(spark: SparkSession, location: str, like: DataFrame | None = None) -> DataFrame:
@@ -237,22 +244,22 @@ def open_segment(spark: SparkSession, location: str, in_memory: bool = False) ->
     tables = {
         "chunks": spark.read.schema(CHUNK_TABLE).parquet(f"{location}/chunks"),
         "dictionary": spark.read.schema("field_no tinyint, term string, df long, part int").parquet(f"{location}/dictionary"),
-        "neighbours": spark.read.schema("term_no long, variant long, part int").parquet(f"{location}/neighbours"),
+        "neighbours": spark.read.schema("term_no long, variant long, part int").parquet(f"{location}/neighbours") if summary.near else None,
         "postings": open_postings(spark, location, summary.buckets),
     }
     if in_memory:
-        for name in ("postings", "dictionary", "neighbours"):
+        for name in ("postings", "dictionary", "neighbours") if summary.near else ("postings", "dictionary"):
             tables[name] = tables[name].persist(StorageLevel.MEMORY_AND_DISK)
     return Segment(summary.number, location, summary.buckets, summary.parts, summary.chunk_count, **tables)
 
 
 def build_index(
-    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int | None = None, in_memory: bool = False, parts: int | None = None
+    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int | None = None, in_memory: bool = False, parts: int | None = None, near: bool = True
 ) -> SearchIndex:
     """Write a new index generation of one segment and open it. An older generation is untouched, whatever happens here."""
     spark = chunks.sparkSession
     location = location or new_location(spark, "index")
-    write_segment(chunks, analyzer, location, 0, buckets, parts)
+    write_segment(chunks, analyzer, location, 0, buckets, parts, near)
     segment = open_segment(spark, location, in_memory)
     _write_log(spark, location, analyzer, segment.chunk_count, [location])
     return SearchIndex(location, analyzer, segment.chunk_count, (segment,), None, in_memory)
@@ -324,7 +331,7 @@ def refresh_index(index: SearchIndex, fresh: DataFrame, gone: DataFrame, locatio
     summed.sortWithinPartitions("term").write.parquet(f"{location}/fading")
 
     segments = list(index.segments)
-    write_segment(fresh, index.analyzer, location, number)
+    write_segment(fresh, index.analyzer, location, number, near=index.near)
     segments.append(open_segment(spark, location, index.in_memory))
     later_order(segments).write.parquet(f"{location}/order")
     count = index.chunk_count - dying.count() + segments[-1].chunk_count
@@ -371,13 +378,13 @@ def merged(index: SearchIndex, what: str | None = None) -> SearchIndex:
     spark = index.segments[0].chunks.sparkSession
     columns = [c for c in index.segments[0].chunks.columns if c not in ("chunk_no", "source_no", "file_no")]
     if what == "all":
-        return build_index(index.chunks.select(*columns), index.analyzer, new_location(spark, "index"), None, index.in_memory)
+        return build_index(index.chunks.select(*columns), index.analyzer, new_location(spark, "index"), None, index.in_memory, near=index.near)
     if what != "later":
         return index
     first, *later = index.segments
     location, number = new_location(spark, "index"), later[-1].number + 1
     live = reduce(DataFrame.unionByName, (s.live_chunks() for s in later)).select(*columns)
-    write_segment(live, index.analyzer, location, number)
+    write_segment(live, index.analyzer, location, number, near=index.near)
     segments = [first, open_segment(spark, location, index.in_memory)]
     later_order(segments).write.parquet(f"{location}/order")
     dead = first.dead.rows if first.dead is not None else spark.createDataFrame([], "source_no long")

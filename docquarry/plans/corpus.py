@@ -85,20 +85,22 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def new_index(spark: SparkSession, sf_dir: str, analyzer: str = "en") -> SearchIndex:
+def new_index(spark: SparkSession, sf_dir: str, analyzer: str = "en", near: bool = True) -> SearchIndex:
     """Parse and chunk the whole table once into files, then index the chunks."""
-    return build_index(chunks_of(settled(documents(spark, sf_dir), "documents")), analyzer)
+    return build_index(chunks_of(settled(documents(spark, sf_dir), "documents")), analyzer, near=near)
 
 
-_INDEXES: dict[tuple[str, str, str], SearchIndex] = {}
+_INDEXES: dict[tuple[str, str, str, bool], SearchIndex] = {}
 
 
-def index(spark: SparkSession, sf_dir: str, analyzer: str = "plain") -> SearchIndex:
-    """The corpus index, written once per application and data folder."""
+def index(spark: SparkSession, sf_dir: str, analyzer: str = "plain", near: bool = True) -> SearchIndex:
+    """The corpus index, written once per application and data folder; without neighbours for queries that look up exact terms only."""
     key = (spark.sparkContext.applicationId, sf_dir, analyzer)
-    if key not in _INDEXES:
-        _INDEXES[key] = new_index(spark, sf_dir, analyzer)
-    return _INDEXES[key]
+    if not near and (*key, True) in _INDEXES:
+        near = True
+    if (*key, near) not in _INDEXES:
+        _INDEXES[*key, near] = new_index(spark, sf_dir, analyzer, near)
+    return _INDEXES[*key, near]
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
