@@ -1,7 +1,7 @@
 """Text analysis: words to index terms, as Arrow UDFs.
 
-A batch is split into whitespace-separated words and dictionary-encoded with Arrow, so the
-Python code below sees each distinct word of a batch once, whatever its frequency.
+A slice of a batch is split into whitespace-separated words and dictionary-encoded with Arrow, so the
+Python code below sees each distinct word of a slice once, whatever its frequency.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.functions.batches import in_slices
 from docquarry.functions.stemming import stem
 
 # The English stop words of the Snowball project, in their published order.
@@ -118,11 +119,11 @@ def count_terms(texts: pa.Array, terms_of) -> pa.Array:
 
 
 def _english_counts(texts: pa.Array) -> pa.Array:
-    return count_terms(texts, english_terms)
+    return in_slices(texts, lambda part: count_terms(part, english_terms))
 
 
 def _plain_counts(texts: pa.Array) -> pa.Array:
-    return count_terms(texts, plain_terms)
+    return in_slices(texts, lambda part: count_terms(part, plain_terms))
 
 
 def term_counts(text: Column, analyzer: str = "en") -> Column:
