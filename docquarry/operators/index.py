@@ -343,17 +343,19 @@ def later_order(segments: list[Segment]) -> DataFrame:
     """Where each source of a later segment belongs: before the chunk ``next_no`` of the first segment, as ``seq`` among its like.
 
     Source addresses of all segments are sorted by range. A source's next is the first one of the first segment at or after it, in its range or a later
-    one; what ranges hand on is one number each.
+    one; what ranges hand on is one number each. Running minima go from the end backwards: a frame that ends with its partition is computed anew for each
+    row, in time that grows with the square of a range.
     """
     first = segments[0].chunks.filter("chunk_no = source_no").select("source_uri", F.col("source_no").alias("first_no"), F.lit(0).alias("segment"), "source_no")
     later = [s.chunks.filter("chunk_no = source_no").select("source_uri", F.lit(None).cast("long").alias("first_no"), F.lit(s.number).alias("segment"), "source_no") for s in segments[1:]]
     heads = reduce(DataFrame.unionByName, later, first).repartitionByRange("source_uri")
     heads = heads.withColumn("range", F.spark_partition_id()).sortWithinPartitions("source_uri", "segment")
     heads = settled(heads.withColumn("at", F.monotonically_increasing_id()), "heads")
-    ahead = W.orderBy("range").rowsBetween(1, W.unboundedFollowing)
+    ahead = W.orderBy(F.col("range").desc()).rowsBetween(W.unboundedPreceding, -1)
     ranges = heads.groupBy("range").agg(F.min("first_no").alias("least"))  # a row per task
     ranges = ranges.select("range", F.min("least").over(ahead).alias("beyond"))
-    inside = W.partitionBy("range").orderBy("source_uri", F.col("first_no").isNull().desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
+    backwards = F.col("source_uri").desc(), F.col("first_no").isNull()
+    inside = W.partitionBy("range").orderBy(*backwards).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = heads.withColumn("near", F.min("first_no").over(inside)).join(F.broadcast(ranges), "range").filter("segment > 0")
     nearest = F.coalesce("near", "beyond", F.lit((1 << 63) - 1))
     # Before a chunk of the first segment (whose second number is 0), in the order of addresses.
