@@ -5,12 +5,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import paths
 from docquarry.functions.outline import outline_of
+from docquarry.operators.sizing import hold_table
 
 log = logging.getLogger(__name__)
 
@@ -215,25 +217,41 @@ class Catalog:
         raise UnknownResource(f"unknown resource: {uri}")
 
 
+KINDS = ("document", "chunk", "section")
+
+
 def read_many(catalog: Catalog, wanted: DataFrame) -> DataFrame:
     """(uri, kind, content) for a table of addresses, with the precedence of a single read.
 
-    ``kind`` is document, chunk, section, unknown fragment or unknown resource.
+    ``kind`` is document, chunk, section, unknown fragment or unknown resource. Addresses are settled first, without text: which of those wanted
+    there are, and as what. A text then moves once, to the address that is read as it.
     """
-    home = catalog.sources.select(F.col("uri").alias("source_uri"), "file_path")
-    whole = catalog.sources.select("uri", F.lit("document").alias("kind"), "content", "file_path")
-    part = catalog.chunks.select(F.col("chunk_uri").alias("uri"), F.lit("chunk").alias("kind"), "content", "source_uri")
-    joined = sections(catalog.chunks).select(F.col("section_uri").alias("uri"), F.lit("section").alias("kind"), "content", "source_uri")
+    chunks = catalog.chunks.withColumn("section_uri", _section_uri())
+    there = (catalog.sources.select("uri"), chunks.select(F.col("chunk_uri").alias("uri")), chunks.select(F.col("section_uri").alias("uri")))
+    numbered = reduce(DataFrame.unionByName, (rows.withColumn("n", F.lit(n)) for n, rows in enumerate(there)))
+    first = numbered.groupBy("uri").agg(F.min("n").alias("n"))
+    chosen = hold_table(wanted.select("uri").distinct().join(first, "uri", "left"), "addresses")
+
+    def read_as(n: int, rows: DataFrame, address: str) -> DataFrame:
+        own = chosen.rows.filter(F.col("n") == n).select(F.col("uri").alias(address))
+        return rows.join(replace(chosen, rows=own).side(), address)
+
     # A section of one part has the address of its chunk; the chunk comes first.
-    joined = joined.join(part.select("uri"), "uri", "left_anti")
-    parts = part.unionByName(joined).join(home, "source_uri", "left").drop("source_uri")
-    parts = parts.join(whole.select("uri"), "uri", "left_anti")
-    readable = catalog._transformed(whole.unionByName(parts)).select("uri", "kind", "content")
-    found = wanted.select("uri").distinct().join(readable, "uri", "left")
+    pieces = chunks.filter(F.col("chunk_uri") != F.col("section_uri")).select("source_uri", "section_uri", "part", "content")
+    found = (
+        read_as(0, catalog.sources.select("uri", "content"), "uri").withColumn("source_uri", F.col("uri")),
+        read_as(1, chunks.select("chunk_uri", "content", "source_uri"), "chunk_uri").withColumnRenamed("chunk_uri", "uri"),
+        _joined(read_as(2, pieces, "section_uri")).withColumnRenamed("section_uri", "uri"),
+    )
+    texts = reduce(DataFrame.unionByName, (rows.withColumn("kind", F.lit(kind)) for kind, rows in zip(KINDS, found)))
+    if catalog.transformers:
+        home = catalog.sources.select(F.col("uri").alias("source_uri"), "file_path")
+        texts = catalog._transformed(texts.join(home, "source_uri", "left").drop("source_uri"))
     known = catalog.sources.select(F.col("uri").alias("base"), F.lit(True).alias("known"))
-    missing = found.withColumn("base", paths.base_uri(F.col("uri"))).join(known, "base", "left")
+    missing = chosen.rows.filter("n is null").withColumn("base", paths.base_uri(F.col("uri"))).join(known, "base", "left")
     reason = F.when(paths.has_fragment(F.col("uri")) & F.col("known"), "unknown fragment").otherwise("unknown resource")
-    return missing.select("uri", F.coalesce("kind", reason).alias("kind"), "content")
+    unread = missing.select("uri", reason.alias("kind"), F.lit(None).cast("string").alias("content"))
+    return texts.select("uri", "kind", "content").unionByName(unread)
 
 
 def with_home(chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -245,10 +263,14 @@ def with_home(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.join(home, "source_uri", "left").withColumn("source", F.coalesce("found", stub)).drop("found")
 
 
+def _section_uri() -> Column:
+    return F.concat("source_uri", F.lit("#"), "section_fragment")
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("source_uri", "section_uri").agg(F.expr(r"listagg(content, '\n\n') within group (order by part)").alias("content"))
+
+
 def sections(chunks: DataFrame) -> DataFrame:
     """Whole sections: the parts of each joined by a blank line. A group never exceeds one document."""
-    return (
-        chunks.withColumn("section_uri", F.concat("source_uri", F.lit("#"), "section_fragment"))
-        .groupBy("source_uri", "section_uri")
-        .agg(F.expr(r"listagg(content, '\n\n') within group (order by part)").alias("content"))
-    )
+    return _joined(chunks.withColumn("section_uri", _section_uri()))
