@@ -31,7 +31,7 @@ STORED = (
 )
 
 FIELD_NUMBER = {name: number for number, name in enumerate(FIELDS)}
-BUCKET_BYTES = 1 << 26  # of chunk text, whose postings a scoring task sorts in memory
+BUCKET_BYTES = 1 << 24  # of chunk text, whose postings the writing and the scoring task sort in memory: some 1.8 million rows
 PART_BYTES = 1 << 26  # of chunk text whose terms share a file
 #: A chunk's number: its segment, the file it is stored in, and its place there.
 FILE_BITS, SEGMENT_BITS = 33, 53
@@ -193,7 +193,7 @@ def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int =
     Postings are bucketed by source: all terms of a document lie in one bucket, so that scoring its chunks and choosing among them needs no
     shuffle, and a term found everywhere is spread evenly. Terms are dealt out to parts by hash, and a part's file is sorted by
     term, so a lookup opens the files of its terms only. The numbers of buckets and parts follow the amount of text, observed while the chunks
-    are written. Text is shuffled once, into address order; what is shuffled again are counted terms.
+    are written. Text is shuffled twice, into address order and into buckets: its counted terms take some three times its bytes.
     The input is read twice (its ranges are sampled first); pass a settled table, not a long computation.
     """
     spark = chunks.sparkSession
@@ -212,8 +212,8 @@ def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int =
         buckets = min(most, max(spark.sparkContext.defaultParallelism, octets // BUCKET_BYTES + 1))
     parts = parts or octets // buckets // PART_BYTES + 1
     stored = _stored(spark, location, numbered)
-    texts = field_texts(stored, "chunk_no", "source_no").select("chunk_no", "source_no", field_number().alias("field_no"), "text")
-    counted = texts.select("chunk_no", "source_no", "field_no", term_counts(F.col("text"), analyzer).alias("terms")).repartition(buckets, "source_no")
+    texts = field_texts(stored.repartition(buckets, "source_no"), "chunk_no", "source_no").select("chunk_no", "source_no", field_number().alias("field_no"), "text")
+    counted = texts.select("chunk_no", "source_no", "field_no", term_counts(F.col("text"), analyzer).alias("terms"))
     postings = counted.select("chunk_no", "source_no", "field_no", F.inline("terms")).withColumnRenamed("total", "field_length").withColumn("part", part_of(F.col("term"), parts))
     writer = postings.write.partitionBy("part").bucketBy(buckets, "source_no").sortBy("term")
     writer.option("path", f"{location}/postings").saveAsTable(table_name(location))
@@ -223,8 +223,9 @@ def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int =
     dictionary.write.partitionBy("part").parquet(f"{location}/dictionary")
     if near:
         terms = spark.read.schema(dictionary.schema).parquet(f"{location}/dictionary")
-        variants = neighbours_of(terms).withColumn("part", part_of(F.col("variant"), parts))
-        variants.repartitionByRange("part", "variant").sortWithinPartitions("part", "variant").write.partitionBy("part").parquet(f"{location}/neighbours")
+        # Terms are dealt out, not their variants, which are several rows for each of them and never shuffled.
+        variants = neighbours_of(terms.select("term").repartition(buckets, "term")).withColumn("part", part_of(F.col("variant"), parts))
+        variants.write.partitionBy("part").parquet(f"{location}/neighbours")
     _one_row(spark, near=F.lit(near), analyzer=F.lit(analyzer), number=F.lit(number), buckets=F.lit(buckets), parts=F.lit(parts), chunk_count=F.lit(stored.count()).cast("long")).write.parquet(f"{location}/summary")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.catalog import Catalog, chunks_of, parse, sources_of
 from docquarry.operators.index import SearchIndex, build_index
-from docquarry.operators.sizing import settled, spread
+from docquarry.operators.sizing import released, settled, spread
 
 SCHEME = "doc"
 HEADING_EVERY = 4  # lines
@@ -86,8 +86,9 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_index(spark: SparkSession, sf_dir: str, analyzer: str = "en", near: bool = True) -> SearchIndex:
-    """Parse and chunk the whole table once into files, then index the chunks."""
-    return build_index(chunks_of(settled(documents(spark, sf_dir), "documents")), analyzer, near=near)
+    """Parse and chunk the whole table once into files, then index the chunks. The parsed documents go once the index is written."""
+    with released(spark):
+        return build_index(chunks_of(settled(documents(spark, sf_dir), "documents")), analyzer, near=near)
 
 
 _INDEXES: dict[tuple[str, str, str, bool], SearchIndex] = {}

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 from docquarry.functions import scoring
 from docquarry.operators import search as srch
 from docquarry.operators.catalog import Catalog, parse
-from docquarry.operators.index import build_index
+from docquarry.operators.index import build_index, neighbours_of
+from docquarry.plans import corpus
 from docquarry.settings import SearchSettings
 
 
@@ -89,3 +92,15 @@ def test_an_index_for_exact_terms_has_no_neighbours(spark):
     assert found.count() == 1
     with pytest.raises(ValueError, match="exact terms"):
         srch.candidates(index, asked(spark, 1))
+
+
+def test_an_index_leaves_no_parsed_documents_and_moves_no_variants(spark, monkeypatch):
+    frame, made, ranged = type(spark.range(1)), [], []
+    ranges, settle = frame.repartitionByRange, corpus.settled
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *by: ranged.append(by) or ranges(self, *by))
+    monkeypatch.setattr(corpus, "settled", lambda df, label: made.append(settle(df, label)) or made[-1])
+    index = corpus.new_index(spark, "/root/testdata/sf0.001", "plain")
+    (path,) = {os.path.dirname(f) for f in made[0].inputFiles()}
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert ranged == [("source_uri",), ("part", "term")]
+    assert not index.neighbours.exceptAll(neighbours_of(index.dictionary)).count() and not neighbours_of(index.dictionary).exceptAll(index.neighbours).count()
