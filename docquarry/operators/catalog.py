@@ -49,7 +49,7 @@ def parse(texts: DataFrame, scheme: str, required_header: bool = False) -> DataF
     """One row per document with its metadata, body and chunk ranges; ``error`` is null when all is well.
 
     ``texts`` has ``file_path``, ``relative_path`` and ``raw`` (text or bytes), and may have
-    ``read_error``. The whole step is narrow: no row leaves its partition.
+    ``read_error``, and ``uri``, the address where it is known. The whole step is narrow: no row leaves its partition.
     """
     raw = F.col("raw")
     text = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\r\n"), F.lit("\n"))
@@ -60,9 +60,10 @@ def parse(texts: DataFrame, scheme: str, required_header: bool = False) -> DataF
         read_error.alias("read_error"),
         F.sha2(raw.cast("binary"), 256).alias("fingerprint"),
         text.alias("text"),
+        (F.col("uri") if "uri" in texts.columns else paths.source_uri(F.col("relative_path"), scheme)).alias("uri"),
         outline_of(text, required_header).alias("o"),
     )
-    uri = paths.source_uri(F.col("relative_path"), scheme)
+    uri = F.col("uri")
     size = F.octet_length("text")
     body = F.when(F.col("o.body_byte") > 0, _slice_bytes(F.col("text"), F.col("o.body_byte"), size)).otherwise(F.col("text"))
     problem = (
@@ -94,16 +95,20 @@ def sources_of(documents: DataFrame) -> DataFrame:
     return documents.select(*SOURCE_COLUMNS)
 
 
-def chunks_of(documents: DataFrame) -> DataFrame:
-    """One row per chunk. Text is sliced before the explode, so no row repeats its document."""
+def chunks_of(documents: DataFrame, numbered: bool = False) -> DataFrame:
+    """One row per chunk. Text is sliced before the explode, so no row repeats its document.
+
+    ``numbered`` adds ``nth``, the place (from 0) of a chunk among those of its source by ``chunk_id``.
+    """
     cut = F.transform(
         "ranges",
         lambda r: F.struct(
-            *(r[name].alias(name) for name in CHUNK_COLUMNS if name in RANGE_FIELDS),
+            r["fragment"].alias("fragment"),  # comes first, as structs are sorted by it; it is unique in its source
+            *(r[name].alias(name) for name in CHUNK_COLUMNS if name in RANGE_FIELDS and name != "fragment"),
             _slice_bytes(F.col("content"), r["start_byte"], r["byte_count"]).alias("content"),
         ),
     )
-    exploded = documents.select("id", "uri", "name", "relative_path", "path_labels", "keywords", F.explode(cut).alias("c"))
+    exploded = documents.select("id", "uri", "name", "relative_path", "path_labels", "keywords", F.posexplode(F.array_sort(cut)).alias("nth", "c") if numbered else F.explode(cut).alias("c"))
     address = {"chunk_id": "id", "chunk_uri": "uri"}
     renamed = {
         "source_id": "id", "source_uri": "uri", "source_title": "name", "source_path": "relative_path",
@@ -115,7 +120,8 @@ def chunks_of(documents: DataFrame) -> DataFrame:
             if name in address
             else F.col(renamed.get(name, f"c.{name}")).alias(name)
             for name in CHUNK_COLUMNS
-        )
+        ),
+        *(["nth"] if numbered else []),
     )
 
 

@@ -11,6 +11,7 @@ of addresses across segments by ``order``, the place of each later source among
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -31,7 +32,7 @@ STORED = (
 )
 
 FIELD_NUMBER = {name: number for number, name in enumerate(FIELDS)}
-BUCKET_BYTES = 1 << 24  # of chunk text, whose postings the writing and the scoring task sort in memory: some 1.8 million rows
+BUCKET_BYTES = 1 << 24  # of text in a range of addresses, whose postings the writing and the scoring task sort in memory: some 1.8 million rows
 PART_BYTES = 1 << 26  # of chunk text whose terms share a file
 #: A chunk's number: its segment, the file it is stored in, and its place there.
 FILE_BITS, SEGMENT_BITS = 33, 53
@@ -136,7 +137,7 @@ class SearchIndex:
     @property
     def postings(self) -> DataFrame:
         """(chunk_no, source_no, field_no, term, tf, field_length) of live chunks."""
-        return self.over_segments(lambda s: s.alive(s.postings.drop("part")))
+        return self.over_segments(lambda s: s.alive(s.postings.drop("part", "range_no")))
 
     @property
     def dictionary(self) -> DataFrame:
@@ -172,51 +173,84 @@ def table_name(location: str) -> str:
 
 
 def open_postings(spark: SparkSession, location: str, buckets: int) -> DataFrame:
-    """The bucketed postings. Spark needs a table definition to know how the files are laid out."""
+    """The bucketed postings. Spark needs a table definition to know how the files are laid out. A source's number is told by a chunk's place in it."""
     name = table_name(location)
     if not spark.catalog.tableExists(name):
         quoted = location.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
-            f"CREATE TABLE {name} (chunk_no BIGINT, source_no BIGINT, field_no TINYINT, term STRING, tf INT, field_length INT, part INT) USING parquet "
-            f"PARTITIONED BY (part) CLUSTERED BY (source_no) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{quoted}/postings'"
+            f"CREATE TABLE {name} (chunk_no BIGINT, nth INT, field_no TINYINT, term STRING, tf INT, field_length INT, range_no INT, part INT) USING parquet "
+            f"PARTITIONED BY (part) CLUSTERED BY (range_no) SORTED BY (term, chunk_no) INTO {buckets} BUCKETS LOCATION '{quoted}/postings'"
         )
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-    return spark.table(name)
+    return spark.table(name).withColumn("source_no", F.col("chunk_no") - F.col("nth")).drop("nth")
 
 
-def write_segment(chunks: DataFrame, analyzer: str, location: str, number: int = 0, buckets: int | None = None, parts: int | None = None, near: bool = True) -> None:
+def ranges_for(spark: SparkSession, octets: int) -> int:
+    """Ranges of addresses, and so buckets of postings, for so much text."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, max(spark.sparkContext.defaultParallelism, octets // BUCKET_BYTES + 1))
+
+
+def _range_numbers(spark: SparkSession, buckets: int) -> DataFrame:
+    """file_no and range_no, a number that bucketing by hash puts into the bucket file_no; so a bucket holds one range. At most 100,000 rows."""
+    numbers = spark.range(32 * buckets).select(F.col("id").cast("int").alias("range_no"))
+    return numbers.groupBy(F.pmod(F.hash("range_no"), F.lit(buckets)).alias("file_no")).agg(F.min("range_no").alias("range_no"))
+
+
+@contextmanager
+def _single_files(spark: SparkSession):
+    """Scans planned inside give a task one file of chunks, not many."""
+    name = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(BUCKET_BYTES // 2))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
+def write_segment(
+    chunks: DataFrame, analyzer: str, location: str, number: int = 0, buckets: int | None = None, parts: int | None = None, near: bool = True, ranged: bool = False
+) -> None:
     """Write one segment; its neighbours, several rows for each term, only for searches that are ``near``.
 
     Chunks are stored in address order and numbered in it, so that a number stands for both
     addresses wherever equal scores are put in order; ``source_no`` is the number of the first chunk
     of the same source. Files of chunks are partitions of their own (``file_no`` is part of a chunk's number).
-    Postings are bucketed by source: all terms of a document lie in one bucket, so that scoring its chunks and choosing among them needs no
-    shuffle, and a term found everywhere is spread evenly. Terms are dealt out to parts by hash, and a part's file is sorted by
-    term, so a lookup opens the files of its terms only. The numbers of buckets and parts follow the amount of text, observed while the chunks
-    are written. Text is shuffled twice, into address order and into buckets: its counted terms take some three times its bytes.
-    The input is read twice (its ranges are sampled first); pass a settled table, not a long computation.
+    Postings are bucketed by the same ranges of addresses: all terms of a document lie in one bucket, so that scoring its chunks and choosing among them
+    needs no shuffle, and a term found everywhere is spread evenly. Terms are dealt out to parts by hash, and a part's file is sorted by
+    term, so a lookup opens the files of its terms only. The numbers of ranges and parts follow the amount of text. Text is shuffled once, into
+    address order, and its terms are counted where its chunks were written; counted terms take some three times its bytes and are not shuffled.
+    The input is read three times (summed up, sampled, moved); pass a settled table, not a long computation, or chunks that are ``ranged``: they
+    lie in ``buckets`` ranges of ``source_uri``, one a partition, have their place in their source as ``nth``, and are read once.
     """
     spark = chunks.sparkSession
-    wanted = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED)).repartitionByRange("source_uri")
+    wanted = chunks.select(*STORED, *(name for name in FIELDS if name not in STORED), *(["nth"] if ranged else []))
+    if buckets is None:
+        buckets = ranges_for(spark, wanted.agg(F.sum(F.octet_length("content"))).first()[0] or 0)
+    if not ranged:
+        wanted = wanted.repartitionByRange(buckets, "source_uri")
     in_order = wanted.withColumn("file_no", F.spark_partition_id()).sortWithinPartitions("file_no", "source_uri", "chunk_id")
     numbered = in_order.withColumn("chunk_no", F.monotonically_increasing_id() + F.lit(number << SEGMENT_BITS))
     in_source = W.partitionBy("source_uri").orderBy("chunk_id")  # at most one document, and already together and in order
-    numbered = numbered.withColumn("source_no", F.min("chunk_no").over(in_source))
+    # Python between the ranges and here hides from Spark how the chunks lie: a window would move them.
+    numbered = numbered.withColumn("source_no", F.col("chunk_no") - F.col("nth") if ranged else F.min("chunk_no").over(in_source)).drop("nth")
     text = Observation()
     observed = numbered.observe(text, F.sum(F.octet_length("content")).alias("octets"))
-    observed.write.partitionBy("file_no").option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(f"{location}/chunks")
-    octets = text.get["octets"] or 0
+    observed.write.partitionBy("file_no").option("compression", "zstd").parquet(f"{location}/chunks")
+    parts = parts or (text.get["octets"] or 0) // buckets // PART_BYTES + 1
 
-    if buckets is None:
-        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-        buckets = min(most, max(spark.sparkContext.defaultParallelism, octets // BUCKET_BYTES + 1))
-    parts = parts or octets // buckets // PART_BYTES + 1
     stored = _stored(spark, location, numbered)
-    texts = field_texts(stored.repartition(buckets, "source_no"), "chunk_no", "source_no").select("chunk_no", "source_no", field_number().alias("field_no"), "text")
-    counted = texts.select("chunk_no", "source_no", "field_no", term_counts(F.col("text"), analyzer).alias("terms"))
-    postings = counted.select("chunk_no", "source_no", "field_no", F.inline("terms")).withColumnRenamed("total", "field_length").withColumn("part", part_of(F.col("term"), parts))
-    writer = postings.write.partitionBy("part").bucketBy(buckets, "source_no").sortBy("term")
-    writer.option("path", f"{location}/postings").saveAsTable(table_name(location))
+    placed = stored.join(F.broadcast(_range_numbers(spark, buckets)), "file_no", "left").withColumn("range_no", F.coalesce("range_no", "file_no"))
+    keys = ("chunk_no", "nth", "range_no")
+    texts = field_texts(placed.withColumn("nth", (F.col("chunk_no") - F.col("source_no")).cast("int")), *keys).select(*keys, field_number().alias("field_no"), "text")
+    counted = texts.select(*keys, "field_no", term_counts(F.col("text"), analyzer).alias("terms"))
+    postings = counted.select(*keys, "field_no", F.inline("terms")).select(
+        "chunk_no", "nth", "field_no", "term", "tf", F.col("total").alias("field_length"), "range_no", part_of(F.col("term"), parts).alias("part")
+    )
+    writer = postings.write.partitionBy("part").bucketBy(buckets, "range_no").sortBy("term", "chunk_no").option("compression", "zstd")
+    with _single_files(spark):
+        writer.option("path", f"{location}/postings").saveAsTable(table_name(location))
 
     dictionary = dictionary_of(spark.table(table_name(location)), "field_no").withColumn("part", part_of(F.col("term"), parts))
     dictionary = dictionary.repartitionByRange("part", "term").sortWithinPartitions("part", "term")
@@ -255,12 +289,14 @@ def open_segment(spark: SparkSession, location: str, in_memory: bool = False) ->
 
 
 def build_index(
-    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int | None = None, in_memory: bool = False, parts: int | None = None, near: bool = True
+    chunks: DataFrame, analyzer: str = "en", location: str | None = None, buckets: int | None = None, in_memory: bool = False, parts: int | None = None,
+    near: bool = True,
+    ranged: bool = False,
 ) -> SearchIndex:
     """Write a new index generation of one segment and open it. An older generation is untouched, whatever happens here."""
     spark = chunks.sparkSession
     location = location or new_location(spark, "index")
-    write_segment(chunks, analyzer, location, 0, buckets, parts, near)
+    write_segment(chunks, analyzer, location, 0, buckets, parts, near, ranged)
     segment = open_segment(spark, location, in_memory)
     _write_log(spark, location, analyzer, segment.chunk_count, [location])
     return SearchIndex(location, analyzer, segment.chunk_count, (segment,), None, in_memory)

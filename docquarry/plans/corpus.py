@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.functions import paths
 from docquarry.operators.catalog import Catalog, chunks_of, parse, sources_of
-from docquarry.operators.index import SearchIndex, build_index
-from docquarry.operators.sizing import released, settled, spread
+from docquarry.operators.index import SearchIndex, build_index, ranges_for
+from docquarry.operators.sizing import spread
 
 SCHEME = "doc"
 HEADING_EVERY = 4  # lines
@@ -85,10 +86,19 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def ranged_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Chunks in ranges of their addresses, and the number of ranges. Given texts are moved, once, and parsed where they come to lie."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", paths.source_uri(relative_path(), SCHEME).alias("uri"))
+    ranges = ranges_for(spark, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    laid = docs.repartitionByRange(ranges, "uri")
+    raw = laid.select("uri", F.concat(F.lit("/corpus/"), relative_path()).alias("file_path"), relative_path().alias("relative_path"), as_markdown(F.col("text")).alias("raw"))
+    return chunks_of(parse(raw, SCHEME).filter("error is null"), numbered=True), ranges
+
+
 def new_index(spark: SparkSession, sf_dir: str, analyzer: str = "en", near: bool = True) -> SearchIndex:
-    """Parse and chunk the whole table once into files, then index the chunks. The parsed documents go once the index is written."""
-    with released(spark):
-        return build_index(chunks_of(settled(documents(spark, sf_dir), "documents")), analyzer, near=near)
+    """Parse and chunk the whole table once, in the order of addresses, and index the chunks."""
+    chunks, ranges = ranged_chunks(spark, sf_dir)
+    return build_index(chunks, analyzer, buckets=ranges, near=near, ranged=True)
 
 
 _INDEXES: dict[tuple[str, str, str, bool], SearchIndex] = {}

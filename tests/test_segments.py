@@ -1,6 +1,7 @@
 """A log of index segments ranks like one index of the same chunks, and lookups open few files."""
 
 import bisect
+import os
 from dataclasses import replace
 from types import SimpleNamespace
 
@@ -11,9 +12,11 @@ from docquarry.operators import index as idx
 from docquarry.operators import search as srch
 from docquarry.operators.page import search_pages
 from docquarry.operators.sizing import hold_local, hold_table
+from docquarry.plans import corpus
 from docquarry.settings import CONTENT, SearchSettings
 from tests.test_search import chunks_of
 
+SF_DIR = "/root/testdata/sf0.01"
 BEFORE = {
     "b/kelp": "# Kelp\n\nKelp forests shelter otters.\n\n## Holdfast\n\nIt grips stone.\n",
     "d/limpet": "# Limpet\n\nA limpet grazes stone.\n\n## Shell\n\nThe shell is a low cone of stone grey.\n",
@@ -141,3 +144,33 @@ def test_later_sources_are_placed_in_one_pass(spark):
     nexts = {(r.segment, r.source_uri): r.next_no for r in order.collect()}
     beyond = [*first, (1 << 63) - 1]
     assert nexts == {(k, f"doc://{n:05}"): beyond[bisect.bisect_left(first, n)] for k, names in later.items() for n in names}
+
+
+def test_text_is_shuffled_once_and_ranges_keep_to_their_bucket(spark):
+    """Text used to be written as parsed documents, moved into the order of addresses, and moved again into buckets."""
+    status = spark._jsc.sc().statusStore()
+
+    def stages():
+        rows = status.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {(r.stageId(), r.attemptId()): r.shuffleWriteBytes() for r in (rows.apply(i) for i in range(rows.size()))}
+
+    before = stages()
+    index = corpus.new_index(spark, SF_DIR, "plain", near=False)
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    given = os.path.getsize(f"{SF_DIR}/documents.parquet")
+    moved = [size for stage, size in stages().items() if stage not in before and size > given / 2]
+    assert len(moved) == 1
+    (segment,) = index.segments
+    bucket = F.pmod(F.hash("range_no"), F.lit(segment.buckets)).alias("bucket")
+    held = segment.postings.groupBy(bucket, "range_no").agg(F.min("source_no").alias("a"), F.max("source_no").alias("b")).orderBy("a").collect()
+    assert len({r.bucket for r in held}) == len(held) == segment.buckets and all(x.b < y.a for x, y in zip(held, held[1:]))
+
+
+def test_chunks_that_lie_in_ranges_are_numbered_like_others(spark):
+    chunks, ranges = corpus.ranged_chunks(spark, SF_DIR)
+    columns = [c for c in chunks.columns if c != "nth"]
+    settled = corpus.catalog(spark, SF_DIR).chunks
+    assert chunks.select(*columns).exceptAll(settled.select(*columns)).isEmpty() and chunks.count() == settled.count()
+    made = [idx.build_index(chunks, "plain", buckets=ranges, near=False, ranged=True), idx.build_index(settled, "plain", buckets=3, near=False)]
+    orders = [[(r.chunk_id, r.chunk_no - r.source_no) for r in index.chunks.orderBy("chunk_no").collect()] for index in made]
+    assert orders[0] == orders[1] and len(orders[0]) == made[0].chunk_count
