@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import string
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docquarry.functions.batches import in_slices
+from docquarry.functions.batches import in_slices, slices_of
 from docquarry.functions.stemming import stem
 
 # The English stop words of the Snowball project, in their published order.
@@ -47,6 +49,8 @@ WORD = regex.compile(
 )
 # A word of Latin letters and digits inside ASCII punctuation: the common case, decided without the pattern above.
 LATIN = re.compile(r"[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+# The same in lower and upper case of one byte, which Arrow and Python lower alike.
+LATIN_1 = r"^[A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{fe}]+$"
 PUNCTUATION = string.punctuation.replace("_", "")
 PLAIN_WORD = regex.compile(r"[\p{L}\p{N}]+")
 POSSESSIVE = ("'s", "’s", "＇s", "'S", "’S", "＇S")
@@ -84,40 +88,118 @@ TERM_COUNTS = T.ArrayType(
         ]
     )
 )
+RUN_BYTES, RUN_ROWS, RUN_BATCH = 1 << 25, 1 << 21, 1 << 15  # text and counted terms that a task puts in order at once, and terms that it hands on at once
 _TERM_STRUCT = [pa.field("term", pa.string()), pa.field("tf", pa.int32()), pa.field("total", pa.int32())]
 
 
-def count_terms(texts: pa.Array, terms_of) -> pa.Array:
-    """Distinct terms of every text of a batch, with their frequency and the text's total."""
+def _terms_of_pieces(pieces: pa.Array, terms_of) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms of distinct pieces of text, and for each piece the place of its first one and their number. Plain Latin words need no Python."""
+    if terms_of is not plain_terms:
+        made = [terms_of(piece) for piece in pieces.to_pylist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return pa.array([t for terms in made for t in terms], pa.string()), np.cumsum(sizes) - sizes, sizes
+    bare = pc.ascii_trim(pieces, string.punctuation)
+    plain = np.asarray(pc.match_substring_regex(bare, LATIN_1))
+    made = [plain_terms(piece) for piece in pieces.filter(pa.array(~plain)).to_pylist()]
+    words = pc.utf8_lower(bare.filter(pa.array(plain))).cast(pa.string())
+    sizes, starts = np.ones(len(pieces), np.int64), np.cumsum(plain) - 1
+    other = np.fromiter(map(len, made), np.int64, len(made))
+    sizes[~plain], starts[~plain] = other, len(words) + np.cumsum(other) - other
+    return pa.concat_arrays([words, pa.array([t for terms in made for t in terms], pa.string())]), starts, sizes
+
+
+def _counted(texts: pa.Array, terms_of, by_term: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms, and numbers of a row and of a term in it with the term's frequency and the row's total, by rows or else by terms."""
     words = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = np.asarray(words.offsets)
     encoded = words.flatten().dictionary_encode()
     codes = np.asarray(encoded.indices)
-
-    vocabulary: dict[str, int] = {}
-    per_word = [
-        [vocabulary.setdefault(term, len(vocabulary)) for term in terms_of(word)]
-        for word in encoded.dictionary.to_pylist()
-    ]
-    sizes = np.array([len(ids) for ids in per_word], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else np.zeros(0, np.int64)
-    flat_ids = np.array([i for ids in per_word for i in ids], dtype=np.int64)
+    found, starts, sizes = _terms_of_pieces(encoded.dictionary, terms_of)
+    vocabulary = found.dictionary_encode()
 
     row_of_word = np.repeat(np.arange(len(texts)), np.diff(offsets))
     repeat = sizes[codes] if len(codes) else np.zeros(0, np.int64)
     first = np.repeat(starts[codes] if len(codes) else repeat, repeat)
     within = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-    ids = flat_ids[first + within] if len(flat_ids) else np.zeros(0, np.int64)
-
-    width = max(len(vocabulary), 1)
-    keys, tf = np.unique(np.repeat(row_of_word, repeat) * width + ids, return_counts=True)
-    bounds = np.searchsorted(keys // width, np.arange(len(texts) + 1)).astype(np.int32)
-    terms = pa.array(list(vocabulary), pa.string()).take(pa.array(keys % width))
-    totals = np.bincount(keys // width, weights=tf, minlength=len(texts))[keys // width] if len(keys) else tf
-    columns = [terms, pa.array(tf.astype(np.int32)), pa.array(totals.astype(np.int32))]
+    ids = np.asarray(vocabulary.indices).astype(np.int64)[first + within] if len(found) else np.zeros(0, np.int64)
+
+    rows = np.repeat(row_of_word, repeat)
+    totals = np.bincount(rows, minlength=len(texts))
+    outer, inner, width = (ids, rows, len(texts)) if by_term else (rows, ids, len(vocabulary.dictionary))
+    keys, tf = np.unique(outer * max(width, 1) + inner, return_counts=True)
+    outer, inner = keys // max(width, 1), keys % max(width, 1)
+    row, term = (inner, outer) if by_term else (outer, inner)
+    return vocabulary.dictionary, row, term, tf.astype(np.int32), totals[row].astype(np.int32)
+
+
+def count_terms(texts: pa.Array, terms_of) -> pa.Array:
+    """Distinct terms of every text of a batch, with their frequency and the text's total."""
+    terms, row, term, tf, totals = _counted(texts, terms_of)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+    columns = [terms.take(pa.array(term)), pa.array(tf), pa.array(totals)]
     return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(columns, fields=_TERM_STRUCT))
 
 
+class _Run:
+    """Counted terms of some texts, kept as numbers until they are put in the order of terms."""
+
+    def __init__(self):
+        self.keys, self.terms, self.held = [], [], []
+        self.size = self.texts = self.distinct = self.octets = 0
+
+    def add(self, keys: pa.RecordBatch, texts: pa.Array, terms_of) -> None:
+        terms, row, term, tf, total = _counted(texts, terms_of, True)
+        self.held.append((row + self.texts, term + self.distinct, tf, total))
+        self.keys.append(keys)
+        self.terms.append(terms)
+        self.size, self.texts, self.distinct = self.size + len(row), self.texts + len(texts), self.distinct + len(terms)
+        self.octets += pc.sum(pc.binary_length(texts)).as_py() or 0
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """A row for each term of a text, by terms (their bytes), and then in the order of the texts."""
+        if not self.size:
+            return
+        encoded = pa.concat_arrays(self.terms).dictionary_encode()
+        in_order = pc.sort_indices(encoded.dictionary)
+        rank = np.empty(len(in_order), np.int64)
+        rank[np.asarray(in_order)] = np.arange(len(in_order))
+        terms = encoded.dictionary.take(in_order)
+        row, term, tf, total = (np.concatenate(c) for c in zip(*self.held))
+        term = rank[np.asarray(encoded.indices)[term]]
+        order = np.argsort(term * self.texts + row)
+        keys = pa.Table.from_batches(self.keys).combine_chunks()
+        for a in range(0, len(order), RUN_BATCH):
+            at = order[a : a + RUN_BATCH]
+            of = keys.take(pa.array(row[at]))
+            columns = [*of.columns, terms.take(pa.array(term[at])), pa.array(tf[at]), pa.array(total[at])]
+            yield pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()[0]
+
+
+def _term_runs(analyzer: str, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    run = _Run()
+    for batch in batches:
+        keys, texts = batch.select(batch.schema.names[:-1]), batch.column(batch.num_columns - 1)
+        for a, b in slices_of(texts):
+            run.add(keys.slice(a, b - a), texts.slice(a, b - a), _TERMS_OF[analyzer])
+            if run.size > RUN_ROWS or run.octets > RUN_BYTES:
+                yield from run.rows(schema)
+                run = _Run()
+    yield from run.rows(schema)
+
+
+def counted_by_term(rows: DataFrame, analyzer: str = "en") -> DataFrame:
+    """For every term of the texts in the last column: the other columns, term, tf and total. Narrow: counted inside each text.
+
+    A task gives its rows by term, and those of a term in the order of its input; after ``RUN_ROWS`` rows or ``RUN_BYTES`` of text it begins anew. Sorting them by term takes a
+    sorter that knows runs one comparison a row, not twenty.
+    """
+    schema = T.StructType([*rows.schema.fields[:-1], *TERM_COUNTS.elementType.fields])
+    return rows.mapInArrow(partial(_term_runs, analyzer, to_arrow_schema(schema)), schema)
+
+
+_TERMS_OF = {"en": english_terms, "plain": plain_terms}
+
+
 def _english_counts(texts: pa.Array) -> pa.Array:
     return in_slices(texts, lambda part: count_terms(part, english_terms))
 

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CELLS = 1 << 20  # of a block, by query terms and chunks
+CELLS = 1 << 18  # of a block, by query terms and chunks
 ROWS = 1 << 17  # postings read before blocks are made of them
 PENDING = 1 << 16  # rows in question before the best of them are chosen
 _COARSE, _FINE, _UNIT = float(1 << 20), float(1 << 26), float(1 << 46)  # as in ``sizing.exact_sum``
+_EXACT = float(1 << 53)
 
 
 def _parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,6 +30,15 @@ def _exact(coarse: np.ndarray, fine: np.ndarray) -> np.ndarray:
     return coarse / _COARSE + fine / _UNIT
 
 
+def _sums(values: np.ndarray, total) -> np.ndarray:
+    """What ``exact_sum`` gives for values of which none is negative; ``total`` adds up whole numbers, group by group.
+
+    A group's units are added in one number as long as it holds them all exactly: sums only grow, so the last one tells.
+    """
+    units = total(np.rint(values * _UNIT))
+    return units / _UNIT if units.max(initial=0.0) < _EXACT else _exact(*map(total, _parts(values)))
+
+
 def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     """True where a new group begins in rows sorted by the keys."""
     new = np.ones(len(sorted_keys[0]), bool)
@@ -92,33 +102,42 @@ def plan_of(leaves: pa.Table, field_count: int, fuzzy: bool) -> Plan:
 
 
 def field_scores(plan: Plan, chunk: np.ndarray, key: np.ndarray, base: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and matched query tokens, by field of a query and chunk of the block. ``base`` is a posting's share of its leaf scores."""
+    """Scores and matched query tokens, by field of a query and chunk of the block. ``base`` is a posting's share of its leaf scores.
+
+    Of the many cells of query terms by chunks only those with a match are worked on.
+    """
     at = np.searchsorted(plan.keys, key)
     counts = plan.bounds[at + 1] - plan.bounds[at]
-    posting = np.repeat(np.arange(len(key)), counts)
-    leaf = np.arange(len(posting)) + np.repeat(plan.bounds[at] - (np.cumsum(counts) - counts), counts)
-    value, slot, column = base[posting] * plan.weight[leaf], plan.slot[leaf], chunk[posting]
-    shape = (len(plan.field_no), width)
+    leaf = np.repeat(plan.bounds[at] - (np.cumsum(counts) - counts), counts)
+    leaf += np.arange(len(leaf))
+    value, slot = np.repeat(base, counts), plan.slot[leaf]
+    value *= plan.weight[leaf]
+    slots, fields = len(plan.repeats), len(plan.field_no)
 
     if not plan.fuzzy:  # a query term is one index term, so the innermost level is the leaf itself
-        repeats, cell = plan.repeats[slot], plan.field_of[slot] * width + column
-        coarse, fine = _parts(repeats * (np.rint(value * _UNIT) / _UNIT))
-        coarse, fine, matched = (np.bincount(cell, x, shape[0] * width).reshape(shape) for x in (coarse, fine, repeats))
+        repeats, column = plan.repeats[slot], np.repeat(chunk, counts)
+        scores = repeats * (np.rint(value * _UNIT) / _UNIT)
     else:
-        cell, size = slot * width + column, len(plan.repeats) * width
-        found = np.bincount(cell, minlength=size)
-        sums = _exact(*(np.bincount(cell, x, size) for x in _parts(value))) * found
-        terms = sums.reshape(-1, width) / plan.leaf_count[:, None]
-        repeats = plan.repeats[:, None]
-        coarse, fine = (np.add.reduceat(x, plan.field_starts) for x in _parts(repeats * terms))
-        matched = np.add.reduceat(repeats * (found.reshape(-1, width) > 0), plan.field_starts)
-    return _exact(coarse, fine) * matched / plan.token_count[:, None], matched
+        cell = np.repeat(chunk * slots, counts)  # the cells of a chunk lie together
+        cell += slot
+        found = np.bincount(cell, minlength=width * slots)
+        hit = np.flatnonzero(found > 0)
+        sums = _sums(value, lambda x: np.bincount(cell, x, width * slots)[hit])
+        ends = np.searchsorted(hit, np.arange(1, width + 1) * slots)
+        column = np.repeat(np.arange(width), np.diff(ends, prepend=0))
+        slot = hit - column * slots
+        repeats = plan.repeats[slot]
+        scores = repeats * (sums * found[hit] / plan.leaf_count[slot])
+    cell = column * fields + plan.field_of[slot]
+    score, matched = _sums(scores, lambda x: np.bincount(cell, x, width * fields)), np.bincount(cell, repeats, width * fields)
+    score, matched = (x.reshape(width, fields).T for x in (score, matched))
+    return score * matched / plan.token_count[:, None], matched
 
 
 def query_scores(plan: Plan, score: np.ndarray, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores and numbers of matching fields, by query and chunk of the block."""
     fields = np.add.reduceat((matched > 0).astype(np.float64), plan.query_starts)
-    total = _exact(*(np.add.reduceat(x, plan.query_starts) for x in _parts(score)))
+    total = _sums(score, lambda x: np.add.reduceat(x, plan.query_starts))
     return total * fields / plan.field_count, fields
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docquarry.functions.analysis import deletions, term_counts
+from docquarry.functions.analysis import counted_by_term, deletions, term_counts
 from docquarry.operators.sizing import Held, hold_table, settled
 from docquarry.session import new_location
 
@@ -244,8 +244,7 @@ def write_segment(
     placed = stored.join(F.broadcast(_range_numbers(spark, buckets)), "file_no", "left").withColumn("range_no", F.coalesce("range_no", "file_no"))
     keys = ("chunk_no", "nth", "range_no")
     texts = field_texts(placed.withColumn("nth", (F.col("chunk_no") - F.col("source_no")).cast("int")), *keys).select(*keys, field_number().alias("field_no"), "text")
-    counted = texts.select(*keys, "field_no", term_counts(F.col("text"), analyzer).alias("terms"))
-    postings = counted.select(*keys, "field_no", F.inline("terms")).select(
+    postings = counted_by_term(texts, analyzer).select(
         "chunk_no", "nth", "field_no", "term", "tf", F.col("total").alias("field_length"), "range_no", part_of(F.col("term"), parts).alias("part")
     )
     writer = postings.write.partitionBy("part").bucketBy(buckets, "range_no").sortBy("term", "chunk_no").option("compression", "zstd")

@@ -1,11 +1,12 @@
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.functions import scoring
+from docquarry.functions import analysis, scoring
 from docquarry.operators import search as srch
 from docquarry.operators.catalog import Catalog, parse
 from docquarry.operators.index import build_index, neighbours_of
@@ -104,3 +105,68 @@ def test_an_index_leaves_no_parsed_documents_and_moves_no_variants(spark, monkey
     assert not os.path.exists(path.removeprefix("file://"))
     assert ranged == [("source_uri",), ("part", "term")]
     assert not index.neighbours.exceptAll(neighbours_of(index.dictionary)).count() and not neighbours_of(index.dictionary).exceptAll(index.neighbours).count()
+
+
+def a_plan(queries, terms, weight=0.01, seed=3):
+    """Each query asks for ``terms`` terms in two fields, of which each is one of two index terms; keys 0 to 49."""
+    rng = np.random.default_rng(seed)
+    rows = [
+        (q, f, t, 1 + t % 3, 2 * terms, 2, weight * rng.random(), key)
+        for q in range(queries) for f in (1, 4) for t in range(terms) for key in rng.choice(50, 2, replace=False).tolist()
+    ]
+    names = ("query_id", "field_no", "term_no", "repeats", "token_count", "leaf_count", "leaf_weight", "key")
+    return rows, scoring.plan_of(pa.table(dict(zip(names, map(list, zip(*rows))))), 2, True)
+
+
+def exact(values):
+    """``exact_sum``, by whole numbers."""
+    units = sum(int(x) * 2**26 + int(np.rint((v * 2.0**20 - x) * 2.0**26)) for v in values for x in [np.floor(v * 2.0**20)])
+    return units / 2**46
+
+
+@pytest.mark.parametrize("weight", [0.01, 1e4])  # the latter's sums of units do not fit one number
+def test_scores_of_a_block_are_exact_sums_of_its_matches(weight):
+    rows, plan = a_plan(3, 4, weight)
+    rng = np.random.default_rng(5)
+    chunk = np.repeat(np.arange(6), 9)
+    key, base = np.concatenate([rng.choice(np.intersect1d(plan.keys, np.arange(50)), 9, replace=False) for _ in range(6)]), rng.random(54)
+    score, matched = scoring.field_scores(plan, chunk, key, base, 7)
+    assert score.shape == matched.shape == (6, 7) and not matched[:, 6].any()
+    for at, (q, f) in enumerate((q, f) for q in range(3) for f in (1, 4)):
+        for c in range(6):
+            there = dict(zip(key[chunk == c].tolist(), base[chunk == c].tolist()))
+            terms = {}
+            for _, _, t, repeats, tokens, count, w, k in (r for r in rows if r[:2] == (q, f) and r[7] in there):
+                terms.setdefault((t, repeats, tokens, count), []).append(there[k] * w)
+            asked = sum(r for _, r, _, _ in terms)
+            total = exact(r * (exact(v) * len(v) / n) for (_, r, _, n), v in terms.items())
+            assert matched[at, c] == asked and score[at, c] == total * asked / 8
+
+
+def test_a_block_works_on_matches_not_on_all_cells():
+    """Sums, shares and parts of all cells of query terms by chunks, nearly all of them empty, took most of the time of a fuzzy search."""
+    _, plan = a_plan(40, 200)
+    width = plan.width
+    chunk, key = np.arange(width), np.resize(plan.keys[:1], width)
+    tracemalloc.start()
+    scoring.field_scores(plan, chunk, key, np.ones(width), width)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * 8 * width * len(plan.repeats)
+
+
+def test_counted_terms_come_in_runs_by_term(spark, monkeypatch):
+    """Terms used to come text by text, so that writing the postings sorted them from scratch."""
+    texts = [(n, n % 5, f"w{n % 7} Common w{n % 7} É{n % 3}-x 日本 common" if n % 6 else None) for n in range(90)]
+    rows = spark.createDataFrame(texts, "n long, f int, text string").coalesce(1)
+    found = [tuple(r) for r in analysis.counted_by_term(rows, "plain").collect()]
+    counts = rows.select("n", "f", F.inline(analysis.term_counts(F.col("text"), "plain"))).collect()
+    assert found == sorted(map(tuple, counts), key=lambda r: (r[2].encode(), r[0])) and len(found) == 75 * 5
+    schema = pa.schema([("n", pa.int64()), ("term", pa.string()), ("tf", pa.int32()), ("total", pa.int32())])
+    batches = [pa.RecordBatch.from_pydict({"n": [n], "text": [text]}) for n, _, text in texts if text]
+    for name in ("RUN_ROWS", "RUN_BYTES"):  # what a task holds is bounded
+        with monkeypatch.context() as m:
+            m.setattr(analysis, name, 60)
+            runs = [[tuple(r.values()) for r in b.to_pylist()] for b in analysis._term_runs("plain", schema, iter(batches))]
+        assert len(runs) > 3 and all(run == sorted(run, key=lambda r: (r[1].encode(), r[0])) for run in runs)
+        assert sorted(r for run in runs for r in run) == sorted((n, *rest) for n, _, *rest in found)
