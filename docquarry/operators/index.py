@@ -403,18 +403,40 @@ def due(index: SearchIndex) -> str:
     first, *later = index.segments
     if first.dead is None and not later:
         return ""
-    added = sum(s.chunk_count for s in later)
-    lost = first.chunk_count + added - index.chunk_count
-    if added + lost > MOST_CHANGED * first.chunk_count or index.segments[-1].number >= 1000:
+    return _due(first.chunk_count, [s.chunk_count for s in later], index.segments[-1].number, index.chunk_count)
+
+
+def _due(first: int, later: list[int], number: int, live: int) -> str:
+    """The same for a log of so many chunks in its first and later segments, of which ``live`` are not dead."""
+    lost = first + sum(later) - live
+    if sum(later) + lost > MOST_CHANGED * first or number >= 1000:
         return "all"
     return "later" if len(later) > MOST_SEGMENTS else ""
 
 
+def refreshed(index: SearchIndex, fresh: DataFrame, gone: DataFrame) -> SearchIndex:
+    """What ``merged`` makes of ``refresh_index``. Where the refresh makes all of the log due, the fresh chunks go into the one segment with the live ones
+    at once, not first into a segment of their own that would be indexed, placed among the others and dropped. ``fresh`` is read once more."""
+    lost = hold_table(gone.select("source_uri").distinct(), "gone")
+    kept = index.over_segments(lambda s: s.live_chunks().join(lost.side(), "source_uri", "left_anti"))
+    added, last = fresh.count(), index.segments[-1]
+    later = [s.chunk_count for s in index.segments[1:]]
+    if _due(index.segments[0].chunk_count, [*later, added], last.number + 1, kept.count() + added) != "all":
+        return merged(refresh_index(index, fresh, lost.rows))
+    columns = _written_columns(index)
+    chunks = kept.select(*columns).unionByName(fresh.select(*columns))
+    return build_index(chunks, index.analyzer, new_location(chunks.sparkSession, "index"), None, index.in_memory, near=index.near)
+
+
+def _written_columns(index: SearchIndex) -> list[str]:
+    return [c for c in index.segments[0].chunks.columns if c not in ("chunk_no", "source_no", "file_no")]
+
+
 def merged(index: SearchIndex, what: str | None = None) -> SearchIndex:
     """The same chunks with a shorter log, as a new generation; the index itself while nothing is due. Readers of the old one are not disturbed."""
     what = due(index) if what is None else what
     spark = index.segments[0].chunks.sparkSession
-    columns = [c for c in index.segments[0].chunks.columns if c not in ("chunk_no", "source_no", "file_no")]
+    columns = _written_columns(index)
     if what == "all":
         return build_index(index.chunks.select(*columns), index.analyzer, new_location(spark, "index"), None, index.in_memory, near=index.near)
     if what != "later":

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.functions.paths import source_uri
 from docquarry.operators.catalog import chunks_of, parse
-from docquarry.operators.index import SearchIndex, build_index, merged, open_index, refresh_index
+from docquarry.operators.index import SearchIndex, build_index, open_index, refreshed
 from docquarry.operators.sizing import settled
 from docquarry.session import new_location
 
@@ -53,7 +53,7 @@ def take_in(rows: DataFrame, batch: int, folder: str, scheme: str, analyzer: str
         index = build_index(fresh, analyzer, new_location(spark, "index"))
     else:
         gone = newest.select(source_uri(F.col("relative_path"), scheme).alias("source_uri"))
-        index = merged(refresh_index(open_index(spark, known[1]), fresh, gone))
+        index = refreshed(open_index(spark, known[1]), fresh, gone)
     # Written last: a batch that failed before is taken in again, into a generation of its own.
     spark.createDataFrame([(batch, index.location)], GENERATIONS).coalesce(1).write.mode("append").parquet(f"{folder}/generations")
 

@@ -78,6 +78,24 @@ def test_folding_the_log_changes_nothing(spark, history):
     assert everything(spark, again) == everything(spark, idx.build_index(chunks_of(spark, {**texts, "e/mussel": BEFORE["f/otter"]})))
 
 
+def test_a_refresh_that_folds_the_log_writes_one_segment(spark, history, monkeypatch):
+    """The fresh chunks used to become a segment of their own first, which the fold read and dropped."""
+    written, write = [], idx.write_segment
+    index, texts = history[-1]
+    fresh = {"e/mussel": BEFORE["f/otter"], "y/kelp": BEFORE["b/kelp"]}
+    gone = spark.createDataFrame([("doc://e/mussel",), ("doc://y/kelp",), ("doc://b/kelp",), ("doc://b/kelp",), (None,)], "source_uri string")
+    left = {k: v for k, v in {**texts, **fresh}.items() if k != "b/kelp"}
+    expected = everything(spark, idx.build_index(chunks_of(spark, left)))
+    monkeypatch.setattr(idx, "write_segment", lambda *args, **more: written.append(args) or write(*args, **more))
+    folded = idx.refreshed(index, chunks_of(spark, fresh), gone)
+    assert len(written) == len(folded.segments) == 1 and everything(spark, folded) == expected
+    assert idx.refreshed(folded, chunks_of(spark, fresh).limit(0), gone.limit(0)).chunk_count == folded.chunk_count
+    monkeypatch.setattr(idx, "MOST_CHANGED", 9.0)  # nothing due: a segment more
+    monkeypatch.setattr(idx, "MOST_SEGMENTS", 9)
+    appended = idx.refreshed(index, chunks_of(spark, fresh), gone)
+    assert len(appended.segments) == len(index.segments) + 1 and everything(spark, appended) == expected
+
+
 def test_a_refresh_writes_the_postings_of_what_changed(spark, history):
     (before, _), (after, _) = history[:2]
     assert [s.location for s in after.segments[:-1]] == [s.location for s in before.segments]

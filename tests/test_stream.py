@@ -1,6 +1,7 @@
 """A streamed index equals one build of the same documents, goes on where it ended, and takes no batch in twice."""
 
 
+from docquarry.operators import index as idx
 from docquarry.operators import search as srch
 from docquarry.operators.index import build_index
 from docquarry.plans import queries
@@ -56,3 +57,16 @@ def test_the_corpus_arrives_in_files_of_many_tasks(spark, tmp_path, monkeypatch)
     assert queries.streamed_search(spark, "/root/testdata/sf0.001").count()
     assert len(list((tmp_path / "inbox").glob("*.parquet"))) >= 3 * spark.sparkContext.defaultParallelism
     assert ingest.current_generation(spark, str(tmp_path))[0] == 2
+
+
+def test_a_batch_is_indexed_once(spark, tmp_path, monkeypatch):
+    """A batch that makes the log due was written as a segment, and then again with all others."""
+    written, write = [], idx.write_segment
+    monkeypatch.setattr(idx, "write_segment", lambda *args, **more: written.append(args) or write(*args, **more))
+    spark.createDataFrame([], ingest.GENERATIONS).write.parquet(f"{tmp_path}/generations")
+    for batch, name in enumerate(("crab", "tide", "pool")):
+        rows = [(f"/c/{name}.md", f"{name}.md", f"# {name}\n\nA crab in a tide pool.\n", 1)]
+        ingest.take_in(spark.createDataFrame(rows, SCHEMA), batch, str(tmp_path), "doc")
+    assert len(written) == 3 and hits(ingest.streamed_index(spark, str(tmp_path))) == hits(
+        build_index(chunks_of(spark, {name: f"# {name}\n\nA crab in a tide pool.\n" for name in ("crab", "tide", "pool")}))
+    )
