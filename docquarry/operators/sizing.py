@@ -95,6 +95,23 @@ def hold_local(df: DataFrame, label: str) -> Held:
     return Held(df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows, rows)
 
 
+@contextmanager
+def narrow_rows(spark: SparkSession):
+    """What is executed inside hands rows of a few numbers to Python. Their number alone bounds a batch: adding up its bytes anew for each row takes
+    Spark longer than writing the row."""
+    bytes_, rows = (f"spark.sql.execution.arrow.{name}" for name in ("maxBytesPerBatch", "maxRecordsPerBatch"))
+    usual, bounded = spark.conf.get(bytes_, None), int(spark.conf.get(rows, None) or 1) > 0
+    if bounded:
+        spark.conf.set(bytes_, str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        if bounded and usual is None:
+            spark.conf.unset(bytes_)
+        elif bounded:
+            spark.conf.set(bytes_, usual)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores, spread over all of them; a larger one is left as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
