@@ -108,27 +108,29 @@ def field_scores(plan: Plan, chunk: np.ndarray, key: np.ndarray, base: np.ndarra
     """
     at = np.searchsorted(plan.keys, key)
     counts = plan.bounds[at + 1] - plan.bounds[at]
+    pair = np.arange(counts.sum())  # of a posting and a leaf
     leaf = np.repeat(plan.bounds[at] - (np.cumsum(counts) - counts), counts)
-    leaf += np.arange(len(leaf))
-    value, slot = np.repeat(base, counts), plan.slot[leaf]
-    value *= plan.weight[leaf]
+    leaf += pair
+    value, slot, column = np.repeat(base, counts), plan.slot.take(leaf), np.repeat(chunk, counts)
+    value *= plan.weight.take(leaf)
     slots, fields = len(plan.repeats), len(plan.field_no)
 
     if not plan.fuzzy:  # a query term is one index term, so the innermost level is the leaf itself
-        repeats, column = plan.repeats[slot], np.repeat(chunk, counts)
+        repeats = plan.repeats[slot]
         scores = repeats * (np.rint(value * _UNIT) / _UNIT)
     else:
-        cell = np.repeat(chunk * slots, counts)  # the cells of a chunk lie together
+        cell = column * slots
         cell += slot
-        found = np.bincount(cell, minlength=width * slots)
-        hit = np.flatnonzero(found > 0)
-        sums = _sums(value, lambda x: np.bincount(cell, x, width * slots)[hit])
-        ends = np.searchsorted(hit, np.arange(1, width + 1) * slots)
-        column = np.repeat(np.arange(width), np.diff(ends, prepend=0))
-        slot = hit - column * slots
-        repeats = plan.repeats[slot]
-        scores = repeats * (sums * found[hit] / plan.leaf_count[slot])
-    cell = column * fields + plan.field_of[slot]
+        mark = np.empty(width * slots, np.int64)  # read only where it was written
+        mark[cell] = pair
+        one = np.flatnonzero(mark.take(cell) == pair)  # of the pairs of each cell
+        mark[cell.take(one)] = np.arange(len(one))
+        cell, column, slot = mark.take(cell), column.take(one), slot.take(one)
+        found = np.bincount(cell, minlength=len(one))
+        sums = _sums(value, lambda x: np.bincount(cell, x, len(one)))
+        repeats = plan.repeats.take(slot)
+        scores = repeats * (sums * found / plan.leaf_count.take(slot))
+    cell = column * fields + plan.field_of.take(slot)
     score, matched = _sums(scores, lambda x: np.bincount(cell, x, width * fields)), np.bincount(cell, repeats, width * fields)
     score, matched = (x.reshape(width, fields).T for x in (score, matched))
     return score * matched / plan.token_count[:, None], matched
